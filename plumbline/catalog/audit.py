@@ -99,7 +99,7 @@ def _(spark, sf_dir):
     f"WITH {TOP5_SQL} SELECT k_pair, overlap, CAST(n_pairs AS BIGINT) AS n_pairs FROM histogram",
 )
 def _(spark, sf_dir):
-    h = A.overlap_histogram(A.result_sets(order_hits(spark, sf_dir, 5)))
+    h = A.overlap_histogram(A.result_sets(order_hits(spark, sf_dir, 5)), 5)
     return rounded(h.withColumn("n_pairs", F.col("n_pairs").cast("long")))
 
 
@@ -119,18 +119,18 @@ def _(spark, sf_dir):
     FROM obs, ref""",
 )
 def _(spark, sf_dir):
-    return rounded(A.cross_query_repetition(order_hits(spark, sf_dir, 5)).drop("ci_low", "ci_high", "insufficient"))
+    return rounded(A.cross_query_repetition(order_hits(spark, sf_dir, 5), 5).drop("ci_low", "ci_high", "insufficient"))
 
 
 @query(
     "audit_consecutive_pairs",
     f"""WITH {TOP5_SQL}
-    SELECT idx, seq_a, seq_b, overlap, k_pair, round(overlap / k_pair, 6) AS frac, overlap >= least(2, k_pair) AS "binary"
+    SELECT seq_a, seq_b, overlap, k_pair, round(overlap / k_pair, 6) AS frac, overlap >= least(2, k_pair) AS "binary"
     FROM neighbours""",
 )
 def _(spark, sf_dir):
     pairs = A.consecutive_pairs(A.result_sets(order_hits(spark, sf_dir, 5)))
-    return rounded(pairs.drop("query_a", "query_b"))
+    return rounded(pairs)
 
 
 @query(
@@ -205,7 +205,7 @@ def _(spark, sf_dir):
         "avg_dup_hash_rate", "avg_dup_id_rate", "n_without_id", "k_bin", "cons_continuous_mean", "total_pairs",
         "ref_binary_rate", "ref_continuous_mean", "median_spread", "tie_fraction",
     )
-    return rounded(A.audit_metrics(order_hits(spark, sf_dir, 5)).filter(F.col("metric").isin(*kept)))
+    return rounded(A.audit_metrics(order_hits(spark, sf_dir, 5), 5).filter(F.col("metric").isin(*kept)))
 
 
 TOPICALITY_SQL = TOP5_SQL + """, shuffled AS (

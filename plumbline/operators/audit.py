@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
 from plumbline.functions.stats import share, wilson
-from plumbline.operators.ordering import with_dense_index
+from plumbline.operators.ordering import with_next, with_previous
 from plumbline.operators.quantiles import medians
 
 # When the score scale counts as collapsed.
@@ -121,60 +121,68 @@ def _subsets(items: Column) -> Column:
     return F.transform(masks, one)
 
 
-def _pair_counts(groups: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Pairs inside each group by their smaller slot count: C(n_k, 2) + n_k * (rows with more slots)."""
-    per_k = groups.groupBy(*keys, "k").agg(F.sum("mult").alias("n"))
-    spread = per_k.groupBy(*keys).agg(F.collect_list(F.struct("k", "n")).alias("ks"))
-    n = F.col("e.n")
-    more = F.aggregate(
-        F.filter("ks", lambda x: x.k > F.col("e.k")), F.lit(0).cast("decimal(38,0)"),
-        lambda acc, x: (acc + x.n).cast("decimal(38,0)"),
-    )
-    # ``ks`` holds one entry per slot count, so its length is bounded by the largest k.
-    return spread.select(*keys, "ks", F.explode("ks").alias("e")).select(
-        *keys, F.col("e.k").alias("k"), (n * (n - 1) / 2 + n * more).cast("decimal(38,0)").alias("pairs")
+def _pairs_by_min(counts: list[Column]) -> Column:
+    """Pairs of one group by their smaller slot count, from the group's counts for 1, 2, … slots."""
+
+    def pairs(n: Column) -> Column:
+        wide = n.cast("decimal(20,0)")
+        return (wide * (wide - 1) / 2).cast("decimal(38,0)")
+
+    out, at_least = [], F.lit(0).cast("long")
+    for slots in range(len(counts), 0, -1):
+        more, at_least = at_least, at_least + counts[slots - 1]
+        out.append(F.struct(F.lit(slots).alias("k"), (pairs(at_least) - pairs(more)).cast("decimal(38,0)").alias("pairs")))
+    return F.filter(F.array(*out), lambda e: e.pairs > 0)
+
+
+def _count_pairs(groups: DataFrame, keys: Sequence[str], slots: int) -> DataFrame:
+    """``keys, k, pairs`` for rows ``keys, k, mult``; one combinable aggregate, one counter per slot count."""
+    columns = [F.coalesce(F.sum(F.when(F.col("k") == i, F.col("mult"))), F.lit(0)).alias(f"_n{i}") for i in range(1, slots + 1)]
+    held = groups.groupBy(*keys).agg(*columns) if keys else groups.agg(*columns)
+    total = sum((F.col(f"_n{i}") for i in range(2, slots + 1)), F.col("_n1"))
+    return (
+        held.filter(total > 1)
+        .select(*keys, F.explode(_pairs_by_min([F.col(f"_n{i}") for i in range(1, slots + 1)])).alias("e"))
+        .select(*keys, "e.k", "e.pairs")
     )
 
 
-def overlap_histogram(sets: DataFrame) -> DataFrame:
+def overlap_histogram(sets: DataFrame, slots: int) -> DataFrame:
     """How many query pairs have slot minimum ``k_pair`` and share ``overlap`` items.
 
-    No pair is ever written out. A pair sharing x items shares C(x, m) subsets of size m, so
+    ``slots`` is the largest list length. No pair is ever written out for lists of up to
+    ``SUBSET_ITEMS`` items. A pair sharing x items shares C(x, m) subsets of size m, so
     counting the queries that hold each subset gives moment sums per m, and inverting the
     binomial relation gives the exact number of pairs per x. Work is linear in the number of
     queries, and a favourite item that is in every result is one counter, not n² rows.
-    Items found in a single query cannot be shared and are dropped first. The few sets that
-    still have more than ``SUBSET_ITEMS`` items are matched by item with every other set.
+    Items found in a single query cannot be shared and are dropped first. Sets that still have
+    more than ``SUBSET_ITEMS`` items are matched by item with every other set.
     """
     zero = F.lit(0).cast("decimal(38,0)")
-    single = sets.select("seq", F.explode("items").alias("item"))
+    single = sets.select("seq", F.col("k").cast("int").alias("k"), F.explode("items").alias("item"))
     shared = single.groupBy("item").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("item")
-    reduced = (
-        single.join(shared, "item", "left_semi").groupBy("seq").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    )
-    slots = sets.select("seq", "k")
-    sized = reduced.join(slots, "seq")
-    narrow = sized.filter(F.size("items") <= SUBSET_ITEMS)
-    wide = sized.filter(F.size("items") > SUBSET_ITEMS)
-
-    # Equal sets become one row with a multiplicity before any subset is formed.
-    alike = narrow.groupBy("items", "k").agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("mult"))
-    members = alike.select("k", "mult", F.explode(_subsets(F.col("items"))).alias("s")).select("k", "mult", "s.*")
-    held = members.groupBy("m", "h1", "h2", "k").agg(F.sum("mult").alias("mult"))
-    moments = _pair_counts(held, ["m", "h1", "h2"]).groupBy("k", "m").agg(F.sum("pairs").alias("c"))
-    sizes = F.sequence(F.lit(1), F.col("m"))
-    signed = moments.select("k", "m", "c", F.explode(sizes).alias("x")).select(
-        "k", "x", (F.col("c") * F.expr("IF((m - x) % 2 = 0, 1, -1)") * _binomial("m", "x")).cast("decimal(38,0)").alias("n")
+    sized = (
+        single.join(shared, "item", "left_semi")
+        .groupBy("seq")
+        .agg(F.sort_array(F.collect_list("item")).alias("items"), F.first("k").alias("k"))
     )
-    by_subset = signed.groupBy("k", "x").agg(F.sum("n").alias("n"))
+    all_narrow = slots <= SUBSET_ITEMS
+    narrow = sized if all_narrow else sized.filter(F.size("items") <= SUBSET_ITEMS)
 
-    by_item = _wide_pairs(wide, sized).groupBy("k", "x").agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("n"))
-    positive = (
-        by_subset.unionByName(by_item).groupBy("k", "x").agg(F.sum("n").cast("decimal(38,0)").alias("n")).filter("n > 0")
+    members = narrow.select("k", F.lit(1).cast("long").alias("mult"), F.explode(_subsets(F.col("items"))).alias("s")).select(
+        "k", "mult", "s.*"
     )
-    every = _pair_counts(
-        slots.groupBy("k").agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("mult")).withColumn("_g", F.lit(0)), ["_g"]
-    ).select("k", "pairs")
+    moments = _count_pairs(members, ["m", "h1", "h2"], slots).groupBy("k", "m").agg(F.sum("pairs").alias("c"))
+    signed = moments.select("k", "m", "c", F.explode(F.sequence(F.lit(1), F.col("m"))).alias("x")).select(
+        "k", "x", (F.col("c") * F.expr("IF((m - x) % 2 = 0, 1, -1)") * _binomial("m", "x")).cast("decimal(38,0)").alias("n")
+    )
+    positive = signed.groupBy("k", "x").agg(F.sum("n").cast("decimal(38,0)").alias("n"))
+    if not all_narrow:
+        by_item = _wide_pairs(sized).groupBy("k", "x").agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("n"))
+        positive = positive.unionByName(by_item).groupBy("k", "x").agg(F.sum("n").cast("decimal(38,0)").alias("n"))
+    positive = positive.filter("n > 0")
+    slot_counts = sets.groupBy(F.col("k").cast("int").alias("k")).agg(F.count(F.lit(1)).alias("mult"))
+    every = _count_pairs(slot_counts, [], slots)
     none = (
         every.join(positive.groupBy("k").agg(F.sum("n").alias("some")), "k", "left")
         .select("k", F.lit(0).alias("x"), (F.col("pairs") - F.coalesce("some", zero)).cast("decimal(38,0)").alias("n"))
@@ -189,13 +197,11 @@ def _binomial(n: str, r: str) -> Column:
     return F.expr(f"CAST(factorial({n}) / (factorial({r}) * factorial({n} - {r})) AS BIGINT)")
 
 
-def _wide_pairs(wide: DataFrame, sized: DataFrame) -> DataFrame:
+def _wide_pairs(sized: DataFrame) -> DataFrame:
     """Overlaps of pairs in which at least one set is wide, from shared items."""
-    left = wide.select(F.col("seq").alias("a"), F.col("k").alias("ka"), F.explode("items").alias("item"))
-    right = sized.select(
-        F.col("seq").alias("b"), F.col("k").alias("kb"), (F.size("items") > SUBSET_ITEMS).alias("both"),
-        F.explode("items").alias("item"),
-    )
+    wide = F.size("items") > SUBSET_ITEMS
+    left = sized.filter(wide).select(F.col("seq").alias("a"), F.col("k").alias("ka"), F.explode("items").alias("item"))
+    right = sized.select(F.col("seq").alias("b"), F.col("k").alias("kb"), wide.alias("both"), F.explode("items").alias("item"))
     return (
         left.join(right, "item")
         .filter((F.col("a") != F.col("b")) & (~F.col("both") | (F.col("a") < F.col("b"))))
@@ -219,24 +225,13 @@ def reference_repetition(histogram: DataFrame) -> DataFrame:
     )
 
 
-def consecutive_pairs(sets: DataFrame, order: str = "seq") -> DataFrame:
-    """Overlap of each query's set with the next query's, in order; empty lists never appear in ``sets``.
-
-    The order is made dense without a global sort and the pairs are an equi-join on position.
-    """
-    columns = dict.fromkeys(["seq", "query", "items", "k", order])
-    placed = with_dense_index(sets.select(*columns), order, tie=["seq"])
-    a = placed.select(
-        F.col("idx"), F.col("seq").alias("seq_a"), F.col("query").alias("query_a"), F.col("items").alias("ia"),
-        F.col("k").alias("ka"),
-    )
-    b = placed.select(
-        (F.col("idx") - 1).alias("idx"), F.col("seq").alias("seq_b"), F.col("query").alias("query_b"),
-        F.col("items").alias("ib"), F.col("k").alias("kb"),
-    )
-    overlap, k_pair = F.size(F.array_intersect("ia", "ib")), F.least("ka", "kb")
-    return a.join(b, "idx").select(
-        "idx", "seq_a", "seq_b", "query_a", "query_b",
+def consecutive_pairs(sets: DataFrame, order: str = "seq", tie: Sequence[str] = ()) -> DataFrame:
+    """Overlap of each query's set with the next query's, in order; empty lists never appear in ``sets``."""
+    columns = dict.fromkeys([order, *tie, "seq", "items", "k"])
+    paired = with_next(sets.select(*columns), order, ["seq", "items", "k"], out="_n", tie=tie).filter(F.col("_n").isNotNull())
+    overlap, k_pair = F.size(F.array_intersect("items", "_n.items")), F.least(F.col("k"), F.col("_n.k"))
+    return paired.select(
+        F.col("seq").alias("seq_a"), F.col("_n.seq").alias("seq_b"),
         overlap.alias("overlap"), k_pair.alias("k_pair"), (overlap / k_pair).alias("frac"),
         (overlap >= F.least(F.lit(2), k_pair)).alias("binary"),
     )
@@ -255,16 +250,22 @@ def observed_repetition(pairs: DataFrame) -> DataFrame:
     )
 
 
+def _longest(sets: DataFrame) -> int:
+    return sets.agg(F.coalesce(F.max("k"), F.lit(1))).first()[0]
+
+
 def cross_query_repetition(hits: DataFrame, k: int | None = None) -> DataFrame:
     """Observed repetition of neighbours next to the all-pairs reference; one row.
 
     With fewer than two non-empty queries every rate is null and ``insufficient`` is true.
+    Without ``k`` the longest list is looked up first.
     """
     sets = result_sets(hits, k)
+    slots = k or _longest(sets)
     n = sets.agg(F.count(F.lit(1)).alias("n_queries"))
     return (
         n.crossJoin(observed_repetition(consecutive_pairs(sets)))
-        .crossJoin(reference_repetition(overlap_histogram(sets)))
+        .crossJoin(reference_repetition(overlap_histogram(sets, slots)))
         .withColumn("insufficient", F.col("n_queries") < 2)
     )
 
@@ -299,14 +300,11 @@ def repeat_rate(hits: DataFrame, k: int = 5, by_current: bool = False) -> DataFr
         .groupBy("seq")
         .agg(F.collect_set(F.nullif(F.col("id"), F.lit(""))).alias("ids"))
     )
-    placed = with_dense_index(sets, "seq")
-    current = placed.select("idx", F.col("ids").alias("b"))
-    previous = placed.select((F.col("idx") + 1).alias("idx"), F.col("ids").alias("a"))
-    inter = F.size(F.array_intersect("a", "b"))
-    size = F.size("b")
+    inter = F.size(F.array_intersect("ids", "_p.ids"))
+    size = F.size("ids")
     return (
-        current.join(previous, "idx")
-        .filter(size > 0)
+        with_previous(sets, "seq", ["ids"], out="_p")
+        .filter(F.col("_p").isNotNull() & (size > 0))
         .select((inter >= F.least(F.lit(2), size)).alias("rep"), (inter / (size if by_current else F.lit(float(k)))).alias("ov"))
         .agg(
             F.count(F.lit(1)).alias("pairs"),
@@ -392,10 +390,10 @@ def topicality(hits: DataFrame, k: int = 5, seed: int = 20260728) -> DataFrame:
         "n_pairs", F.col("k_bin").alias("k_real"), F.col("cons_binary_rate").alias("real"), F.col("ci_low").alias("real_lo"),
         F.col("ci_high").alias("real_hi"),
     )
-    shuf = observed_repetition(consecutive_pairs(permuted, "shuffled")).select(
+    shuf = observed_repetition(consecutive_pairs(permuted, "shuffled", ["seq"])).select(
         F.col("k_bin").alias("k_shuffled"), F.col("cons_binary_rate").alias("shuffled")
     )
-    ref = reference_repetition(overlap_histogram(sets)).select(F.col("ref_binary_rate").alias("neutral"))
+    ref = reference_repetition(overlap_histogram(sets, k)).select(F.col("ref_binary_rate").alias("neutral"))
     return real.crossJoin(shuf).crossJoin(ref).withColumn("gap_pp", (F.col("real") - F.col("shuffled")) * 100).withColumn(
         "valid",
         (F.col("neutral") >= F.least("real", "shuffled")) & (F.col("neutral") <= F.greatest("real", "shuffled")),

@@ -23,37 +23,37 @@ def _cell(order: str, bits: int) -> Column:
 
 
 def _adjacent(
-    df: DataFrame, order: str, payload: Sequence[str], by: Sequence[str], out: str, bits: int, levels: int, ahead: bool
+    df: DataFrame, order: str, payload: Sequence[str], by: Sequence[str], out: str, bits: int, levels: int, ahead: bool,
+    tie: Sequence[str],
 ) -> DataFrame:
-    item = F.struct(order, *[c for c in payload if c != order])
+    item = F.struct(*dict.fromkeys([order, *payload]))
     step = F.lead if ahead else F.lag
     if levels == 0:
         whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-        return df.withColumn(out, step(item).over(whole.orderBy(order)))
+        return df.withColumn(out, step(item).over(whole.orderBy(order, *tie)))
     cell = f"_cell{levels}"
-    celled = df.withColumn(cell, _cell(order, bits))
-    edge = F.min_by(item, F.col(order)) if ahead else F.max_by(item, F.col(order))
-    edges = celled.groupBy(*by, cell).agg(edge.alias("_edge"))
-    linked = _adjacent(edges, cell, ["_edge"], by, "_link", bits, levels - 1, ahead).select(
-        *by, cell, F.col("_link._edge").alias("_edge")
+    inside = Window.partitionBy(*by, cell).orderBy(order, *tie)
+    back = F.lag(F.lit(1)) if ahead else F.lead(F.lit(1))
+    near = df.withColumn(cell, _cell(order, bits)).withColumn("_near", step(item).over(inside)).withColumn(
+        "_inner", back.over(inside)
     )
-    inside = Window.partitionBy(*by, cell).orderBy(order)
-    return (
-        celled.withColumn("_near", step(item).over(inside))
-        .join(linked, [*by, cell], "left")
-        .withColumn(out, F.coalesce("_near", "_edge"))
-        .drop(cell, "_near", "_edge")
+    # The one row of each cell that its neighbouring cell has to see.
+    edge = f"_edge{levels}"
+    edges = near.filter(F.col("_inner").isNull()).select(*by, cell, item.alias(edge))
+    linked = _adjacent(edges, cell, [edge], by, "_link", bits, levels - 1, ahead, ()).select(
+        *by, cell, F.col(f"_link.{edge}").alias(edge)
     )
+    return near.join(linked, [*by, cell], "left").withColumn(out, F.coalesce("_near", edge)).drop(cell, "_near", "_inner", edge)
 
 
-def with_next(df, order, payload, by=(), out="next", bits=BITS, levels=LEVELS) -> DataFrame:
+def with_next(df, order, payload, by=(), out="next", bits=BITS, levels=LEVELS, tie=()) -> DataFrame:
     """Attach the following row (struct of ``order`` and ``payload``), null at the end."""
-    return _adjacent(df, order, payload, by, out, bits, levels, True)
+    return _adjacent(df, order, payload, by, out, bits, levels, True, tie)
 
 
-def with_previous(df, order, payload, by=(), out="previous", bits=BITS, levels=LEVELS) -> DataFrame:
+def with_previous(df, order, payload, by=(), out="previous", bits=BITS, levels=LEVELS, tie=()) -> DataFrame:
     """Attach the preceding row (struct of ``order`` and ``payload``), null at the start."""
-    return _adjacent(df, order, payload, by, out, bits, levels, False)
+    return _adjacent(df, order, payload, by, out, bits, levels, False, tie)
 
 
 def with_prior_sums(
