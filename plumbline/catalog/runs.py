@@ -441,17 +441,21 @@ def _(spark, sf_dir):
 
 @query(
     "run_log_stats",
-    """SELECT count(*) FILTER (o_orderkey % 11 <> 0) AS n_index, count(*) FILTER (o_orderkey % 13 <> 0) AS n_blobs,
-       count(*) FILTER (o_orderkey % 11 <> 0) AS n_runs, count(*) FILTER (o_orderkey % 11 <> 0 AND o_orderkey % 13 = 0) AS index_without_blob,
-       count(*) FILTER (o_orderkey % 11 = 0 AND o_orderkey % 13 <> 0) AS blob_without_index,
-       CAST(sum(length('window ' || o_custkey)) FILTER (o_orderkey % 13 <> 0) AS BIGINT) AS blob_chars,
-       count(DISTINCT strftime(o_orderdate, '%Y-%m')) FILTER (o_orderkey % 11 <> 0) AS n_months FROM orders""",
+    """WITH b AS (SELECT l_orderkey AS k, 'lines ' || count(*) AS w FROM lineitem GROUP BY 1),
+    p AS (SELECT o_orderkey, o_orderdate, b.k, b.w FROM orders FULL JOIN b ON b.k = o_orderkey)
+    SELECT count(o_orderkey) AS n_index, count(k) AS n_blobs, count(o_orderkey) AS n_runs,
+           count(*) FILTER (k IS NULL) AS index_without_blob, count(*) FILTER (o_orderkey IS NULL) AS blob_without_index,
+           CAST(sum(length(w)) AS BIGINT) AS blob_chars, count(DISTINCT strftime(o_orderdate, '%Y-%m')) AS n_months FROM p""",
 )
 def _(spark, sf_dir):
-    """Losing every 11th index row and every 13th blob makes the orphan counts non-trivial."""
-    index, blobs = R.split_runs(run_table(spark, sf_dir))
-    key = F.regexp_extract("run_id", r"(\d+)$", 1).cast("long")
-    return R.run_stats(index.filter(key % 11 != 0), blobs.filter(key % 13 != 0))
+    """Orders without lines have no blob."""
+    index, _blobs = R.split_runs(run_table(spark, sf_dir))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    blobs = lines.select(
+        F.concat(F.lit("run_"), F.col("l_orderkey").cast("string")).alias("run_id"),
+        F.concat(F.lit("lines "), F.col("n").cast("string")).alias("janela_enviada"),
+    )
+    return R.run_stats(index, blobs)
 
 
 @query("month_shards", "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders GROUP BY 1")

@@ -98,6 +98,16 @@ def normalize(x: Column | str) -> Column:
     return F.trim(F.regexp_replace(fold_case(F.coalesce(_col(x), F.lit(""))), r"(?U)\s+", " "))
 
 
+def normalize_lower(x: Column | str) -> Column:
+    """As :func:`normalize` with plain lower case; the rule of content keys of labels."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(_col(x), F.lit(""))), r"(?U)\s+", " "))
+
+
+def content_key(question: Column | str, answer: Column | str) -> Column:
+    whole = F.concat(normalize_lower(question), F.lit("||"), normalize_lower(answer))
+    return F.substring(F.sha2(whole, 256), 1, 12)
+
+
 def text_hash(x: Column | str) -> Column:
     return F.sha2(normalize(x), 256)
 
