@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import exp, factorial
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import _col
@@ -42,19 +42,23 @@ def separated(lo_above: Column | str, hi_below: Column | str) -> Column:
     return _col(lo_above) > _col(hi_below)
 
 
-def draw(key: Column | str, replicate: Column | str | int, seed: int) -> Column:
-    """A pseudo-random residue in [0, PRIME) fixed by (seed, key, replicate).
+def with_draw(df: DataFrame, key: str, replicate: str | int, seed: int, out: str = "u") -> DataFrame:
+    """Attach a pseudo-random residue in [0, PRIME) fixed by (seed, key, replicate).
 
     Two rounds of the permutation x -> (x + c)^5 of the prime field over a linear start, in
     long arithmetic only: the same value on every executor, after any retry and in any engine.
+    Each step is a column of its own, so that generated code computes every power once.
     """
-    rep = F.lit(replicate) if isinstance(replicate, int) else _col(replicate)
-    x = F.pmod(F.pmod(_col(key).cast("long"), F.lit(PRIME)) * 48271 + rep.cast("long") * 69621 + seed * 16807, F.lit(PRIME))
+    rep = F.lit(replicate) if isinstance(replicate, int) else F.col(replicate)
+    start = F.pmod(F.col(key).cast("long"), F.lit(PRIME)) * 48271 + rep.cast("long") * 69621 + seed * 16807
+    staged = df.withColumn("_x", F.pmod(start, F.lit(PRIME)))
     for shift in (1013904223, 1664525):
-        y = (x + shift) % PRIME
-        sq = y * y % PRIME
-        x = sq * sq % PRIME * y % PRIME
-    return x
+        staged = (
+            staged.withColumn("_y", (F.col("_x") + shift) % PRIME)
+            .withColumn("_s", F.col("_y") * F.col("_y") % PRIME)
+            .withColumn("_x", F.col("_s") * F.col("_s") % PRIME * F.col("_y") % PRIME)
+        )
+    return staged.withColumn(out, F.col("_x")).drop("_x", "_y", "_s")
 
 
 def poisson_limits(max_count: int = 10) -> list[int]:

@@ -15,6 +15,7 @@ from plumbline.functions import text as T
 from plumbline.functions.stats import share, wilson
 from plumbline.operators.ordering import with_next, with_previous
 from plumbline.operators.quantiles import medians
+from plumbline.session import fan_out
 
 # When the score scale counts as collapsed.
 TIE_LIMIT = 0.20
@@ -162,7 +163,7 @@ def overlap_histogram(sets: DataFrame, slots: int) -> DataFrame:
     single = sets.select("seq", F.col("k").cast("int").alias("k"), F.explode("items").alias("item"))
     shared = single.groupBy("item").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("item")
     sized = (
-        single.join(shared, "item", "left_semi")
+        fan_out(single.join(shared, "item", "left_semi"), "seq")
         .groupBy("seq")
         .agg(F.sort_array(F.collect_list("item")).alias("items"), F.first("k").alias("k"))
     )

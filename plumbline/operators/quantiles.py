@@ -1,86 +1,80 @@
 """Exact order statistics without gathering a group's values in one task.
 
-``median`` and ``percentile`` keep all distinct values of a group in one final buffer. Here each
-group's range is cut into equal cells, only cell counts are shuffled, and the search goes on
-inside the cells that hold the wanted ranks.
+``median`` and ``percentile`` keep all distinct values of a group in one final buffer. Here a
+mergeable sketch first brackets each wanted rank; a second pass counts what lies between the
+brackets as one number each and keeps single values only inside them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELLS = 4096
+# Groups up to this size are ranked whole.
+WHOLE_GROUP = 200_000
+# Sketch error is 1 / ACCURACY of the group; brackets reach MARGIN to each side of the wanted share.
+ACCURACY = 100_000
+MARGIN = 1e-4
+
+Rank = tuple[float, Callable[[Column], Column]]
 
 
 def order_statistics(
-    df: DataFrame, value: str, ranks: DataFrame, by: Sequence[str] = (), levels: int = 1, cells: int = CELLS
+    df: DataFrame, value: str, ranks: Mapping[str, Rank], by: Sequence[str] = (), whole_group: int = WHOLE_GROUP, margin: float = MARGIN
 ) -> DataFrame:
-    """Values at 0-based ``rank`` within each group.
+    """One row per group: ``n`` and a column per label of ``ranks``.
 
-    ``ranks`` has the group columns, ``rank`` and any labels; the result adds ``value``.
+    A rank is ``(share, rank_of_n)``: where to look, and the 0-based position as a function of the
+    group size. Nulls are left out. A bracket that missed its rank raises an error.
     """
     groups = list(by) or ["_all"]
-    rows = df.filter(F.col(value).isNotNull())
-    if not by:
-        rows, ranks = rows.withColumn("_all", F.lit(0)), ranks.withColumn("_all", F.lit(0))
-    part = rows.select(*groups, F.col(value).cast("double").alias("_v"))
-    want = ranks.withColumn("_at", F.col("rank").cast("long"))
-    path: list[str] = []
-    for level in range(levels):
-        span = part.groupBy(*groups, *path).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        cell = F.least(
-            F.floor((F.col("_v") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * cells),
-            F.lit(cells - 1),
-        )
-        c = f"_c{level}"
-        part = part.join(span, [*groups, *path]).withColumn(c, F.coalesce(cell, F.lit(0))).drop("_lo", "_hi")
-        counts = part.groupBy(*groups, *path, c).agg(F.count(F.lit(1)).alias("_n"))
-        upto = Window.partitionBy(*groups, *path).orderBy(c)
-        marks = counts.withColumn("_end", F.sum("_n").over(upto)).withColumn("_start", F.col("_end") - F.col("_n"))
-        want = (
-            want.join(marks, [*groups, *path])
-            .filter((F.col("_at") >= F.col("_start")) & (F.col("_at") < F.col("_end")))
-            .withColumn("_at", F.col("_at") - F.col("_start"))
-            .drop("_start", "_end", "_n")
-        )
-        path.append(c)
-        part = part.join(want.select(*groups, *path).distinct(), [*groups, *path], "left_semi")
-    counts = part.groupBy(*groups, *path, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy(*groups, *path).orderBy("_v")
-    marks = counts.withColumn("_end", F.sum("_n").over(upto)).withColumn("_start", F.col("_end") - F.col("_n"))
-    return (
-        want.join(marks, [*groups, *path])
-        .filter((F.col("_at") >= F.col("_start")) & (F.col("_at") < F.col("_end")))
-        .withColumn("value", F.col("_v"))
-        .drop("_at", "_start", "_end", "_n", "_v", *path, "_all")
+    rows = (df if by else df.withColumn("_all", F.lit(0))).select(*groups, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
+    shares = sorted({share for share, _ in ranks.values()})
+    cuts = [x for s in shares for x in (max(0.0, s - margin), min(1.0, s + margin))]
+    sketch = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", cuts, ACCURACY).alias("_q"))
+    small = F.col("n") <= whole_group
+    inside, passed = small, F.lit(0)
+    for i, s in enumerate(shares):
+        above = F.lit(True) if s - margin <= 0 else F.col("_v") >= F.col("_q")[2 * i]
+        below = F.lit(True) if s + margin >= 1 else F.col("_v") <= F.col("_q")[2 * i + 1]
+        inside = inside | (above & below)
+        passed = passed + F.when(small | below, 0).otherwise(1)
+    zoned = rows.join(sketch, groups).select(*groups, "n", "_v", inside.alias("_in"), passed.alias("_zone"))
+    counts = zoned.groupBy(*groups, "n", F.when(F.col("_in"), F.col("_v")).alias("_x"), F.when(~F.col("_in"), F.col("_zone")).alias("_z")).agg(
+        F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_o")
     )
+    upto = Window.partitionBy(*groups).orderBy("_o")
+    marks = counts.withColumn("_end", F.sum("_c").over(upto)).withColumn("_start", F.col("_end") - F.col("_c"))
 
+    def pick(rank: Callable[[Column], Column], label: str) -> Column:
+        at = rank(F.col("n"))
+        here = (at >= F.col("_start")) & (at < F.col("_end"))
+        found = F.max(F.when(here, F.col("_x")))
+        return F.coalesce(found, F.raise_error(F.lit(f"rank bracket missed {label}")).cast("double")).alias(label)
 
-def interpolated(df: DataFrame, value: str, shares: Sequence[float], by: Sequence[str] = (), levels: int = 1) -> DataFrame:
-    """Linearly interpolated percentiles, one row per group with columns ``q0, q1, …`` and ``n``."""
-    rows = df.filter(F.col(value).isNotNull())
-    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).filter("n > 0")
-    spots = F.array(*[F.struct(F.lit(i).alias("q"), F.lit(float(s)).alias("s")) for i, s in enumerate(shares)])
-    ranks = (
-        sizes.withColumn("_s", F.explode(spots))
-        .withColumn("_x", F.col("_s.s") * (F.col("n") - 1))
-        .withColumn("_side", F.explode(F.array(F.lit(0), F.lit(1))))
-        .select(
-            *by, "n", F.col("_s.q").alias("q"), "_side",
-            F.when(F.col("_side") == 0, F.floor("_x")).otherwise(F.ceil("_x")).alias("rank"),
-            F.when(F.ceil("_x") == F.floor("_x"), F.lit(0.5))
-            .when(F.col("_side") == 0, F.ceil("_x") - F.col("_x"))
-            .otherwise(F.col("_x") - F.floor("_x")).alias("_w"),
-        )
-    )
-    found = order_statistics(rows, value, ranks, by, levels)
-    pick = [F.sum(F.when(F.col("q") == i, F.col("value") * F.col("_w"))).alias(f"q{i}") for i in range(len(shares))]
-    return found.groupBy(*by).agg(*pick, F.max("n").alias("n"))
+    return marks.groupBy(*groups).agg(*[pick(r, label) for label, (_s, r) in ranks.items()], F.max("n").alias("n")).drop("_all")
+
+
+def interpolated(df: DataFrame, value: str, shares: Mapping[str, float], by: Sequence[str] = (), **options) -> DataFrame:
+    """Linearly interpolated percentiles: one row per group with a column per label and ``n``."""
+
+    def place(s: float) -> Callable[[Column], Column]:
+        return lambda n: F.lit(s) * (n - 1)
+
+    ranks: dict[str, Rank] = {}
+    for label, s in shares.items():
+        ranks[f"_lo_{label}"] = (s, lambda n, s=s: F.floor(place(s)(n)))
+        ranks[f"_hi_{label}"] = (s, lambda n, s=s: F.ceil(place(s)(n)))
+    found = order_statistics(df, value, ranks, by, **options)
+    out = []
+    for label, s in shares.items():
+        lo, hi, x = F.col(f"_lo_{label}"), F.col(f"_hi_{label}"), place(s)(F.col("n"))
+        out.append((lo + (hi - lo) * (x - F.floor(x))).alias(label))
+    return found.select(*by, *out, "n")
 
 
-def medians(df: DataFrame, value: str, by: Sequence[str] = (), levels: int = 1) -> DataFrame:
-    """Exact median per group as ``median`` (mean of the two middle values for even sizes)."""
-    return interpolated(df, value, [0.5], by, levels).withColumnRenamed("q0", "median")
+def medians(df: DataFrame, value: str, by: Sequence[str] = (), **options) -> DataFrame:
+    """Exact ``median`` per group (mean of the two middle values for even sizes) and ``n``."""
+    return interpolated(df, value, {"median": 0.5}, by, **options)

@@ -7,9 +7,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.stats import PRIME, draw, poisson_weight
+from plumbline.functions.stats import poisson_weight, with_draw
 from plumbline.operators.ordering import with_dense_index, with_prior_sums
-from plumbline.operators.quantiles import interpolated, medians, order_statistics
+from plumbline.operators.quantiles import medians, order_statistics
+from plumbline.session import fan_out
 
 # Outlier factor, size bands of a text in characters, strata of a collection.
 OUTLIER_FACTOR = 5.0
@@ -86,12 +87,12 @@ def bootstrap_replicates(
     """``(by, b, num, den, n)`` sums of ``b`` Poisson-bootstrap replicates that resample pairs.
 
     The weight of a row in a replicate depends on (seed, key, replicate) alone, so partitioning
-    and retries change nothing. Each task adds its rows into groups x b sums before the shuffle;
-    a row with weight zero is dropped on the way.
+    and retries change nothing. Each task adds its rows into groups x b sums before the shuffle.
     """
     drawn = df.select(*by, F.col(num).cast("double").alias("_a"), F.col(den).cast("double").alias("_d"), F.col(key).cast("long").alias("_k"))
-    spread = drawn.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
-    weighted = spread.withColumn("_w", poisson_weight(draw("_k", "b", seed))).filter("_w > 0")
+    spread = fan_out(drawn, "_k").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
+    # No filter on the weight: pushed below the projections it would repeat the whole draw.
+    weighted = with_draw(spread, "_k", "b", seed, "_u").withColumn("_w", poisson_weight(F.col("_u")))
     return weighted.groupBy(*by, "b").agg(
         F.sum(F.col("_w") * F.col("_a")).alias("num"), F.sum(F.col("_w") * F.col("_d")).alias("den"), F.sum("_w").alias("n")
     )
@@ -109,10 +110,12 @@ def exact_replicates(
     rows = df if by else df.withColumn("_all", F.lit(0))
     placed = with_dense_index(rows.select(*groups, order, F.col(num).cast("double").alias("_a"), F.col(den).cast("double").alias("_d")), order, groups)
     sizes = placed.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
+    slots = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))).withColumn(
+        "_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))
+    )
     draws = (
-        sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
-        .withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
-        .withColumn("idx", draw("_j", "b", seed) % F.col("_n"))
+        with_draw(slots, "_j", "b", seed, "_u")
+        .withColumn("idx", F.col("_u") % F.col("_n"))
         .groupBy(*groups, "b", "idx")
         .agg(F.count(F.lit(1)).alias("_w"))
     )
@@ -204,7 +207,7 @@ def coverage(df: DataFrame, interval: Interval, reps: int, key: str = "key", see
     scored in one job.
     """
     truth = df.agg((F.sum(F.col(num).cast("double")) / F.sum(F.col(den).cast("double"))).alias("truth"))
-    parts = df.withColumn("rep", draw(key, 0, seed) % reps)
+    parts = with_draw(df, key, 0, seed, "_u").withColumn("rep", F.col("_u") % reps).drop("_u")
     ci = interval(parts, ["rep"]).crossJoin(truth)
     hit = ((F.col("lo") <= F.col("truth")) & (F.col("truth") <= F.col("hi"))).cast("double")
     return (
@@ -250,12 +253,11 @@ def fraction_profile(df: DataFrame, num: str, den: str, ceiling: float) -> DataF
     """
     frac = df.select((F.coalesce(num, F.lit(0.0)) / F.coalesce(F.nullif(F.col(den), F.lit(0.0)), F.lit(1.0))).alias("f"))
     size = frac.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("f") >= ceiling).alias("n_over"))
-    marks = (("min", 0.0), ("p50", 0.5), ("p90", 0.9), ("p99", 0.99), ("max", 1.0))
-    spots = F.array(*[F.struct(F.lit(m).alias("mark"), F.lit(q).alias("q")) for m, q in marks])
-    ranks = size.select("n", F.explode(spots).alias("s")).select(
-        F.col("s.mark").alias("mark"), F.least(F.col("n") - 1, F.floor(F.col("s.q") * F.col("n"))).alias("rank")
-    )
-    found = order_statistics(frac, "f", ranks).agg(*[F.max(F.when(F.col("mark") == m, F.col("value"))).alias(m) for m, _q in marks])
+    ranks = {
+        m: (q, lambda n, q=q: F.least(n - 1, F.floor(F.lit(q) * n)))
+        for m, q in (("min", 0.0), ("p50", 0.5), ("p90", 0.9), ("p99", 0.99), ("max", 1.0))
+    }
+    found = order_statistics(frac, "f", ranks).drop("n")
     shape = (
         F.when((F.col("p50") >= ceiling) & (F.col("p90") < F.col("p99") * 0.5), "tail").when(F.col("p50") >= ceiling, "uniform").otherwise("below")
     )

@@ -46,3 +46,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def row_count_within(df: DataFrame, bound: int) -> bool:
     """True if ``df`` has at most ``bound`` rows; reads no more than ``bound + 1`` of them."""
     return df.limit(bound + 1).count() <= bound
+
+
+def fan_out(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash-partition before a step that multiplies rows, over at least as many tasks as cores.
+
+    Adaptive execution sizes partitions by the bytes that enter them and would run a small input
+    with a large expansion in one task; a partition count given here is kept.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *columns)
