@@ -100,16 +100,15 @@ def resolve_target_table(memory: DataFrame, specs: DataFrame, gram: int = 8) ->
     needles = specs.filter("id IS NULL").select("spec", F.lower(F.trim("needle")).alias("needle")).filter("needle <> ''")
     keyed = needles.withColumn("g", F.substring("needle", 1, gram))
     low = plain.select("id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
-    sizes = F.sequence(F.lit(1), F.lit(gram))
-
-    def cut(n: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length("low") - n + 1, F.lit(1)))
-        return F.transform(starts, lambda i: F.substring(F.col("low"), i, n))
-
-    grams = low.select("id", "low", F.explode(F.array_distinct(F.flatten(F.transform(sizes, cut)))).alias("g"))
-    by_needle = (
-        grams.join(keyed, "g").filter(F.contains("low", "needle")).select("spec", "id").distinct()
+    # At most ``gram`` rows: the prefix lengths in use.
+    lengths = keyed.select(F.length("g").alias("n")).distinct()
+    starts = F.sequence(F.lit(1), F.length("low") - F.col("n") + 1)
+    grams = (
+        low.join(F.broadcast(lengths), F.length("low") >= F.col("n"))
+        .select("id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("low", i, F.col("n"))))).alias("g"))
     )
+    candidates = grams.join(keyed, "g").select("spec", "needle", "id").distinct()
+    by_needle = candidates.join(low, "id").filter(F.contains("low", "needle")).select("spec", "id").distinct()
     return specs.select("spec").join(by_id.unionByName(by_needle), "spec", "left")
 
 

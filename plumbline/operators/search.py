@@ -215,18 +215,21 @@ def nearest_earlier(turns: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame
     placed = with_dense_index(turns.select("seq", "vec"), "seq").withColumn("_b", F.floor(F.col("idx") / block_rows))
     n_blocks = max(1, -(-placed.count() // block_rows))
     later = placed.select("idx", "seq", "vec", F.col("_b").alias("lb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_b"))).alias("eb"))
-    earlier = placed.select("idx", "vec", F.col("_b").alias("eb"), F.explode(F.sequence(F.col("_b"), F.lit(n_blocks - 1).cast("long"))).alias("lb"))
+    earlier = placed.select(
+        F.col("idx").alias("e_idx"), F.col("vec").alias("e_vec"), F.col("_b").alias("e_eb"),
+        F.explode(F.sequence(F.col("_b"), F.lit(n_blocks - 1).cast("long"))).alias("e_lb"),
+    )
 
     def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"seq": [], "best": []})
-        sims = np.round(_unit(a["vec"]) @ _unit(b["vec"]).T, DIGITS)
-        sims[b["idx"].to_numpy()[None, :] >= a["idx"].to_numpy()[:, None]] = np.nan
+        sims = np.round(_unit(a["vec"]) @ _unit(b["e_vec"]).T, DIGITS)
+        sims[b["e_idx"].to_numpy()[None, :] >= a["idx"].to_numpy()[:, None]] = np.nan
         with np.errstate(all="ignore"):
             top = np.where(np.isnan(sims).all(axis=1), np.nan, np.fmax.reduce(sims, axis=1))
         return pd.DataFrame({"seq": a["seq"], "best": top})
 
-    scored = later.groupBy("lb", "eb").cogroup(earlier.groupBy("lb", "eb")).applyInPandas(cell, "seq bigint, best double")
+    scored = later.groupBy("lb", "eb").cogroup(earlier.groupBy("e_lb", "e_eb")).applyInPandas(cell, "seq bigint, best double")
     return scored.groupBy("seq").agg(F.max(F.nullif(F.col("best"), F.lit(float("nan")))).alias("best"))
 
 
