@@ -248,10 +248,12 @@ def question_of_turn(x: Column | str) -> Column:
     return F.when(text.rlike(form), F.trim(F.regexp_extract(text, form, 1)))
 
 
+def char_grams(x: Column | str, n: Column | int) -> Column:
+    """All runs of ``n`` characters, by a look-ahead that walks the text once."""
+    size = F.lit(str(n)) if isinstance(n, int) else n.cast("string")
+    return F.regexp_extract_all(_col(x), F.concat(F.lit("(?s)(?=(.{"), size, F.lit("}))")), 1)
+
+
 def reuses_verbatim(answer: Column | str, earlier: Column | str, min_chars: int = 20) -> Column:
     """True if ``answer`` repeats at least ``min_chars`` contiguous characters of ``earlier``."""
-    a, b = normalize(answer), normalize(earlier)
-    starts = F.sequence(F.lit(1), F.greatest(F.length(b) - (min_chars - 1), F.lit(1)))
-    return (F.length(b) >= min_chars) & (F.length(a) > 0) & F.exists(
-        starts, lambda i: F.contains(a, F.substring(b, i, F.lit(min_chars)))
-    )
+    return F.arrays_overlap(char_grams(normalize(answer), min_chars), char_grams(normalize(earlier), min_chars))

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import SUMMARY_SOURCE, contains_any
+from plumbline.functions.text import SUMMARY_SOURCE, char_grams, contains_any
 
 
 def nearest_within(
@@ -102,10 +102,8 @@ def resolve_target_table(memory: DataFrame, specs: DataFrame, gram: int = 8) ->
     low = plain.select("id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
     # At most ``gram`` rows: the prefix lengths in use.
     lengths = keyed.select(F.length("g").alias("n")).distinct()
-    starts = F.sequence(F.lit(1), F.length("low") - F.col("n") + 1)
-    grams = (
-        low.join(F.broadcast(lengths), F.length("low") >= F.col("n"))
-        .select("id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("low", i, F.col("n"))))).alias("g"))
+    grams = low.join(F.broadcast(lengths), F.length("low") >= F.col("n")).select(
+        "id", F.explode(F.array_distinct(char_grams("low", F.col("n")))).alias("g")
     )
     candidates = grams.join(keyed, "g").select("spec", "needle", "id").distinct()
     by_needle = candidates.join(low, "id").filter(F.contains("low", "needle")).select("spec", "id").distinct()

@@ -58,7 +58,7 @@ def parse_retrieval(lines: DataFrame, value: str = "value", seq: str = "seq") ->
             _usable_text(_field(v, ID)).alias("id"), _usable_text(_field(v, TEXT)).alias("text"), _number(_field(v, SCORE)).alias("score")
         )
 
-    kept = F.filter(F.transform(F.filter(raw, lambda v: _type(v).startswith("OBJECT")), item), lambda x: x.text.isNotNull())
+    kept = F.filter(F.transform(F.filter(F.col("raw"), lambda v: _type(v).startswith("OBJECT")), item), lambda x: x.text.isNotNull())
     return (
         kinds.select("seq", reason.alias("reason"), "query", raw.alias("raw"))
         .select("seq", "reason", "query", F.size("raw").alias("n_raw"), kept.alias("results"))
