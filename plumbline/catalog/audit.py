@@ -64,7 +64,7 @@ def _(spark, sf_dir):
            round(dup_id_rate, 6) AS dup_id_rate FROM per_query""",
 )
 def _(spark, sf_dir):
-    return rounded(A.intra_query_duplication(order_hits(spark, sf_dir, 5)))
+    return rounded(A.intra_query_duplication(order_hits(spark, sf_dir, 5), 5))
 
 
 @query(
@@ -80,7 +80,7 @@ def _(spark, sf_dir):
     FROM per_query""",
 )
 def _(spark, sf_dir):
-    return rounded(A.duplication_summary(A.intra_query_duplication(order_hits(spark, sf_dir, 5))))
+    return rounded(A.duplication_summary(A.intra_query_duplication(order_hits(spark, sf_dir, 5), 5)))
 
 
 @query(

@@ -37,20 +37,20 @@ def rank_hits(hits: DataFrame, order: Sequence[Column | str], k: int | None = No
 def intra_query_duplication(hits: DataFrame, k: int | None = None) -> DataFrame:
     """Per query: slots, copies by text and by id, and their rates.
 
-    The id rate is null (not zero) for a query without ids. Copies are counted over
-    (query, text) and (query, id) groups, so a query of any size combines map-side.
+    The id rate is null (not zero) for a query without ids. Lists cut to ``k`` are at most k long,
+    so their sets are built in place; lists of any length are counted over (query, text) and
+    (query, id) groups, which combine map-side.
     """
     rows = slice_top_k(hits, k).select(
         "seq", "query", T.text_hash("text").alias("h"), F.nullif(F.col("id"), F.lit("")).alias("id")
     )
+
+    def distinct(c: str) -> Column:
+        return F.size(F.collect_set(c)).cast("long") if k else F.count_distinct(c)
+
     return (
         rows.groupBy("seq", "query")
-        .agg(
-            F.count(F.lit(1)).alias("k"),
-            F.count("id").alias("k_id"),
-            F.count_distinct("h").alias("d_h"),
-            F.count_distinct("id").alias("d_id"),
-        )
+        .agg(F.count(F.lit(1)).alias("k"), F.count("id").alias("k_id"), distinct("h").alias("d_h"), distinct("id").alias("d_id"))
         .select(
             "seq", "query", "k",
             (F.col("k") - F.col("d_h")).alias("dup_hash_count"),

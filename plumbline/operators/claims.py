@@ -87,7 +87,7 @@ def best_threshold(scored: DataFrame, score: str, truth: str = "truth") -> DataF
     per_score = scored.groupBy(key.alias("k")).agg(
         F.count_if(F.col(truth)).alias("pos"), F.count_if(~F.col(truth)).alias("neg"), F.min(score).alias("cut")
     )
-    totals = scored.agg(F.count_if(F.col(truth)).alias("all_pos"), F.count(F.lit(1)).alias("n"))
+    totals = per_score.agg(F.sum("pos").alias("all_pos"), F.sum(F.col("pos") + F.col("neg")).alias("n"))
     below = with_prior_sums(per_score, "k", ["pos", "neg"], levels=1)
     correct = F.col("all_pos") - F.col("prior_pos") + F.col("prior_neg")
     best = (
