@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.catalog.base import query, rounded
 from plumbline.catalog.inputs import ORDER_HITS_SQL, language_hits, norm_sql, order_hits
 from plumbline.operators import audit as A
+from plumbline.plans.studies import topicality_verdict
 
 PER_LANG_SQL = f"""per_query AS (
   SELECT lang AS query, ascii(lang) AS seq, count(*) AS k,
@@ -231,3 +232,13 @@ gap AS (
 )
 def _(spark, sf_dir):
     return rounded(A.topicality(order_hits(spark, sf_dir, 5)).drop("real_lo", "real_hi"))
+
+
+@query(
+    "verdict_topicality",
+    f"""WITH {TOPICALITY_SQL}, g AS (SELECT n_pairs, (k_real - k_shuffled) / n_pairs * 100 AS gap_pp FROM gap)
+    SELECT n_pairs, round(gap_pp, 6) AS gap_pp, CASE WHEN n_pairs + 1 < 20 THEN 'SEM PODER' WHEN gap_pp >= 15 THEN 'H1 — TOPICALIDADE DOMINA'
+           WHEN gap_pp <= 5 THEN 'H0 — PATOLOGIA' ELSE 'MISTO' END AS verdict FROM g""",
+)
+def _(spark, sf_dir):
+    return rounded(topicality_verdict(A.topicality(order_hits(spark, sf_dir, 5))).select("n_pairs", "gap_pp", "verdict"))

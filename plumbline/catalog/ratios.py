@@ -72,11 +72,11 @@ reps AS (SELECT condition, b, sum(w * num) / sum(w * den) AS v FROM weighted GRO
 @query(
     "bootstrap_replicates",
     f"""WITH {LINES_SQL}, {weights_sql('lines', 'condition')}
-    SELECT condition, b, round(sum(w * num), 1) AS num, round(sum(w * den), 1) AS den, CAST(sum(w) AS BIGINT) AS n FROM weighted GROUP BY condition, b""",
+    SELECT condition, b, round(sum(w * num), 2) AS num, round(sum(w * den), 2) AS den, CAST(sum(w) AS BIGINT) AS n FROM weighted GROUP BY condition, b""",
 )
 def _(spark, sf_dir):
     out = R.bootstrap_replicates(line_pairs(spark, sf_dir), ["condition"], b=B, seed=SEED)
-    return rounded(out.withColumns({"num": F.round("num", 1), "den": F.round("den", 1)}))
+    return rounded(out.withColumns({"num": F.round("num", 2), "den": F.round("den", 2)}))
 
 
 @query(
