@@ -133,9 +133,11 @@ def _(spark, sf_dir):
     "verdict_promotion",
     """WITH r AS (SELECT p_size % 9 AS i, count(*) FILTER (p_retailprice > 950 AND p_size % 9 NOT IN (2, 3)) AS promoted, bool_or(p_retailprice > 950) AS fused FROM part GROUP BY 1),
     p AS (SELECT max(promoted) FILTER (i = 0) AS c5, max(promoted) FILTER (i = 1) AS c5p, max(promoted) FILTER (i = 2) AS c6, max(promoted) FILTER (i = 3) AS c6p,
-      max(promoted) FILTER (i = 4) AS c1, max(promoted) FILTER (i = 5) AS c2, max(promoted) FILTER (i = 6) AS c3, max(promoted) FILTER (i = 7) AS c4, bool_or(fused) FILTER (i = 8) AS fused FROM r)
-    SELECT CASE WHEN c5 >= 1 AND c5p >= 1 AND c6 = 0 AND c6p = 0 AND fused THEN 'CLASSIFICADO' ELSE 'INCONCLUSIVO' END AS verdict,
-           c1 > 0 OR c2 > 0 AS h1, c3 = 0 AND c4 >= 1 AS h2, true AS h3, c1 = 0 AND c2 = 0 AND c3 = 0 AND c4 = 0 AND c5 >= 1 AS h0 FROM p""",
+      max(promoted) FILTER (i = 4) AS c1, max(promoted) FILTER (i = 5) AS c2, max(promoted) FILTER (i = 6) AS c3, max(promoted) FILTER (i = 7) AS c4, bool_or(fused) FILTER (i = 8) AS fused FROM r),
+    v AS (SELECT *, CASE WHEN c5 >= 1 AND c5p >= 1 AND c6 = 0 AND c6p = 0 AND fused THEN 'CLASSIFICADO' ELSE 'INCONCLUSIVO' END AS verdict FROM p)
+    SELECT verdict, CASE WHEN verdict = 'CLASSIFICADO' THEN c1 > 0 OR c2 > 0 END AS h1, CASE WHEN verdict = 'CLASSIFICADO' THEN c3 = 0 AND c4 >= 1 END AS h2,
+           CASE WHEN verdict = 'CLASSIFICADO' THEN true END AS h3, CASE WHEN verdict = 'CLASSIFICADO' THEN c1 = 0 AND c2 = 0 AND c3 = 0 AND c4 = 0 AND c5 >= 1 END AS h0
+    FROM v""",
 )
 def _(spark, sf_dir):
     """Parts as planted entries in nine keyed results; dear parts count as promoted."""
