@@ -20,7 +20,7 @@ BLIND_COLUMNS = ("text_chars", "payload_bytes", "usage", "input_tokens", "output
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a local session without one gets a temporary folder."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if not sc.master.startswith("local"):
