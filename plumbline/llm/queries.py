@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import records
-from plumbline.llm.shared import shared_folder, table
+from plumbline.llm import contamination, records, toxicity
+from plumbline.llm.shared import held_out, shared_folder, table
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +30,35 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document in record files, read back: where each starts, how many it has and their checksum."""
     index = records.write_records(table(spark, sf_dir, "documents"), shared_folder(spark, "records"), tokenizer_path(), END_ID)
     return records.read_records(index).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+TOXIC = 0.7
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str):
+    return toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id", 3, 1))
+
+
+@query
+def op2_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document by classifiers that learned from confirmed toxic and unlabelled text of two folds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rated = toxicity.scored(docs, toxicity_model(spark, docs, sf_dir))
+    score = F.col("toxicity.score")
+    return rated.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), score.alias("score"), (score >= TOXIC).cast("int").alias("predicted"))
+
+
+def contaminated(into: str = "contamination"):
+    return (F.col(f"{into}.n_hit") > 0) & (20 * F.col(f"{into}.n_hit") >= F.col(f"{into}.n_words"))
+
+
+@query
+def op9_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document inside benchmark windows, and the items they come from."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = contamination.contamination(docs, table(spark, sf_dir, "benchmark"))
+    c = F.col("contamination")
+    return found.select(
+        "doc_id", c.n_words.alias("n_words"), c.n_hit.alias("n_hit"), F.size(c["items"]).cast("long").alias("n_items"),
+        F.sha2(F.array_join(c["items"], ","), 256).alias("items_sha256"), contaminated().alias("contaminated"),
+    )

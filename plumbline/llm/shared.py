@@ -7,12 +7,17 @@ the warehouse where that is unset), so any executor can be lost: what it held is
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
+SLICE = 512  # texts that are Python objects at one time
 ROW_BITS = 33  # monotonically_increasing_id() keeps the row's place in its partition in so many low bits
 
 
@@ -108,3 +113,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def held_out(doc_id: str, folds: int, fold: int) -> Column:
     """True where crc32 of the id, written as text, leaves ``fold``; a null id is never held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == fold, F.lit(False))
+
+
+def annotated(docs: DataFrame, text: str, into: str, kind: T.StructType, setup, *args) -> DataFrame:
+    """``docs`` with a struct column ``into`` computed from whole texts inside the tasks; nothing is shuffled.
+
+    ``setup(*args)`` runs once per task and returns a function from a list of UTF-8 texts (None where null) to one tuple per
+    text. A column of ``docs`` that is already called ``into`` is replaced.
+    """
+    docs = docs.select(*[c for c in docs.columns if c != into])
+    schema = T.StructType([*nullable(docs.schema).fields, T.StructField(into, kind)])
+    return docs.mapInArrow(partial(_annotate, text, into, kind, setup, args), schema)
+
+
+def _annotate(text, into, kind, setup, args, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    arrow = to_arrow_type(kind)
+    score = setup(*args)
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            part = batch.slice(at, SLICE)
+            rows = score(utf8(part.column(text)))
+            fields = [pa.array(values, f.type) for f, values in zip(arrow, zip(*rows))]
+            made = pa.StructArray.from_arrays(fields, fields=list(arrow))
+            yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, into])
+
+
+def utf8(texts: pa.Array) -> list[bytes | None]:
+    return texts.cast(pa.string()).cast(pa.binary()).to_pylist()
+
+
+# Bytes of a lower-cased text in which everything but letters, digits and what is beyond ASCII is a space.
+WORD_BYTES = bytes(b if b >= 0x80 or chr(b) in "0123456789abcdefghijklmnopqrstuvwxyz" else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
