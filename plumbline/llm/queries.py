@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import contamination, records, toxicity
+from plumbline.llm import contamination, jaccard, records, toxicity
 from plumbline.llm.shared import held_out, shared_folder, table
 
 QUERIES = {}
@@ -48,6 +48,12 @@ def op2_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), score.alias("score"), (score >= TOXIC).cast("int").alias("predicted"))
 
 
+@query
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under links of 80 % of five-word shingles."""
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def contaminated(into: str = "contamination"):
     return (F.col(f"{into}.n_hit") > 0) & (20 * F.col(f"{into}.n_hit") >= F.col(f"{into}.n_words"))
 

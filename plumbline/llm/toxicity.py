@@ -63,19 +63,16 @@ def features_of(text: bytes | None) -> set[bytes]:
 @dataclass
 class Model:
     vocabulary: dict[bytes, int]
-    weights: np.ndarray  # classifiers x features
-    intercepts: np.ndarray
+    weights: np.ndarray
+    intercept: float
 
     def scorer(self):
-        weights = self.weights.T
+        weights = dict(zip(self.vocabulary, self.weights.tolist()))
+        known = frozenset(weights)
 
         def score(texts):
-            out = np.repeat(self.intercepts[None, :], len(texts), 0)
-            for i, text in enumerate(texts):
-                found = [self.vocabulary[f] for f in features_of(text) & self.vocabulary.keys()]
-                if found:
-                    out[i] += weights[found].sum(0)
-            return [(float(s),) for s in (1 / (1 + np.exp(-np.clip(out, -40, 40)))).mean(1)]
+            sums = np.array([sum(sorted(weights[f] for f in known & features_of(t))) for t in texts]) + self.intercept
+            return [(s,) for s in (1 / (1 + np.exp(-np.clip(sums, -40, 40)))).tolist()]
 
         return score
 
@@ -143,8 +140,18 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None, settings: Settings = Set
     for i, at in enumerate(sample["at"]):
         x[i, list(at)] = 1
     is_p = sample["positive"].to_numpy(bool)
-    trained = [_train(x[is_p], x[~is_p], start, prior, settings, settings.seed + i) for i in range(settings.classifiers)]
-    return Model(vocabulary, np.array([w for w, _ in trained]), np.array([b for _, b in trained]))
+    p, u = x[is_p], x[~is_p]
+    # each classifier leaves out a part of P, which then shows how it rates positives that it has not seen
+    part_p, part_u = np.arange(len(p)) % settings.classifiers, np.arange(len(u)) % settings.classifiers
+    weights, intercepts, unseen_p, seen_u = [], [], [], []
+    for i in range(settings.classifiers):
+        w, b = _train(p[part_p != i] if len(p) > settings.classifiers else p, u, start, prior, settings, settings.seed + i)
+        weights.append(w)
+        intercepts.append(b)
+        unseen_p.append(p[part_p == i] @ w + b)
+        seen_u.append(u[part_u == i] @ w + b)
+    slope, shift = _calibrate(np.concatenate(unseen_p), np.concatenate(seen_u), prior)
+    return Model(vocabulary, slope * np.mean(weights, 0), float(slope * np.mean(intercepts) + shift))
 
 
 def _most_telling(in_p, n_p, in_all, n_all, most: int) -> tuple[dict[bytes, int], np.ndarray]:
@@ -184,6 +191,25 @@ def _train(p: np.ndarray, u: np.ndarray, w: np.ndarray, prior: float, s: Setting
     return w, float(b)
 
 
+def _calibrate(p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float]:
+    """Slope and shift that turn a sum into the log-odds of being toxic.
+
+    Logistic regression from P and U alone: the unbiased risk is E_U[log(1 + exp(z))] - prior * E_P[z], convex in both.
+    """
+    if not len(p) or not len(u):
+        return 1.0, 0.0
+    slope, shift = 1.0, 0.0
+    mean = np.array([p.mean(), 1.0]) * prior
+    basis = np.stack([u, np.ones_like(u)], 1).astype(np.float64)
+    for _ in range(50):
+        g = 1 / (1 + np.exp(-np.clip(basis @ [slope, shift], -40, 40)))
+        grad = basis.T @ g / len(u) - mean + 1e-3 * np.array([slope - 1, shift])
+        hess = (basis * (g * (1 - g))[:, None]).T @ basis / len(u) + 1e-3 * np.eye(2)
+        step = np.clip(np.linalg.solve(hess, grad), -1, 1)
+        slope, shift = max(slope - step[0], 0.1), shift - step[1]
+    return float(slope), float(shift)
+
+
 def scored(docs: DataFrame, model: Model | None, into: str = "toxicity") -> DataFrame:
     """``docs`` with ``into.score`` in 0..1, higher where toxic is likelier."""
     if model is None:
