@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import contamination, jaccard, records, toxicity
+from plumbline.llm import contamination, jaccard, mixing, records, toxicity
 from plumbline.llm.shared import held_out, shared_folder, table
 
 QUERIES = {}
@@ -48,6 +48,19 @@ def op2_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), score.alias("score"), (score >= TOXIC).cast("int").alias("predicted"))
 
 
+# Target weights in units; sources that are not named share those of OTHER_UNITS.
+SOURCE_UNITS = {"src0": 15, "src1": 8, "src2": 8, "src3": 8, "src4": 8, "src5": 6, "src6": 6, "src7": 6, "src8": 6, "src9": 6}
+OTHER_UNITS = 23
+BLOCK_DOCS = 16
+
+
+@query
+def op6_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slot of every document when blocks of the sources are interleaved by target weight."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mixed(docs, SOURCE_UNITS, BLOCK_DOCS, OTHER_UNITS)
+
+
 @query
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component of every document under links of 80 % of five-word shingles."""
