@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import contamination, jaccard, mixing, records, toxicity
+from plumbline.llm import contamination, jaccard, language, lines, merkle, mixing, records, secrets, toxicity, urls
 from plumbline.llm.shared import held_out, shared_folder, table
 
 QUERIES = {}
@@ -81,3 +81,45 @@ def op9_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", c.n_words.alias("n_words"), c.n_hit.alias("n_hit"), F.size(c["items"]).cast("long").alias("n_items"),
         F.sha2(F.array_join(c["items"], ","), 256).alias("items_sha256"), contaminated().alias("contaminated"),
     )
+
+
+RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+@query
+def op3_redirect_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict of every page's url by its rule, else by the class of urls it is linked with."""
+    return urls.url_verdicts(table(spark, sf_dir, "pages"), RULES)
+
+
+@query
+def op4_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines each document keeps without later copies of line runs of 50 words, and a digest of what is left."""
+    kept = lines.without_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_deleted", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op5_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document by prototypes from three of four folds."""
+    docs = table(spark, sf_dir, "documents")
+    rated = language.identified(docs.select("doc_id", "text"), language.fit(docs, ~held_out("doc_id", 4, 2)))
+    return rated.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+
+
+@query
+def op8_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of an edited version, and how alike they are."""
+    made = merkle.fingerprinted_with_edits(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+@query
+def op10_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document by fixed patterns and by character models that the patterns' matches train."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.secrets(docs, secrets.fit(docs))
+    many = [(F.size(f"secrets.{k}") / 2).cast("long").alias(f"n_{k}") for k in secrets.KINDS]
+    return found.select(
+        "doc_id", *many, F.sha2(secrets.listed("secrets", secrets.KINDS[:3]), 256).alias("base_sha256"), secrets.listed("secrets", secrets.KINDS).alias("spans")
+    )
