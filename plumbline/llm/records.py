@@ -22,7 +22,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -85,6 +85,12 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One per Python worker, which keeps its caches from task to task."""
+    return Encoder(path)
+
+
 class _Cache(dict):
     def __init__(self, make, most: int):
         super().__init__()
@@ -108,7 +114,7 @@ def frames(payloads: list[bytes]) -> Iterator[bytes]:
 
 def _write_shards(tokenizer: str, end_id: int, folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     task = TaskContext.get()
-    encoder = Encoder(tokenizer)
+    encoder = _encoder(tokenizer)
     end = np.array([end_id], encoder.dtype).tobytes()
     width = len(end)
     path = f"{folder}/shard-{task.partitionId():06d}-{task.taskAttemptId()}.rec"
