@@ -49,8 +49,8 @@ def language_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``turns(seq, conv_id, turn, role, text)`` with one LONG order over all conversations."""
     return table(spark, sf_dir, "conversations").select(
-        (F.col("conv_id") * 1024 + F.col("turn")).alias("seq"), "conv_id", "turn", "role", "text"
+        (F.col("conv_id") * 1048576 + F.col("turn")).alias("seq"), "conv_id", "turn", "role", "text"
     )
 
 
-TURNS_SQL = "turns AS (SELECT conv_id * 1024 + turn AS seq, conv_id, turn, role, text FROM conversations)"
+TURNS_SQL = "turns AS (SELECT conv_id * 1048576 + turn AS seq, conv_id, turn, role, text FROM conversations)"

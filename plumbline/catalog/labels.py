@@ -34,7 +34,7 @@ def feature_rows(spark, sf_dir):
 LABELS_SQL = r"""WITH rows AS (
   SELECT d.doc_id AS seq, CAST(d.doc_id AS VARCHAR) AS id, source AS store, lang AS query, text,
          CASE WHEN toxic = 1 THEN 'AMBIGUO' WHEN quality = 0 THEN 'VENENO_NEGACAO' WHEN quality = 1 THEN 'LEGITIMO_CONTEUDO' END AS rotulo,
-         substr(sha256(lang || '||' || trim(regexp_replace(lower(text), '\s+', ' ', 'g'))), 1, 12) AS key
+         sha256(lang || '||' || trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS key
   FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
 groups AS (
   SELECT key, count(*) AS n_rows, string_agg(DISTINCT store, '|' ORDER BY store) AS stores, count(DISTINCT rotulo) > 1 AS divergent,
@@ -50,9 +50,9 @@ judged AS (
 RULE = "negacao_textual or kw_continuidade"
 
 
-@query("label_content_groups", f"{LABELS_SQL} SELECT key, n_rows, stores, divergent, label, id, query FROM groups")
+@query("label_content_groups", f"{LABELS_SQL} SELECT substr(key, 1, 12) AS key, n_rows, stores, divergent, label, id, query FROM groups")
 def _(spark, sf_dir):
-    return L.label_groups(label_rows(spark, sf_dir)).drop("origem")
+    return L.label_groups(label_rows(spark, sf_dir)).drop("origem", "content")
 
 
 @query(

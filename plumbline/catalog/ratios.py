@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from math import exp, factorial
-
 from pyspark.sql import functions as F
 
 from plumbline.catalog.base import query, rounded, table
-from plumbline.functions.stats import PRIME, within
+from plumbline.functions.stats import DRAW_BITS, poisson_limits, within
 from plumbline.operators import ratios as R
 from plumbline.plans import studies
 
@@ -18,33 +16,25 @@ def line_pairs(spark, sf_dir):
     """Price over quantity per order line; the key numbers the lines."""
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_returnflag").alias("condition"), F.col("l_extendedprice").alias("num"), F.col("l_quantity").alias("den"),
-        (F.col("l_orderkey") * 64 + F.col("l_linenumber") * 8 + F.col("l_suppkey") % 8).alias("key"), F.col("l_orderkey").alias("cluster"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("key"), F.col("l_orderkey").alias("cluster"),
     )
 
 
 LINES_SQL = """lines AS (SELECT l_returnflag AS condition, l_extendedprice AS num, l_quantity AS den,
-  l_orderkey * 64 + l_linenumber * 8 + l_suppkey % 8 AS key, l_orderkey AS cluster FROM lineitem)"""
+  l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS key, l_orderkey AS cluster FROM lineitem)"""
 
 
 def draw_sql(key, rep, seed):
-    """The residue of the draw, as nested arithmetic."""
-    x = f"(((({key}) % {PRIME}) * 48271 + ({rep}) * 69621 + {seed * 16807}) % {PRIME})"
-    return x
+    """The draw of a key in a replicate."""
+    return f"CAST('0x' || substr(md5('{seed}:' || CAST({key} AS VARCHAR) || ':' || CAST({rep} AS VARCHAR)), 1, {DRAW_BITS // 4}) AS BIGINT)"
 
 
 def weights_sql(source, keep, key="key", b=B, seed=SEED):
     """CTEs that give every row of ``source`` its Poisson weight in every replicate."""
-    limits, total = [], 0.0
-    for i in range(10):
-        total += exp(-1.0) / factorial(i)
-        limits.append(int(total * PRIME))
-    case = "CASE " + " ".join(f"WHEN u < {v} THEN {i}" for i, v in enumerate(limits)) + " ELSE 10 END"
-    return f"""d0 AS (SELECT {keep}, num, den, b, {draw_sql(key, 'b', seed)} AS x FROM {source} CROSS JOIN generate_series(0, {b - 1}) g(b)),
-    d1 AS (SELECT *, (x + 1013904223) % {PRIME} AS y FROM d0), d2 AS (SELECT *, y * y % {PRIME} AS s FROM d1),
-    d3 AS (SELECT {keep}, num, den, b, s * s % {PRIME} * y % {PRIME} AS x FROM d2),
-    d4 AS (SELECT *, (x + 1664525) % {PRIME} AS y FROM d3), d5 AS (SELECT *, y * y % {PRIME} AS s FROM d4),
-    d6 AS (SELECT {keep}, num, den, b, s * s % {PRIME} * y % {PRIME} AS u FROM d5),
-    weighted AS (SELECT *, {case} AS w FROM d6)"""
+    limits = poisson_limits()
+    case = "CASE " + " ".join(f"WHEN u < {v} THEN {i}" for i, v in enumerate(limits)) + f" ELSE {len(limits)} END"
+    return f"""drawn AS (SELECT {keep}, num, den, b, {draw_sql(key, 'b', seed)} AS u FROM {source} CROSS JOIN generate_series(0, {b - 1}) g(b)),
+    weighted AS (SELECT *, {case} AS w FROM drawn)"""
 
 
 def interval_sql(source, by, value, conf):
@@ -130,10 +120,7 @@ COVER_REPS = 40
 @query(
     "interval_coverage",
     f"""WITH pairs AS (SELECT event_id AS key, value AS num, CAST(json_extract(props, '$.k') AS DOUBLE) + 1 AS den FROM events),
-    c0 AS (SELECT *, {draw_sql('key', '0', 1)} AS x FROM pairs), c1 AS (SELECT *, (x + 1013904223) % {PRIME} AS y FROM c0),
-    c2 AS (SELECT *, y * y % {PRIME} AS s FROM c1), c3 AS (SELECT key, num, den, s * s % {PRIME} * y % {PRIME} AS x FROM c2),
-    c4 AS (SELECT *, (x + 1664525) % {PRIME} AS y FROM c3), c5 AS (SELECT *, y * y % {PRIME} AS s FROM c4),
-    parts AS (SELECT key, num, den, s * s % {PRIME} * y % {PRIME} % {COVER_REPS} AS rep FROM c5),
+    parts AS (SELECT key, num, den, {draw_sql('key', '0', 1)} % {COVER_REPS} AS rep FROM pairs),
     {weights_sql('parts', 'rep')}, reps AS (SELECT rep, b, sum(w * num) / sum(w * den) AS v FROM weighted GROUP BY rep, b),
     {interval_sql('reps', 'rep', 'v', 0.90)}, t AS (SELECT sum(num) / sum(den) AS truth FROM pairs),
     h AS (SELECT count(*) AS reps, avg(CASE WHEN truth BETWEEN lo AND hi THEN 1.0::DOUBLE ELSE 0 END) AS coverage, avg(hi - lo) AS w FROM interval_, t)

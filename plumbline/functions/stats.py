@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.text import _col
 
 Z95 = 1.96
-PRIME = 2147483647  # 2^31 - 1, so a product of two residues fits a long
+DRAW_BITS = 60  # fifteen hex digits of a digest, which fit a long
 
 
 def wilson(k: Column | str, n: Column | str, z: float = Z95) -> Column:
@@ -43,36 +43,32 @@ def separated(lo_above: Column | str, hi_below: Column | str) -> Column:
 
 
 def with_draw(df: DataFrame, key: str, replicate: str | int, seed: int, out: str = "u") -> DataFrame:
-    """Attach a pseudo-random residue in [0, PRIME) fixed by (seed, key, replicate).
+    """Attach a pseudo-random long below 2 ** DRAW_BITS fixed by (seed, key, replicate).
 
-    Two rounds of the permutation x -> (x + c)^5 of the prime field over a linear start, in
-    long arithmetic only: the same value on every executor, after any retry and in any engine.
-    Each step is a column of its own, so that generated code computes every power once.
+    The draw is the head of a digest of the three, so replicates are independent streams, no two keys
+    share one, and the value is the same on every executor, after any retry and in any engine. The key
+    may be of any type that has a text form.
     """
     rep = F.lit(replicate) if isinstance(replicate, int) else F.col(replicate)
-    start = F.pmod(F.col(key).cast("long"), F.lit(PRIME)) * 48271 + rep.cast("long") * 69621 + seed * 16807
-    staged = df.withColumn("_x", F.pmod(start, F.lit(PRIME)))
-    for shift in (1013904223, 1664525):
-        staged = (
-            staged.withColumn("_y", (F.col("_x") + shift) % PRIME)
-            .withColumn("_s", F.col("_y") * F.col("_y") % PRIME)
-            .withColumn("_x", F.col("_s") * F.col("_s") % PRIME * F.col("_y") % PRIME)
-        )
-    return staged.withColumn(out, F.col("_x")).drop("_x", "_y", "_s")
-
-
-def poisson_limits(max_count: int = 10) -> list[int]:
-    """Residue limits of the Poisson(1) distribution: a draw below limit i means a count <= i."""
+    whole = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), rep.cast("string")))
+    return df.withColumn(out, F.conv(F.substring(whole, 1, DRAW_BITS // 4), 16, 10).cast("long"))
+
+
+def poisson_limits(max_count: int = 20) -> list[int]:
+    """Limits of the Poisson(1) distribution: a draw below limit i means a count <= i.
+
+    Beyond 20 the rest of the distribution is smaller than one step of the draw.
+    """
     total, out = 0.0, []
     for i in range(max_count):
         total += exp(-1.0) / factorial(i)
-        out.append(int(total * PRIME))
+        out.append(int(min(total, 1.0) * (1 << DRAW_BITS)))
     return out
 
 
-def poisson_weight(residue: Column) -> Column:
+def poisson_weight(draw: Column) -> Column:
     """How often a row enters one bootstrap replicate."""
     weight = F.lit(len(poisson_limits()))
     for count, limit in reversed(list(enumerate(poisson_limits()))):
-        weight = F.when(residue < limit, F.lit(count)).otherwise(weight)
+        weight = F.when(draw < limit, F.lit(count)).otherwise(weight)
     return weight

@@ -104,8 +104,13 @@ def normalize_lower(x: Column | str) -> Column:
 
 
 def content_key(question: Column | str, answer: Column | str) -> Column:
+    """The whole digest, as groups of any number of contents must not merge; ``short_key`` is what reports show."""
     whole = F.concat(normalize_lower(question), F.lit("||"), normalize_lower(answer))
-    return F.substring(F.sha2(whole, 256), 1, 12)
+    return F.sha2(whole, 256)
+
+
+def short_key(key: Column | str) -> Column:
+    return F.substring(_col(key), 1, 12)
 
 
 def text_hash(x: Column | str) -> Column:

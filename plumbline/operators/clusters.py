@@ -54,7 +54,7 @@ def similarity_forest(entries: DataFrame, threshold: float = MERGE_COSINE, block
     return left.groupBy("x", "y").cogroup(right.groupBy("x2", "y2")).applyInPandas(forest, "a bigint, b bigint").filter("a <> b")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``(id, component)`` with the smallest id of each component as its label.
 
     Each round takes the smallest label among neighbours and then the label of that label, so
@@ -62,7 +62,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """
     both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = checkpointed(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("component")))
-    for _ in range(max_rounds):
+    while True:
         offered = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("_near"))
         hooked = labels.join(offered, "id").select("id", F.col("component").alias("_old"), F.least("component", "_near").alias("component"))
         parent = hooked.select(F.col("id").alias("component"), F.col("component").alias("_up"))
@@ -72,7 +72,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         labels = step.select("id", "component")
         if step.filter("component <> _old").isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def merge_clusters(entries: DataFrame, threshold: float = MERGE_COSINE, keep_class: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:

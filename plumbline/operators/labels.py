@@ -19,6 +19,8 @@ AMBIGUOUS = "AMBIGUO"
 def label_groups(labels: DataFrame) -> DataFrame:
     """One row per content group of ``labels(seq, id, store, origem, query, resposta, rotulo)``.
 
+    ``content`` is the digest that groups, ``key`` its first 12 digits.
+
     ``label`` is the group's only label (null if none or several), ``divergent`` marks several.
     The first row represents the group. Everything is a combinable aggregate, so a group that
     holds a large share of the rows is merged map-side.
@@ -33,7 +35,7 @@ def label_groups(labels: DataFrame) -> DataFrame:
             F.array_join(F.sort_array(F.collect_set("store")), "|").alias("stores"),
         )
         .select(
-            "key", "n_rows", "stores", F.coalesce(F.col("_a") != F.col("_b"), F.lit(False)).alias("divergent"),
+            T.short_key("key").alias("key"), F.col("key").alias("content"), "n_rows", "stores", F.coalesce(F.col("_a") != F.col("_b"), F.lit(False)).alias("divergent"),
             F.when(F.col("_a") == F.col("_b"), F.col("_a")).alias("label"),
             F.col("_first.id").alias("id"), F.col("_first.origem").alias("origem"), F.col("_first.query").alias("query"),
         )
@@ -54,7 +56,7 @@ def propagate_labels(labels: DataFrame) -> DataFrame:
 
     A join on the key, not a window over it: a hot group can be split by adaptive execution.
     """
-    single = label_groups(labels).filter("label IS NOT NULL").select("key", F.col("label").alias("group_label"))
+    single = label_groups(labels).filter("label IS NOT NULL").select(F.col("content").alias("key"), F.col("label").alias("group_label"))
     return (
         labels.withColumn("key", T.content_key("query", "resposta"))
         .join(single, "key", "left")
@@ -68,7 +70,9 @@ def class_distribution(labels: DataFrame) -> DataFrame:
 
 
 def with_rule(features: DataFrame, rule: str, out: str) -> DataFrame:
-    """Evaluate a boolean rule over feature columns; a rule that cannot be evaluated is false.
+    """Evaluate a boolean rule over feature columns; a rule over a column that is not there is false.
+
+    Any other fault of a rule is an error.
 
     Absent flags count as false before the rule sees them, so ``NOT flag`` holds for them.
     """
@@ -77,7 +81,9 @@ def with_rule(features: DataFrame, rule: str, out: str) -> DataFrame:
     view = features.select(*kept, *[F.coalesce(c, F.lit(False)).alias(c) for c in flags], F.struct(*features.columns).alias("_row"))
     try:
         judged = view.select("_row.*", F.coalesce(F.expr(rule).cast("boolean"), F.lit(False)).alias(out))
-    except AnalysisException:
+    except AnalysisException as fault:
+        if not (fault.getCondition() or "").startswith("UNRESOLVED_COLUMN"):
+            raise
         judged = view.select("_row.*", F.lit(False).alias(out))
     return judged
 

@@ -52,20 +52,19 @@ def flag_overlaps(
 ) -> DataFrame:
     """Mark samples whose interval contains a switch as ``suspect``; none is removed.
 
-    Times are LONG milliseconds. An interval is written once per time cell it touches and meets
-    that cell's distinct switch times (at most ``1000 * cell``).
+    Times are LONG milliseconds. Each different interval is written once per time cell it touches
+    and meets that cell's distinct switch times (at most ``1000 * cell``); samples then look up
+    their interval. Equal samples stay apart, and an interval with a null end is not suspect.
     """
     width = cell * 1000
     marks = (
         switches.withColumn("_cell", F.floor(F.col(at) / width)).groupBy(*by, "_cell").agg(F.collect_set(at).alias("_marks"))
     )
-    keyed = samples.withColumn("_id", F.struct(*samples.columns)).select(
-        "_id", *by, F.col(start).alias("_s"), F.col(end).alias("_e"),
-        F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))).alias("_cell"),
-    )
-    hit = F.coalesce(F.exists("_marks", lambda m: (m >= F.col("_s")) & (m <= F.col("_e"))), F.lit(False))
-    touched = keyed.join(marks, [*by, "_cell"], "left").withColumn("_hit", hit)
-    return touched.groupBy("_id").agg(F.bool_or("_hit").alias("suspect")).select("_id.*", "suspect")
+    spans = samples.select(*by, F.col(start).alias("_s"), F.col(end).alias("_e")).filter("_s <= _e").distinct()
+    cells = spans.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_s") / width), F.floor(F.col("_e") / width))))
+    met = cells.join(marks, [*by, "_cell"]).filter(F.exists("_marks", lambda m: (m >= F.col("_s")) & (m <= F.col("_e"))))
+    hit = met.select(*by, F.col("_s").alias(start), F.col("_e").alias(end)).distinct().withColumn("_hit", F.lit(True))
+    return samples.join(hit, [*by, start, end], "left").select(*samples.columns, F.coalesce("_hit", F.lit(False)).alias("suspect"))
 
 
 def resolve_targets(memory: DataFrame, specs: Sequence[Mapping[str, str]]) -> DataFrame:

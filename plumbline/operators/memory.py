@@ -63,11 +63,11 @@ def first_occurrences(df: DataFrame, text: str, order: str) -> DataFrame:
 def with_predecessor(turns: DataFrame, group: str = "conv_id", order: str = "seq", text: str = "query") -> DataFrame:
     """Pair each turn with the one before it in its conversation; first turns are left out.
 
-    ``order`` runs over all conversations with each one contiguous, so the neighbour is found in
-    the global order and a very long conversation is never one window.
+    The neighbour is found inside the conversation, cell by cell of ``order``, so conversations may
+    interleave and a very long one is never one window.
     """
-    prior = with_previous(turns, order, [group, text], out="_p")
-    return prior.filter(F.col(f"_p.{group}") == F.col(group)).withColumn("predecessor", F.col(f"_p.{text}")).drop("_p")
+    prior = with_previous(turns, order, [text], by=[group], out="_p")
+    return prior.filter(F.col("_p").isNotNull()).withColumn("predecessor", F.col(f"_p.{text}")).drop("_p")
 
 
 def memory_inventory(df: DataFrame) -> DataFrame:

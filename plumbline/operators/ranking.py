@@ -12,7 +12,6 @@ from plumbline.functions.text import overlap_share, rerank_tokens
 
 # Weight of the concept overlap and the size of a candidate pool.
 RERANK_WEIGHT = 0.25
-POOL_SIZE = 100
 
 
 def target_ranks(hits: DataFrame, targets: DataFrame, cutoff: int | None = None) -> DataFrame:

@@ -89,7 +89,7 @@ def bootstrap_replicates(
     The weight of a row in a replicate depends on (seed, key, replicate) alone, so partitioning
     and retries change nothing. Each task adds its rows into groups x b sums before the shuffle.
     """
-    drawn = df.select(*by, F.col(num).cast("double").alias("_a"), F.col(den).cast("double").alias("_d"), F.col(key).cast("long").alias("_k"))
+    drawn = df.select(*by, F.col(num).cast("double").alias("_a"), F.col(den).cast("double").alias("_d"), F.col(key).cast("string").alias("_k"))
     spread = fan_out(drawn, "_k").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
     # No filter on the weight: pushed below the projections it would repeat the whole draw.
     weighted = with_draw(spread, "_k", "b", seed, "_u").withColumn("_w", poisson_weight(F.col("_u")))

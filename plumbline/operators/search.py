@@ -170,17 +170,16 @@ def fuse_weighted(vector: DataFrame, text: DataFrame, k: int, alpha: float = HYB
     return fused.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k)
 
 
-def mmr(pool: DataFrame, k: int, lam: float = MMR_LAMBDA, depth: int = 100) -> DataFrame:
+def mmr(pool: DataFrame, k: int, lam: float = MMR_LAMBDA) -> DataFrame:
     """Greedy diversification of each query's pool ``(seq, id, score, pos, vec)``.
 
-    Only the first ``depth`` candidates of a ranked list enter, as in the retrieval step, so a
-    group handed to one call is bounded by the retrieval depth.
+    The whole pool enters. It is what the caller ranked for one query, and one task holds it with
+    one row of similarities, never all pairs.
     """
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos", ignore_index=True)
         unit, base = _unit(pdf["vec"]), pdf["score"].to_numpy()
-        sims = np.round(unit @ unit.T, DIGITS)
         chosen: list[int] = []
         nearest = np.zeros(len(pdf))
         open_ = np.ones(len(pdf), dtype=bool)
@@ -189,14 +188,15 @@ def mmr(pool: DataFrame, k: int, lam: float = MMR_LAMBDA, depth: int = 100) -> D
             best = int(np.argmax(value))
             chosen.append(best)
             open_[best] = False
-            nearest = np.maximum(nearest, sims[best]) if len(chosen) > 1 else sims[best].copy()
+            sims = np.round(unit @ unit[best], DIGITS)
+            nearest = np.maximum(nearest, sims) if len(chosen) > 1 else sims
         out = pdf.loc[chosen, ["seq", "id", "score"]].copy()
         out["pos"] = range(1, len(out) + 1)
         return out
 
     id_type = pool.schema["id"].dataType.simpleString()
-    bounded = pool.filter(F.col("pos") <= depth).select("seq", "id", "score", "pos", "vec")
-    return bounded.groupBy("seq").applyInPandas(pick, f"seq bigint, id {id_type}, score double, pos int")
+    ranked = pool.select("seq", "id", "score", "pos", "vec")
+    return ranked.groupBy("seq").applyInPandas(pick, f"seq bigint, id {id_type}, score double, pos int")
 
 
 def comparable_turns(turns: DataFrame, min_words: int = MIN_WORDS, max_chars: int = MAX_CHARS) -> DataFrame:

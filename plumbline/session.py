@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,14 +23,27 @@ def build_session(app: str = "plumbline", master: str | None = None, **conf: str
         builder = builder.master(master)
     for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def shared_root(spark: SparkSession) -> str:
+    """A folder that every executor can reach, as named by the session."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, so that tasks find it wherever the driver was started."""
+    folder = Path(__file__).resolve().parent
+    archive = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="plumbline-")) / "plumbline"), "zip", folder.parent, folder.name)
+    spark.sparkContext.addPyFile(archive)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` in the folder the cluster names in ``spark.checkpoint.dir``.
 
-    A folder is made only for a local master with the setting absent; on a cluster a
-    machine-local folder would be lost with its executor, so that case is an error.
+    Where that is unset, a folder below the warehouse is used, which executors share as well.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -36,10 +51,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named:
             sc.setCheckpointDir(named)
-        elif sc.master.startswith("local"):
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-ckpt-"))
         else:
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+            sc.setCheckpointDir(shared_root(spark))
     return df.checkpoint(eager=True)
 
 

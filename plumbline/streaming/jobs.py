@@ -12,24 +12,12 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from plumbline.operators.ratios import STRATA, valid_population
+from plumbline.session import shared_root
 
 # Columns a collector may not see before the collection is complete.
 BLIND_COLUMNS = ("text_chars", "payload_bytes", "usage", "input_tokens", "output_tokens")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a local session without one gets a temporary folder."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    import tempfile
-
-    return tempfile.mkdtemp(prefix="plumbline-stream-")
-
-
 def file_stream(spark: SparkSession, folder: str, name: str, like: DataFrame, files_per_trigger: int | None = None) -> DataFrame:
     """Parquet files called ``name`` below ``folder`` as a stream with the schema of ``like``."""
     reader = spark.readStream.schema(like.schema).option("pathGlobFilter", name)
@@ -45,7 +33,7 @@ def drain(stream: DataFrame, mode: str = "append", keys: Sequence[str] = ()) ->
     mode the latest row per key counts.
     """
     spark = stream.sparkSession
-    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
@@ -106,10 +94,17 @@ def stream_repeats(results: DataFrame) -> DataFrame:
     )
 
 
+def split_overlong(samples: DataFrame, longest: str = "1 hour") -> tuple[DataFrame, DataFrame]:
+    """Samples that :func:`stream_overlaps` can take, and those longer than ``longest``, which go to the batch form."""
+    fits = F.expr(f"end <= start + INTERVAL {longest}")
+    return samples.filter(fits), samples.filter(~F.coalesce(fits, F.lit(False)))
+
+
 def stream_overlaps(samples: DataFrame, switches: DataFrame, by: str, longest: str = "1 hour", delay: str = "1 hour") -> DataFrame:
     """Pairs of a sample ``(sample_id, start, end)`` and a mode switch ``(at)`` inside its interval.
 
-    ``longest`` bounds an interval and with the watermarks bounds the join state on both sides.
+    ``longest`` bounds an interval and with the watermarks bounds the join state on both sides. A sample
+    may be longer only if it was parted off by :func:`split_overlong`; none is dropped in silence.
     """
     s = samples.withWatermark("start", delay).withColumnRenamed(by, "_by")
     w = switches.withWatermark("at", delay)

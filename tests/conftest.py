@@ -10,10 +10,11 @@ from plumbline.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("shared")
     session = build_session(
         "tests", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
-                                "spark.driver.memory": "8g"}
+                                "spark.driver.memory": "8g", "spark.checkpoint.dir": f"file://{shared}/checkpoints", "spark.sql.warehouse.dir": f"{shared}/warehouse"}
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
