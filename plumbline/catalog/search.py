@@ -50,15 +50,15 @@ def _(spark, sf_dir):
 
 
 def hybrid_inputs(spark, sf_dir):
-    """Passages as queries; documents that have a vector as the corpus."""
+    """Passages as queries and documents as the corpus, all of them; a vector where there is one."""
     q_vec, c_vec = vectors(spark, sf_dir)
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq"), "text")
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return b.join(q_vec, "seq"), d.join(c_vec, "id")
+    return b.join(q_vec, "seq", "left"), d.join(c_vec, "id", "left")
 
 
-HYBRID_SQL = r"""q AS (SELECT item_id AS seq, text, embedding FROM benchmark JOIN embeddings ON vec_id = item_id),
-c AS (SELECT doc_id AS id, text, embedding FROM documents JOIN embeddings ON vec_id = doc_id),
+HYBRID_SQL = r"""q AS (SELECT item_id AS seq, text, embedding FROM benchmark LEFT JOIN embeddings ON vec_id = item_id),
+c AS (SELECT doc_id AS id, text, embedding FROM documents LEFT JOIN embeddings ON vec_id = doc_id),
 qt AS (SELECT DISTINCT seq, term FROM (SELECT seq, unnest(regexp_split_to_array(lower(text), '[^0-9\p{L}]+')) AS term FROM q) WHERE term <> ''),
 cw AS (SELECT id, list_filter(regexp_split_to_array(lower(text), '[^0-9\p{L}]+'), lambda w: w <> '') AS words FROM c),
 n AS (SELECT count(*) AS n_docs, avg(len(words)) AS avg_words FROM cw),
@@ -67,7 +67,7 @@ dfq AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 bm AS (SELECT seq, id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n_words / avg_words))), 9) AS bm25
   FROM tf JOIN dfq USING (term) JOIN qt USING (term), n GROUP BY seq, id),
 bm_top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY bm25 DESC, id) AS pos FROM bm) WHERE pos <= 50),
-vv AS (SELECT q.seq, c.id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) AS score FROM q, c),
+vv AS (SELECT q.seq, c.id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) AS score FROM q, c WHERE q.embedding IS NOT NULL AND c.embedding IS NOT NULL),
 v_top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY score DESC, id) AS pos FROM vv) WHERE pos <= 50)"""
 
 
@@ -78,7 +78,7 @@ def _bm(spark, sf_dir):
 
 def _vec(spark, sf_dir):
     q, c = hybrid_inputs(spark, sf_dir)
-    return Q.cosine_topk(q, c, 50)
+    return Q.cosine_topk(q.filter("vec IS NOT NULL"), c.filter("vec IS NOT NULL"), 50)
 
 
 @query("bm25_topk", f"WITH {HYBRID_SQL} SELECT seq, id, round(bm25, 6) AS bm25, pos FROM bm_top")
@@ -110,7 +110,7 @@ def _(spark, sf_dir):
     """Greedy per query, checked against brute force in the tests."""
     q, c = hybrid_inputs(spark, sf_dir)
     fused = Q.fuse_rrf(_vec(spark, sf_dir), _bm(spark, sf_dir), 50)
-    return Q.mmr(fused.join(c.select("id", "vec"), "id"), 10)
+    return Q.mmr(fused.join(c.select("id", "vec"), "id", "left"), 10)
 
 
 @query(
@@ -328,11 +328,11 @@ def _(spark, sf_dir):
 
 def turns_with_vectors(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), "text")
-    return d.join(vectors(spark, sf_dir)[0], "seq")
+    return d.join(vectors(spark, sf_dir)[0], "seq", "left")
 
 
-REPEAT_SQL = """t AS (SELECT doc_id AS seq, text, embedding::DOUBLE[] AS v FROM documents JOIN embeddings ON vec_id = doc_id),
-kept AS (SELECT * FROM t WHERE len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) >= 5 AND length(text) <= 2000),
+REPEAT_SQL = """t AS (SELECT doc_id AS seq, text, embedding::DOUBLE[] AS v FROM documents LEFT JOIN embeddings ON vec_id = doc_id),
+kept AS (SELECT * FROM t WHERE v IS NOT NULL AND len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) >= 5 AND length(text) <= 2000),
 best AS (SELECT a.seq, max(round(list_cosine_similarity(a.v, b.v), 9)) AS best FROM kept a LEFT JOIN kept b ON b.seq < a.seq GROUP BY a.seq),
 rates AS (SELECT count(*) AS n, avg(CASE WHEN best >= 0.80 THEN 1.0::DOUBLE ELSE 0 END) AS rate_080, avg(CASE WHEN best >= 0.85 THEN 1.0::DOUBLE ELSE 0 END) AS rate_085, avg(CASE WHEN best >= 0.90 THEN 1.0::DOUBLE ELSE 0 END) AS rate_090,
   (SELECT count(*) FROM t) AS n_turns FROM best)"""
@@ -340,7 +340,7 @@ rates AS (SELECT count(*) AS n, avg(CASE WHEN best >= 0.80 THEN 1.0::DOUBLE ELSE
 
 @query("nearest_earlier_turn", f"WITH {REPEAT_SQL} SELECT seq, round(best, 6) AS best FROM best")
 def _(spark, sf_dir):
-    return rounded(Q.nearest_earlier(Q.comparable_turns(turns_with_vectors(spark, sf_dir))))
+    return rounded(Q.nearest_earlier(Q.comparable_turns(turns_with_vectors(spark, sf_dir)).filter("vec IS NOT NULL")))
 
 
 @query(

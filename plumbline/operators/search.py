@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.session import row_count_within
+from plumbline.session import checkpointed, row_count_within
 
 # Fusion and diversification constants, turn filter, similarity levels.
 RRF_K, HYBRID_ALPHA, MMR_LAMBDA = 60, 0.5, 0.5
@@ -19,6 +20,8 @@ BM25_K1, BM25_B = 1.5, 0.75
 # Query vectors up to this number travel to every task; 4096 x 384 doubles are 12 MB.
 BROADCAST_QUERIES = 4096
 BLOCK_ROWS = 4096
+# Terms of the queries that are sent to a task at one time.
+QUERY_TERMS = 1_000_000
 DIGITS = 9
 
 
@@ -117,12 +120,17 @@ def _terms(df: DataFrame, key: str) -> DataFrame:
     return df.select(key, words.alias("words"))
 
 
-def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+def bm25_topk(
+    queries: DataFrame, corpus: DataFrame, k: int, k1: float = BM25_K1, b: float = BM25_B, query_terms: int = QUERY_TERMS
+) -> DataFrame:
     """``(seq, id, bm25, pos)`` of the best ``k`` texts ``(id, text)`` per query ``(seq, text)``.
 
-    Only corpus terms that occur in some query are counted. Term statistics are combinable
-    aggregates; scores are summed per (query, text) before the ranking.
+    Only corpus terms that occur in some query are counted, as combinable aggregates. A text then
+    meets the queries inside its task, which keeps the best k per query, so a common term never
+    becomes a row per query and text. Queries travel in parts of about ``query_terms`` terms, one
+    pass over the weighted terms each.
     """
+    spark = queries.sparkSession
     wanted = _terms(queries, "seq").select("seq", F.explode(F.array_distinct("words")).alias("term"))
     vocabulary = wanted.select("term").distinct()
     docs = _terms(corpus, "id").withColumn("n_words", F.size("words"))
@@ -137,14 +145,47 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int, k1: float = BM25_K1
     weighted = tf.join(df, "term").crossJoin(totals)
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n_words") / F.col("avg_words")))
-    scored = (
-        weighted.select("id", "term", gain.alias("g"))
-        .join(wanted, "term")
-        .groupBy("seq", "id")
-        .agg(F.round(F.sum("g"), DIGITS).alias("bm25"))
-    )
+    held = weighted.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", gain.alias("g")))).alias("terms"))
+    parts = 1 + wanted.count() // query_terms
+    if parts > 1:
+        held = checkpointed(held)
+    schema = f"seq {queries.schema['seq'].dataType.simpleString()}, id {corpus.schema['id'].dataType.simpleString()}, bm25 double"
+    found = None
+    for part in range(parts):
+        asked = wanted.filter(F.pmod(F.xxhash64("seq"), F.lit(parts)) == part).groupBy("seq").agg(F.sort_array(F.collect_list("term")).alias("terms"))
+        index = spark.sparkContext.broadcast([(r.seq, r.terms) for r in asked.collect()])
+        best = held.mapInPandas(partial(_bm25_best, index, k), schema)
+        found = best if found is None else found.unionByName(best)
     w = Window.partitionBy("seq").orderBy(F.desc("bm25"), "id")
-    return scored.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k)
+    return found.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k)
+
+
+def _bm25_best(index, k: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The best k texts of each query among the texts of one task."""
+    seqs = np.array([seq for seq, _ in index.value])
+    asks: dict[str, list[int]] = {}
+    for i, (_, terms) in enumerate(index.value):
+        for term in terms:
+            asks.setdefault(term, []).append(i)
+    rows_of = {term: np.array(i) for term, i in asks.items()}
+    held: pd.DataFrame | None = None
+    for batch in batches:
+        for start in range(0, len(batch), 256):
+            some = batch.iloc[start : start + 256]
+            if some.empty or not len(seqs):
+                continue
+            scores = np.zeros((len(seqs), len(some)))
+            for j, terms in enumerate(some["terms"]):
+                for t in terms:
+                    if t["term"] in rows_of:
+                        scores[rows_of[t["term"]], j] += t["g"]
+            scores = np.round(scores, DIGITS)
+            r, c = _local_best(np.where(scores > 0, scores, -np.inf), some["id"].to_numpy(), k, 0.0)
+            new = pd.DataFrame({"seq": seqs[r], "id": some["id"].to_numpy()[c], "bm25": scores[r, c]})
+            both = new if held is None else pd.concat([held, new])
+            held = both.sort_values(["seq", "bm25", "id"], ascending=[True, False, True]).groupby("seq", sort=False).head(k)
+    if held is not None:
+        yield held
 
 
 def fuse_rrf(a: DataFrame, b: DataFrame, k: int, weight_a: float = 1.0, weight_b: float = 1.0, rrf_k: int = RRF_K) -> DataFrame:
@@ -173,13 +214,14 @@ def fuse_weighted(vector: DataFrame, text: DataFrame, k: int, alpha: float = HYB
 def mmr(pool: DataFrame, k: int, lam: float = MMR_LAMBDA) -> DataFrame:
     """Greedy diversification of each query's pool ``(seq, id, score, pos, vec)``.
 
-    The whole pool enters. It is what the caller ranked for one query, and one task holds it with
+    The whole pool enters; a candidate without a vector is like no other. The pool is what the caller ranked for one query, and one task holds it with
     one row of similarities, never all pairs.
     """
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos", ignore_index=True)
-        unit, base = _unit(pdf["vec"]), pdf["score"].to_numpy()
+        width = max((len(v) for v in pdf["vec"] if v is not None), default=1)
+        unit, base = _unit(pdf["vec"].map(lambda v: [0.0] * width if v is None else v)), pdf["score"].to_numpy()
         chosen: list[int] = []
         nearest = np.zeros(len(pdf))
         open_ = np.ones(len(pdf), dtype=bool)
@@ -234,8 +276,11 @@ def nearest_earlier(turns: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame
 
 
 def repetition_rate(turns: DataFrame, levels: Sequence[float] = LEVELS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Share of turns ``(seq, text, vec)`` with an earlier similar turn at each level; one row."""
-    kept = comparable_turns(turns)
+    """Share of turns ``(seq, text, vec)`` with an earlier similar turn at each level; one row.
+
+    Turns without a vector cannot be compared and count as discarded.
+    """
+    kept = comparable_turns(turns).filter("vec IS NOT NULL")
     best = nearest_earlier(kept, block_rows)
     rates = [
         F.avg(F.coalesce(F.col("best") >= lv, F.lit(False)).cast("double")).alias(f"rate_{round(lv * 100):03d}") for lv in levels
