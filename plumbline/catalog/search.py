@@ -105,12 +105,24 @@ def _(spark, sf_dir):
     return rounded(Q.fuse_weighted(_vec(spark, sf_dir), _bm(spark, sf_dir), 10))
 
 
-@query("hybrid_mmr")
+@query(
+    "hybrid_mmr",
+    f"""WITH RECURSIVE {HYBRID_SQL}, fused AS (SELECT seq, id, round(coalesce(1.0 / (60 + v.pos), 0.0) + coalesce(1.0 / (60 + b.pos), 0.0), 9)::DOUBLE AS score FROM v_top v FULL JOIN bm_top b USING (seq, id)),
+    pool AS (SELECT seq, f.id, score, pos, embedding::DOUBLE[] AS v FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY score DESC, id) AS pos FROM fused) f JOIN c ON c.id = f.id WHERE pos <= 50),
+    walk AS (SELECT seq, id, score, pos, v, 0.0::DOUBLE AS nearest, 0 AS taken, 0 AS n FROM pool
+      UNION ALL
+      SELECT w.seq, w.id, w.score, w.pos, w.v,
+             CASE WHEN w.n = 0 THEN coalesce(round(list_cosine_similarity(w.v, b.v), 9), 0.0) ELSE greatest(w.nearest, coalesce(round(list_cosine_similarity(w.v, b.v), 9), 0.0)) END,
+             CASE WHEN w.id = b.id THEN w.n + 1 ELSE w.taken END, w.n + 1
+      FROM walk w JOIN (SELECT seq, id, v FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY round(0.5 * score - 0.5 * nearest, 9) DESC, pos) AS best FROM walk WHERE taken = 0) WHERE best = 1) b
+        ON b.seq = w.seq WHERE w.n < 10)
+    SELECT seq, id, round(score, 6) AS score, CAST(taken AS BIGINT) AS pos FROM (SELECT *, max(n) OVER (PARTITION BY seq) AS last FROM walk) WHERE n = last AND taken > 0""",
+)
 def _(spark, sf_dir):
-    """Greedy per query, checked against brute force in the tests."""
+    """Greedy choice per query."""
     q, c = hybrid_inputs(spark, sf_dir)
     fused = Q.fuse_rrf(_vec(spark, sf_dir), _bm(spark, sf_dir), 50)
-    return Q.mmr(fused.join(c.select("id", "vec"), "id", "left"), 10)
+    return rounded(Q.mmr(fused.join(c.select("id", "vec"), "id", "left"), 10))
 
 
 @query(

@@ -251,9 +251,18 @@ def _(spark, sf_dir):
     return d.select("p_partkey", "d.key_assertion", F.array_join("d.concepts", "|").alias("concepts"), "d.domain")
 
 
-@query("memory_cluster_merge")
+@query(
+    "memory_cluster_merge",
+    """WITH RECURSIVE edges AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
+      AND round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) > 0.40),
+    reached AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, e.b FROM reached r JOIN edges e ON e.a = r.b),
+    placed AS (SELECT a AS vec_id, min(b) AS component FROM reached GROUP BY a)
+    SELECT component AS id, CAST(sum(coalesce(label, 0)) AS BIGINT) AS acessos,
+           CASE WHEN count(*) = 1 AND min(label) = 1 THEN 'not_found' END AS answer_class, count(*) AS merged_from
+    FROM placed JOIN embeddings USING (vec_id) GROUP BY component""",
+)
 def _(spark, sf_dir):
-    """Components of the similarity graph; checked against brute force in the tests."""
+    """Components of the similarity graph."""
     e = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), F.col("label").alias("acessos"), F.when(F.col("label") == 1, "not_found").alias("answer_class")
     )
