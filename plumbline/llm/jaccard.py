@@ -4,9 +4,13 @@ The document by n-gram incidence matrix A is never multiplied out whole. Rows wi
 only the columns that a link cannot do without are laid out (with columns ordered from rare to common, the first
 n - ceil(0.8 n) + 1 of n), so the product A * A' runs over short columns. It is taken in blocks:
 
-1. In every column the smallest class is multiplied with the others; their exact overlaps decide links, and links make
-   components. A coherent group of copies is joined here in a number of products that grows with its size, not its square.
-2. Columns that still hold several components are multiplied block by block between components. A pair lives on only if
+1. Columns of few classes are multiplied out, and overlap counts add up over them. A linked pair of sizes a <= b has at least
+   ceil(0.8 / 1.8 (a + b)) - ceil(0.8 b) + 1 of the laid out columns in common, so pairs that stay below (with all long columns
+   of either counted as common) are discarded; the others are compared exactly.
+2. In every long column a few classes, chosen by hash, are multiplied with the others, and exact overlaps make components. A
+   coherent group of copies is joined here in a number of products that grows with its size, not its square. This is repeated
+   with other classes as long as it joins much.
+3. Long columns that still hold several components are multiplied block by block between components. A pair lives on only if
    its sizes and its places in the column leave room for the overlap that its sizes ask for; survivors are compared exactly.
 
 The order of columns comes from a count of all shingles of all documents in a fixed number of cells (counts only ever too
@@ -27,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.shared import SLICE, components, remove, shared_folder, utf8, written
@@ -36,7 +40,9 @@ SHINGLE = 5
 CELLS = 1 << 22
 CELL_BLOCK = 1 << 16
 HOT = 64  # columns that may hold more classes are never collected whole
-BLOCK = 128  # classes of a hot column that are collected together
+SHORT = 9  # columns of no more classes are multiplied out
+HUBS = 8  # classes of a long column that meet all others in one round
+BLOCK = 128  # classes of a long column that are collected together
 PERCENT = 80
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -203,39 +209,45 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     stands = classes.select("id", "n", F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"))
     prefixes = source.mapInArrow(partial(_prefixes, size, levels), "doc_id long, text_key long, light int, columns array<long>")
     prefixes = prefixes.join(stands, (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
+    prefixes = written(prefixes.select("id", "n", "light", "columns"), "", f"{folder}/prefixes")
     cells = prefixes.select("id", "n", "light", F.posexplode("columns").alias("place", "h"))
-    cells = cells.select("h", "id", (F.col("n") * (1 << 31) + F.col("place")).alias("sized"), (F.col("place") < F.col("light")).alias("light"))
-    cells = written(cells.repartition("h"), "", f"{folder}/cells")
-    n, place = F.shiftright("sized", 31), F.col("sized").bitwiseAND((1 << 31) - 1)
+    cells = cells.select("h", F.struct((F.col("n") * (1 << 31) + F.col("place")).alias("sized"), "id").alias("e"), (F.col("place") < F.col("light")).alias("light"))
     # light columns hold at most HOT rows, as the counts of cells are never too low
-    light = cells.where("light").groupBy("h").agg(F.array_sort(F.collect_list(F.struct("sized", "id"))).alias("all")).where(F.size("all") > 1)
+    light = cells.where("light").groupBy("h").agg(F.collect_list("e").alias("all")).where(F.size("all") > 1)
     light = written(light, "", f"{folder}/light")
-    hot = cells.where("NOT light")
-    smallest = written(hot.groupBy("h").agg(F.min(F.struct("sized", "id")).alias("hub"), F.count("*").alias("d")).where("d > 1"), "", f"{folder}/hubs")
-    hubs = light.select(F.col("all")[0].alias("x"), F.explode("all").alias("y")).unionAll(
-        hot.join(smallest, "h").select(F.col("hub").alias("x"), F.struct("sized", "id").alias("y"))
-    )
-    checked = _verified(_roomy(hubs), source, stands, size, f"{folder}/round1")
-    labels = components(checked.where("linked"), "a", "b").select(F.col("node").alias("id"), F.col("component").alias("label"))
-    labels = written(labels, "", f"{folder}/labels1")
-    # what is left: columns with several components
-    rest = light.select("h", F.explode("all").alias("e"), F.lit(True).alias("light")).select("h", "e.id", "e.sized", "light").unionAll(
-        hot.join(smallest.select("h"), "h", "left_semi").select("h", "id", "sized", F.lit(False))
-    )
-    rest = rest.join(labels, "id", "left").select("h", "light", "id", n.alias("n"), place.alias("place"), F.coalesce("label", "id").alias("label"))
-    rest = written(rest, "", f"{folder}/rest")
-    mixed = rest.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("d")).where("lo <> hi").select("h", "d")
-    mixed = written(mixed, "", f"{folder}/mixed")
-    blocks = rest.join(mixed, "h").withColumn("parts", F.ceil(F.col("d") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("id", "h"), F.col("parts")).cast("int"))
-    blocks = written(blocks.groupBy("h", "part", "parts").agg(F.collect_list(F.struct("id", "n", "place", "label")).alias("own")), "", f"{folder}/blocks")
+    hot = cells.where("NOT light").select("h", "e")
+    many = written(hot.groupBy("h").agg(F.count("*").alias("d")).where("d > 1"), "", f"{folder}/hot-sizes")
+    few = hot.join(many.where(F.col("d") <= SHORT), "h").groupBy("h").agg(F.collect_list("e").alias("all"))
+    short = light.where(F.size("all") <= SHORT).unionAll(few)
+    long = light.where(F.size("all") > SHORT).select("h", F.explode("all").alias("e"), F.size("all").cast("long").alias("d"))
+    long = long.unionAll(hot.join(many.where(F.col("d") > SHORT), "h").select("h", "e", "d"))
+    long = written(long.select("h", "e.id", "e.sized", "d"), "", f"{folder}/long")
+    checked = _verified(_counted(short, long).unionAll(_hub_pairs(long, None, 0)).distinct(), source, stands, size, f"{folder}/round0")
+    labels, mixed, before = None, None, None
+    for step in range(1, 1 << 20):
+        labels = written(_labels(checked), "", f"{folder}/labels{step}")
+        rest = long.join(labels, "id", "left").select("h", "id", "sized", F.coalesce("label", "id").alias("label"))
+        rest = written(rest, "", f"{folder}/rest{step}")
+        mixed = rest.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("d")).where("lo <> hi").select("h", "d")
+        mixed = written(mixed, "", f"{folder}/mixed{step}")
+        rest = rest.join(mixed, "h")
+        apart = rest.select("h", "label").distinct().count()  # what there is to join, by column
+        if not apart or before and apart > before // 2:
+            break
+        before = apart
+        pairs = _hub_pairs(rest, "label", step).join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        more = _verified(pairs, source, stands, size, f"{folder}/round{step}")
+        checked = written(checked.unionAll(more), "", f"{folder}/checked{step}")
+    parts = F.ceil(F.col("d") / BLOCK).cast("int")
+    blocks = rest.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id", "h"), F.col("parts")).cast("int"))
+    entry = F.struct("id", _size("sized").alias("n"), _place("sized").alias("place"), "label")
+    blocks = written(blocks.groupBy("h", "part", "parts").agg(F.collect_list(entry).alias("own")), "", f"{folder}/blocks")
     left = blocks.select("h", F.col("part").alias("i"), "own", F.explode(F.sequence("part", F.col("parts") - 1)).alias("j"))
     right = blocks.select("h", F.col("part").alias("j"), F.col("own").alias("other"), F.explode(F.sequence(F.lit(0), "part")).alias("i"))
     pairs = left.join(right, ["h", "i", "j"]).select("own", "other").mapInArrow(_between, "a long, b long").distinct()
     pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    more = _verified(pairs, source, stands, size, f"{folder}/round2")
+    more = _verified(pairs, source, stands, size, f"{folder}/last")
     joined = checked.where("linked").unionAll(more.where("linked"))
-    for part in ("cells", "light", "rest", "blocks"):
-        remove(spark, f"{folder}/{part}")
     groups = components(joined, "a", "b").select(F.col("node").alias("id"), "component")
     named = classes.join(groups, "id", "left").select("signature", F.coalesce("component", "id").alias("component"), F.struct("doc_id", "text_key").alias("who"), "doc_id")
     named = written(named, "", f"{folder}/named")
@@ -247,11 +259,46 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("signature").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), first.alias("first"))
 
 
-def _roomy(pairs: DataFrame) -> DataFrame:
-    size = lambda e: F.shiftright(F.col(f"{e}.sized"), 31)
-    at = lambda e: F.col(f"{e}.sized").bitwiseAND((1 << 31) - 1)
-    kept = pairs.where(F.col("x.id") != F.col("y.id")).where(_room(size("x"), at("x"), size("y"), at("y")))
-    return kept.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+def _size(sized: str) -> Column:
+    return F.shiftright(F.col(sized), 31)
+
+
+def _place(sized: str) -> Column:
+    return F.col(sized).bitwiseAND((1 << 31) - 1)
+
+
+def _pair(x: str, y: str) -> list[Column]:
+    return [F.least(f"{x}.id", f"{y}.id").alias("a"), F.greatest(f"{x}.id", f"{y}.id").alias("b")]
+
+
+def _counted(short: DataFrame, long: DataFrame) -> DataFrame:
+    """Pairs of classes that short columns, and long ones if all are common, may bring to the number of columns a link needs."""
+    pairs = F.flatten(F.transform("all", lambda x: F.transform(F.filter("all", lambda y: y.id > x.id), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    small, large = F.least(_size("p.x.sized"), _size("p.y.sized")), F.greatest(_size("p.x.sized"), _size("p.y.sized"))
+    met = short.select(F.explode(pairs).alias("p")).where(100 * small >= PERCENT * large)
+    asked = F.ceil(F.lit(PERCENT) * (small + large) / F.lit(100 + PERCENT)) - F.ceil(F.lit(PERCENT) * large / F.lit(100)) + 1
+    sums = met.groupBy(F.col("p.x.id").alias("a"), F.col("p.y.id").alias("b")).agg(F.count("*").alias("common"), F.first(asked).alias("asked"))
+    in_long = written(long.groupBy("id").agg(F.count("*").alias("k")), "jaccard-long")
+    sums = sums.join(in_long.select(F.col("id").alias("a"), F.col("k").alias("ka")), "a", "left").join(in_long.select(F.col("id").alias("b"), F.col("k").alias("kb")), "b", "left")
+    return sums.where(F.col("common") + F.least(F.coalesce("ka", F.lit(0)), F.coalesce("kb", F.lit(0))) >= F.col("asked")).select("a", "b")
+
+
+def _hub_pairs(long: DataFrame, label: str | None, seed: int) -> DataFrame:
+    """Pairs of the hubs of each long column with its other classes (of other components), where sizes and places leave room."""
+    drawn = F.xxhash64(F.lit(seed), "id")
+    bucket = F.pmod(drawn, F.lit(HUBS))
+    entry = F.struct(drawn.alias("drawn"), "id", "sized", *([F.col(label).alias("label")] if label else []))
+    hubs = long.groupBy("h", bucket.alias("bucket")).agg(F.min(entry).alias("hub")).groupBy("h").agg(F.collect_list("hub").alias("hubs"))
+    hubs = written(hubs, "jaccard-hubs")
+    met = long.withColumn("y", F.struct("id", "sized")).join(hubs, "h").select("y", *([label] if label else []), F.explode("hubs").alias("x"))
+    met = met.where(F.col("x.id") != F.col("y.id"))
+    if label:
+        met = met.where(F.col("x.label") != F.col(label))
+    return met.where(_room(_size("x.sized"), _place("x.sized"), _size("y.sized"), _place("y.sized"))).select(*_pair("x", "y")).distinct()
+
+
+def _labels(checked: DataFrame) -> DataFrame:
+    return components(checked.where("linked"), "a", "b").select(F.col("node").alias("id"), F.col("component").alias("label"))
 
 
 def _verified(pairs: DataFrame, source: DataFrame, stands: DataFrame, size: int, folder: str) -> DataFrame:

@@ -38,12 +38,13 @@ def edited(rng, words, n):
     return " ".join(words)
 
 
-@pytest.mark.parametrize("hot", [64, 4])
-def test_random_documents(spark, monkeypatch, hot):
-    """Groups of near copies, chains at the threshold and passages that many documents share; with few and many hot columns."""
-    monkeypatch.setattr(jaccard, "HOT", hot)
-    monkeypatch.setattr(jaccard, "BLOCK", 8 if hot == 4 else 128)
-    rng = random.Random(hot)
+@pytest.mark.parametrize("short", [9, 2])
+def test_random_documents(spark, monkeypatch, short):
+    """Groups of near copies, chains at the threshold and passages that many documents share; with few and many long columns."""
+    monkeypatch.setattr(jaccard, "SHORT", short)
+    monkeypatch.setattr(jaccard, "HUBS", 8 if short == 9 else 1)
+    monkeypatch.setattr(jaccard, "BLOCK", 8 if short == 2 else 128)
+    rng = random.Random(short)
     vocabulary = [f"w{i}" for i in range(300)]
     rows = []
     for _ in range(6):
