@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
@@ -47,64 +48,96 @@ READ = "path string, shard int, record long, doc_id long, local_start long, n_to
 # Letters and digits of the pattern that splits text before the merges, for the characters that the quick path knows.
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+")
-_OTHER = re.compile("[^\t\n\r -~¡-¬®-±´-¸º»¿-ɏ]|[ \t\n\r] [ \t\n\r]|<\\|")
+_OTHER = re.compile("[^\t\n\r -~¡-¬®-±´-¸º»¿-ɏ]|^ (?:[ \t\n\r]|$)")
+
+
+def _byte_symbols() -> dict[int, int]:
+    """The character a byte-level vocabulary writes for each byte: itself where it prints, else the next one from 256."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in prints]
+    return {b: b for b in prints} | {b: 256 + i for i, b in enumerate(rest)}
+
+
+_SYMBOL = _byte_symbols()
+
+
+class _Other(Exception):
+    """A chunk that only the library can cut."""
 
 
 class Encoder:
     """Ids of whole texts as bytes, by a byte-level BPE of the tokenizers library.
 
     Merges never cross the pieces that the vocabulary's pattern cuts a text into, and no piece goes over a single space
-    that is followed by anything but white space. So the library's ids are kept by chunk between spaces, and by piece, in
-    two caches of bounded size. A text with a character outside Latin letters, digits and punctuation, or with two white
-    spaces around a space, is given to the library whole.
+    that is followed by anything but white space. So the library's ids are kept for pieces and for chunks between spaces,
+    in a cache of bounded size. A text with a character outside Latin letters, digits and punctuation, or with white space
+    after a space, is given to the library whole.
     """
 
-    def __init__(self, path: str, cache: int = 300_000):
+    def __init__(self, path: str, cache: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.tokenizer.model
         self.dtype = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-        self.pieces = _Cache(self._library, cache)
-        self.chunks = _Cache(lambda c: b"".join(map(self.pieces.__getitem__, _PIECES.findall(c))), cache)
+        self.code = "H" if self.dtype == "<u2" else "I"
+        self.ids = _Kept(self._chunk, cache)
 
-    def _library(self, text: str) -> bytes:
+    def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def _chunk(self, chunk: str) -> bytes:
+        if _OTHER.search(chunk):
+            raise _Other
+        pieces = _PIECES.findall(chunk)
+        if len(pieces) > 1:
+            return b"".join(map(self.ids.__getitem__, pieces))
+        tokens = self.model.tokenize(chunk.encode().decode("latin-1").translate(_SYMBOL))
+        return array(self.code, [t.id for t in tokens]).tobytes()
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _OTHER.search(text):
-            return self._library(text)
-        first, *rest = text.split(" ")
-        out = self.chunks[first] if first else b""
-        if rest:
-            out += b"".join(map(self.chunks.__getitem__, (" " + " ".join(rest)).replace(" ", "\0 ").split("\0")[1:]))
-        self.chunks.trim()
-        self.pieces.trim()
-        return out
-
-
-@lru_cache(maxsize=1)
-def _encoder(path: str) -> Encoder:
-    """One per Python worker, which keeps its caches from task to task."""
-    return Encoder(path)
+        if "\0" in text:
+            return self._whole(text)
+        chunks = text.replace(" ", "\0 ").split("\0")
+        if not chunks[0]:
+            del chunks[0]
+        try:
+            return b"".join(map(self.ids.__getitem__, chunks))
+        except _Other:
+            return self._whole(text)
+        finally:
+            self.ids.trim()
+
+
+class _Kept(dict):
+    """A cache in two generations: when the young one is full it becomes the old one, and what is asked for again moves up."""
 
-
-class _Cache(dict):
     def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
-        value = self[key] = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
     def trim(self) -> None:
         if len(self) > self.most:
+            self.old = dict(self)
             self.clear()
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One per Python worker, which keeps its cache from task to task."""
+    return Encoder(path)
+
+
 def frames(payloads: list[bytes]) -> Iterator[bytes]:
     """Each payload with its length and both checksums."""
     lengths = [struct.pack("<Q", len(p)) for p in payloads]
