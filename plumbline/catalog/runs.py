@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from plumbline.catalog.base import query, rounded, table
@@ -11,6 +13,7 @@ from plumbline.functions.hashing import comparability_hash, month_shard
 from plumbline.operators import scoring as S
 from plumbline.plans import studies
 from plumbline.plans.cascade import steps_table
+from plumbline.session import shared_root
 from plumbline.sources import runs as R
 
 # Assistant turns stand in for responses; conditions and values are assigned by rule.
@@ -422,11 +425,27 @@ def _(spark, sf_dir):
 
 @query(
     "run_log_comparable_groups",
-    """SELECT count(*) AS n_runs FROM orders GROUP BY o_orderpriority, o_orderstatus""",
+    """SELECT substr(sha256('{"code_sha": null, "embedding_version": null, "model_version": "' || o_orderpriority || '", "policy_layers": ["' || o_orderstatus || '", "base"], '
+         || '"prompt_version": null, "skills_loaded": null, "tools_available": null}'), 1, 16) AS andaime_hash, count(*) AS n_runs FROM orders GROUP BY o_orderpriority, o_orderstatus""",
 )
 def _(spark, sf_dir):
     index, _blobs = R.split_runs(run_table(spark, sf_dir))
-    return index.groupBy("andaime_hash").agg(F.count(F.lit(1)).alias("n_runs")).select("n_runs")
+    return index.groupBy("andaime_hash").agg(F.count(F.lit(1)).alias("n_runs"))
+
+
+@query(
+    "run_log_round_trip",
+    """SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n_runs, count(DISTINCT o_orderpriority) AS n_models, CAST(sum(length('window ' || o_custkey)) AS BIGINT) AS n_chars
+       FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' GROUP BY 1""",
+)
+def _(spark, sf_dir):
+    """The log is written, its index read back by month and joined to its blobs."""
+    root = f"{shared_root(spark)}/run-log-{uuid.uuid4().hex}"
+    R.write_runs(run_table(spark, sf_dir), root)
+    recent = R.with_blobs(R.read_runs(spark, root, since_ts=852076800.0).select("run_id", "month"), R.read_blobs(spark, root).drop("month"))
+    return recent.groupBy("month").agg(
+        F.count(F.lit(1)).alias("n_runs"), F.count_distinct("modelo").alias("n_models"), F.sum(F.length("janela_enviada")).cast("long").alias("n_chars")
+    )
 
 
 @query(

@@ -14,21 +14,34 @@ COMPARABLE_SCALARS = ("code_sha", "embedding_version", "prompt_version", "model_
 COMPARABLE_LISTS = ("policy_layers", "skills_loaded", "tools_available")
 
 
+def _json(value: Column) -> Column:
+    """A value as JSON; null where it is null."""
+    inside = F.to_json(F.array(value), {"ignoreNullFields": "false"})
+    return F.substr(inside, F.lit(2), F.length(inside) - 2)
+
+
 def comparability_hash(scaffold: str | None, columns: Sequence[str]) -> Column:
     """16 hex digits over the comparability fields; list order is irrelevant, missing is null.
 
-    ``scaffold`` names a struct column (or None for top-level columns) and ``columns`` the
-    fields it really has.
+    The text that is hashed is a JSON object with sorted names, ", " and ": " between its parts and lists
+    sorted as strings, so that a digest equals those kept in older logs. ``scaffold`` names a struct column
+    (or None for top-level columns) and ``columns`` the fields it really has.
     """
 
     def field(name: str) -> Column:
-        path = f"{scaffold}.{name}" if scaffold else name
+        path = F.col(f"{scaffold}.{name}" if scaffold else name)
         if name not in columns:
-            return F.lit(None).cast("string")
-        return F.to_json(F.array_sort(F.col(path))) if name in COMPARABLE_LISTS else F.col(path).cast("string")
-
-    fields = [field(n).alias(n) for n in sorted(COMPARABLE_SCALARS + COMPARABLE_LISTS)]
-    return F.substring(F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256), 1, 16)
+            return F.lit("null")
+        if name not in COMPARABLE_LISTS:
+            return _json(path)
+        items = F.array_sort(F.transform(path, lambda x: F.coalesce(x.cast("string"), F.lit("None"))))
+        listed = F.concat(F.lit("["), F.array_join(F.transform(items, _json), ", "), F.lit("]"))
+        return F.coalesce(listed, F.lit("null"))
+
+    parts = []
+    for name in sorted(COMPARABLE_SCALARS + COMPARABLE_LISTS):
+        parts += [F.lit(f'{", " if parts else "{"}"{name}": '), field(name)]
+    return F.substring(F.sha2(F.concat(*parts, F.lit("}")), 256), 1, 16)
 
 
 def regime_hash(state: Column | str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The field names of an export line.
@@ -83,13 +83,27 @@ def rejects(parsed: DataFrame) -> DataFrame:
     return parsed.filter("reason IS NOT NULL").select("seq", "reason")
 
 
+def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(value, seq)``: every line with its dense 0-based place by file path, split and row.
+
+    A row's place in its split comes from a window over that split, splits are linked by one count each.
+    """
+    at = ["_file", "_block"]
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row")
+    )
+    before = Window.orderBy(*at).rowsBetween(Window.unboundedPreceding, -1)
+    starts = lines.groupBy(*at).agg(F.count(F.lit(1)).alias("_n")).select(*at, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy(*at).orderBy("_row")) - 1
+    return lines.withColumn("_inside", inside).join(starts, at).select("value", (F.col("_start") + F.col("_inside")).alias("seq"))
+
+
 def read_retrieval(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """``(hits, rejects)`` of an export; one text scan serves both.
+    """``(hits, rejects)`` of an export of any number of files, which may be split.
 
-    The reader strips a byte-order mark. ``seq`` rises along each file.
+    The reader strips a byte-order mark. ``seq`` numbers the lines along the files in order of their paths.
     """
-    lines = spark.read.text(path).withColumn("seq", F.monotonically_increasing_id())
-    parsed = parse_retrieval(lines)
+    parsed = parse_retrieval(ordered_lines(spark, path))
     return explode_hits(parsed), rejects(parsed)
 
 

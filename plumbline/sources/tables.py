@@ -11,9 +11,12 @@ from plumbline.functions.hashing import table_fingerprint
 from plumbline.functions.text import _col
 
 
-def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV with a header after one or more ``#`` lines; every value stays a string."""
-    return spark.read.csv(path, header=True, comment="#", multiLine=True, escape='"')
+def read_labels(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """A CSV with a header after one or more ``#`` lines; every value stays a string.
+
+    Quoted line breaks need ``multiline``, which reads a file in one task; without it files are split.
+    """
+    return spark.read.csv(path, header=True, comment="#", multiLine=multiline, escape='"')
 
 
 def blank_to_null(x: Column | str) -> Column:
