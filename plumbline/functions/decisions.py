@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import _col
+from plumbline.functions.text import _col, strip
 
 # Lengths kept of each field and the number of concepts.
 ASSERTION_CHARS, FIELD_CHARS, MAX_CONCEPTS = 80, 50, 5
@@ -13,11 +13,11 @@ ASSERTION_CHARS, FIELD_CHARS, MAX_CONCEPTS = 80, 50, 5
 
 def parse_decision(x: Column | str) -> Column:
     """Struct(key_assertion, concepts, domain) of a JSON answer, fenced or not; null if any part is unusable."""
-    bare = F.regexp_replace(F.regexp_replace(F.trim(_col(x)), r"^```(?:json)?\s*", ""), r"\s*```$", "")
-    v = F.try_parse_json(F.trim(bare))
+    bare = F.regexp_replace(F.regexp_replace(strip(_col(x)), r"^```(?:json)?\s*", ""), r"\s*```$", "")
+    v = F.try_parse_json(strip(bare))
 
     def text(value: Column, chars: int) -> Column:
-        s = F.when(F.schema_of_variant(value) == "STRING", F.trim(F.try_variant_get(value, "$", "string")))
+        s = F.when(F.schema_of_variant(value) == "STRING", strip(F.try_variant_get(value, "$", "string")))
         return F.when(s != "", F.substring(s, 1, chars))
 
     field = lambda name: F.try_variant_get(v, f"$.{name}", "variant")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -76,8 +77,6 @@ UNCERTAINTY_TERMS = (
     "talvez", "parece que", "fragmento", "não há", "nao ha", "não consigo",
     "nao consigo", "não posso", "nao posso",
 )
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-UNACCENTED = "aaaaaaceeeeiiiinooooouuuuyy"
 
 
 def _col(x: Column | str) -> Column:
@@ -122,13 +121,34 @@ def identity(id_: Column | str, text: Column | str) -> Column:
     return F.coalesce(F.nullif(_col(id_), F.lit("")), text_hash(text))
 
 
+def _composed() -> tuple[str, str]:
+    """Every lower-case character that decomposes into one base character and combining marks, and those bases."""
+    accented, bases = [], []
+    for code in range(0xC0, 0x3000):
+        c = chr(code)
+        rest = [d for d in unicodedata.normalize("NFD", c) if unicodedata.category(d) != "Mn"]
+        if c == c.lower() and len(rest) == 1 and rest[0] != c:
+            accented.append(c)
+            bases.append(rest[0])
+    return "".join(accented), "".join(bases)
+
+
+ACCENTED, UNACCENTED = _composed()
+
+
 def strip_accents(x: Column | str) -> Column:
-    return F.translate(F.lower(F.coalesce(_col(x), F.lit(""))), ACCENTED, UNACCENTED)
+    """Lower case without combining marks, whether they are part of a character or follow it."""
+    return F.regexp_replace(F.translate(F.lower(F.coalesce(_col(x), F.lit(""))), ACCENTED, UNACCENTED), r"\p{Mn}+", "")
+
+
+def strip(x: Column | str) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(_col(x), r"(?U)^\s+|\s+$", "")
 
 
 def truncate(x: Column | str, max_len: int = 80) -> Column:
     """Cut at a word boundary and mark the cut with an ellipsis."""
-    t = F.trim(_col(x))
+    t = strip(x)
     head = F.substring(t, 1, max_len)
     whole_words = F.regexp_extract(head, r"(?s)^(.+) [^ ]*$", 1)
     cut = F.when(whole_words != "", whole_words).otherwise(head)
@@ -187,7 +207,7 @@ def content_tokens(x: Column | str) -> Column:
 
 def is_trivial_summary(text: Column | str, source_type: Column | str) -> Column:
     """A summary that declares itself empty or has under three content tokens."""
-    body = F.trim(
+    body = strip(
         F.regexp_replace(
             F.regexp_replace(F.coalesce(_col(text), F.lit("")), r"(?i)^\s*\[session_summary\]\s*", ""), r"(?U)\s+", " "
         )
@@ -250,7 +270,7 @@ def question_of_turn(x: Column | str) -> Column:
     """Text between ``Q:`` and the first ``A:``; null where the turn has no such form."""
     text = F.coalesce(_col(x), F.lit(""))
     form = r"(?s)Q:\s*(.*?)\s*A:"
-    return F.when(text.rlike(form), F.trim(F.regexp_extract(text, form, 1)))
+    return F.when(text.rlike(form), strip(F.regexp_extract(text, form, 1)))
 
 
 def char_grams(x: Column | str, n: Column | int) -> Column:

@@ -92,7 +92,7 @@ def duplicate_examples(hits: DataFrame, k: int | None = None, n: int = 5) -> Dat
         .limit(n)
         .select(
             "seq", "pos",
-            F.substring(F.translate(F.trim("text"), "\n", " "), 1, 80).alias("snippet"),
+            F.substring(F.translate(T.strip("text"), "\n", " "), 1, 80).alias("snippet"),
             T.truncate("query").alias("query"),
         )
     )

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions import text as T
 from plumbline.functions.claims import VERIFIERS, Verifier, negate
 from plumbline.functions.stats import wilson
 from plumbline.operators.ordering import shift_neighbour, with_prior_sums
@@ -16,9 +17,9 @@ STRATA = ("suportada", "trocada", "negada")
 
 def claim_universe(entries: DataFrame) -> DataFrame:
     """``(seq, id, claim, text)`` of entries with a non-blank id, claim and text."""
-    filled = [F.trim(F.coalesce(c, F.lit(""))) for c in ("id", "claim", "text")]
+    filled = [T.strip(F.coalesce(c, F.lit(""))) for c in ("id", "claim", "text")]
     return entries.filter((filled[0] != "") & (filled[1] != "") & (filled[2] != "")).select(
-        "seq", "id", F.trim("claim").alias("claim"), F.trim("text").alias("text")
+        "seq", "id", T.strip("claim").alias("claim"), T.strip("text").alias("text")
     )
 
 

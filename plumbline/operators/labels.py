@@ -25,7 +25,7 @@ def label_groups(labels: DataFrame) -> DataFrame:
     The first row represents the group. Everything is a combinable aggregate, so a group that
     holds a large share of the rows is merged map-side.
     """
-    lab = F.nullif(F.trim(F.coalesce("rotulo", F.lit(""))), F.lit(""))
+    lab = F.nullif(T.strip(F.coalesce("rotulo", F.lit(""))), F.lit(""))
     first = F.min_by(F.struct("id", "store", "origem", "query"), "seq")
     return (
         labels.withColumn("key", T.content_key("query", "resposta"))

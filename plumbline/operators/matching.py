@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import SUMMARY_SOURCE, char_grams, contains_any
+from plumbline.functions.text import SUMMARY_SOURCE, char_grams, contains_any, strip
 
 
 def nearest_within(
@@ -96,7 +96,7 @@ def resolve_target_table(memory: DataFrame, specs: DataFrame, gram: int = 8) ->
     """
     plain = memory.filter((F.coalesce("source_type", F.lit("")) != SUMMARY_SOURCE) & F.col("id").isNotNull())
     by_id = specs.filter("id IS NOT NULL").select("spec", "id").join(plain.select("id"), "id", "left_semi").select("spec", "id")
-    needles = specs.filter("id IS NULL").select("spec", F.lower(F.trim("needle")).alias("needle")).filter("needle <> ''")
+    needles = specs.filter("id IS NULL").select("spec", F.lower(strip("needle")).alias("needle")).filter("needle <> ''")
     keyed = needles.withColumn("g", F.substring("needle", 1, gram))
     low = plain.select("id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
     # At most ``gram`` rows: the prefix lengths in use.

@@ -140,9 +140,9 @@ def stamp_counts(df: DataFrame, hit: Column) -> DataFrame:
 
 def probe_universe(df: DataFrame) -> DataFrame:
     """Entries usable as probes: id, embedding, non-blank domain and at least two concepts."""
-    concepts = F.filter(F.coalesce("concepts", F.array().cast("array<string>")), lambda c: F.trim(c) != "")
+    concepts = F.filter(F.coalesce("concepts", F.array().cast("array<string>")), lambda c: T.strip(c) != "")
     return df.filter(
-        (F.coalesce("id", F.lit("")) != "") & F.col("embedding").isNotNull() & (F.trim(F.coalesce("domain", F.lit(""))) != "")
+        (F.coalesce("id", F.lit("")) != "") & F.col("embedding").isNotNull() & (T.strip(F.coalesce("domain", F.lit(""))) != "")
         & (F.size(concepts) >= MIN_CONCEPTS)
     )
 
@@ -150,8 +150,8 @@ def probe_universe(df: DataFrame) -> DataFrame:
 def probe_pairs(universe: DataFrame, n: int = MAX_PROBES) -> DataFrame:
     """One probe per domain (smallest id), the first ``n`` by id, with its query text."""
     before, after = PROBE_QUERY.split("{domain}")
-    per_domain = universe.groupBy(F.lower(F.trim("domain")).alias("_d")).agg(
-        F.min_by(F.struct("id", F.trim("domain").alias("domain"), "key_assertion"), "id").alias("p")
+    per_domain = universe.groupBy(F.lower(T.strip("domain")).alias("_d")).agg(
+        F.min_by(F.struct("id", T.strip("domain").alias("domain"), "key_assertion"), "id").alias("p")
     )
     return per_domain.select("p.*").orderBy("id").limit(n).select(
         F.concat(F.lit(before), "domain", F.lit(after)).alias("query"), F.col("id").alias("target_id"), "domain", "key_assertion"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.text import strip
+
 # The field names of an export line.
 QUERY, RESULTS, TEXT, ID, SCORE = "query", "results", "texto", "id", "score"
 
@@ -38,7 +40,7 @@ def parse_retrieval(lines: DataFrame, value: str = "value", seq: str = "seq") ->
     (booleans count as numbers) become null.
     """
     parsed = lines.filter(F.col(value).rlike(r"(?U)\S")).select(
-        F.col(seq).alias("seq"), F.try_parse_json(F.trim(F.col(value))).alias("v")
+        F.col(seq).alias("seq"), F.try_parse_json(strip(F.col(value))).alias("v")
     )
     kinds = parsed.select(
         "seq", "v", _type(F.col("v")).alias("kind"), _usable_text(_field(F.col("v"), QUERY)).alias("query"),

@@ -75,3 +75,24 @@ def test_overlong_samples_are_parted_off(spark):
     rows = spark.sql("SELECT 1 AS sample_id, timestamp'2020-01-01 00:00:00' AS start, timestamp'2020-01-01 03:00:00' AS end UNION ALL SELECT 2, timestamp'2020-01-01 00:00:00', timestamp'2020-01-01 00:30:00' UNION ALL SELECT 3, NULL, NULL")
     short, long = split_overlong(rows, "1 HOUR")
     assert [r.sample_id for r in short.collect()] == [2] and sorted(r.sample_id for r in long.collect()) == [1, 3]
+
+
+def test_strip_takes_all_white_space_and_all_marks(spark):
+    from plumbline.functions import text as T
+
+    row = spark.createDataFrame([("\tabc\n ", "Ệ ñ Ž ő é")], "a string, b string").select(T.strip("a").alias("a"), T.truncate("a").alias("t"), T.strip_accents("b").alias("b")).first()
+    assert tuple(row) == ("abc", "abc", "e n z o e")
+
+
+def test_export_lines_keep_their_order_over_files_and_splits(spark, tmp_path):
+    from plumbline.sources.retrieval import ordered_lines
+
+    for name, rows in (("b.txt", range(500, 900)), ("a.txt", range(0, 500)), ("c.txt", range(900, 901))):
+        (tmp_path / name).write_text("".join(f"line {i} {'x' * (i % 50)}\n" for i in rows))
+    keep = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got = sorted((r.seq, int(r.value.split()[1])) for r in ordered_lines(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", keep)
+    assert got == [(i, i) for i in range(901)]
