@@ -42,6 +42,8 @@ CELL_BLOCK = 1 << 16
 HOT = 64  # columns that may hold more classes are never collected whole
 SHORT = 9  # columns of no more classes are multiplied out
 HUBS = 8  # classes of a long column that meet all others in one round
+MARKS = 1 << 26  # bits that tell whose sets are made again for an exact comparison
+MARK_BLOCKS = 16
 BLOCK = 128  # classes of a long column that are collected together
 PERCENT = 80
 
@@ -152,11 +154,41 @@ def _prefixes(size: int, levels, batches: Iterator[pa.RecordBatch]) -> Iterator[
             )
 
 
-def _sets(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sets = Shingler(size)
+def _sets(size: int, marks, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets of the documents whose keys are marked."""
+    sets, bits = Shingler(size), marks.value
     for batch in batches:
-        rows = [sets(t).tobytes() for t in utf8(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.large_binary()).cast(pa.binary())], names=["id", "elements"])
+        at = batch.column(2).to_numpy().view(np.uint64) & np.uint64(MARKS - 1)
+        part = batch.take(pa.array(np.flatnonzero(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)))
+        rows = [sets(t).tobytes() for t in utf8(part.column(3))]
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, pa.binary())], names=["doc_id", "text_key", "elements"])
+
+
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(MARKS, bool)
+    for batch in batches:
+        bits[batch.column(0).to_numpy().view(np.uint64) & np.uint64(MARKS - 1)] = True
+    for block, own in enumerate(bits.reshape(MARK_BLOCKS, -1)):
+        if own.any():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())], names=["block", "bits"])
+
+
+def _join_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    joined: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            joined[block] = joined.get(block, np.uint8(0)) | np.frombuffer(bits, np.uint8)
+    yield pa.RecordBatch.from_arrays([pa.array(list(joined), pa.int32()), pa.array([b.tobytes() for b in joined.values()], pa.binary())], names=["block", "bits"])
+
+
+def _marked(keys: DataFrame) -> np.ndarray:
+    """A bit for every value that some key has in its low bits: of a fixed size, so it only ever lets too many through."""
+    kind = "block int, bits binary"
+    rows = keys.mapInArrow(_mark, kind).repartition(MARK_BLOCKS, "block").mapInArrow(_join_marks, kind)
+    bits = np.zeros((MARK_BLOCKS, MARKS // MARK_BLOCKS // 8), np.uint8)
+    for row in rows.toLocalIterator():
+        bits[row.block] |= np.frombuffer(row.bits, np.uint8)
+    return bits.reshape(-1)
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,13 +263,29 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         mixed = rest.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("d")).where("lo <> hi").select("h", "d")
         mixed = written(mixed, "", f"{folder}/mixed{step}")
         rest = rest.join(mixed, "h")
-        apart = rest.select("h", "label").distinct().count()  # what there is to join, by column
+        apart = 0 if mixed.isEmpty() else rest.select("h", "label").distinct().count()  # what there is to join, by column
         if not apart or before and apart > before // 2:
             break
         before = apart
         pairs = _hub_pairs(rest, "label", step).join(checked.select("a", "b"), ["a", "b"], "left_anti")
         more = _verified(pairs, source, stands, size, f"{folder}/round{step}")
         checked = written(checked.unionAll(more), "", f"{folder}/checked{step}")
+    if apart:
+        more = _across(rest, checked, source, stands, size, folder)
+        if not more.where("linked").isEmpty():
+            labels = written(_labels(checked.unionAll(more)), "", f"{folder}/labels")
+    named = classes.join(labels.withColumnRenamed("label", "component"), "id", "left").select("signature", F.coalesce("component", "id").alias("component"), F.struct("doc_id", "text_key").alias("who"), "doc_id")
+    named = written(named, "", f"{folder}/named")
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(F.when(F.col("doc_id").isNotNull(), F.col("who"))).alias("best"), F.min("who").alias("any"))
+    least = least.select("component", "component_id", F.coalesce("best", "any").alias("keeper"))
+    named = named.select("signature", "component").join(written(least, "", f"{folder}/least"), "component")
+    out = members.join(named, "signature", "left")
+    first = F.struct("doc_id", "text_key").eqNullSafe(F.col("keeper")) | F.col("signature").isNull()
+    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("signature").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), first.alias("first"))
+
+
+def _across(rest: DataFrame, checked: DataFrame, source: DataFrame, stands: DataFrame, size: int, folder: str) -> DataFrame:
+    """Verified pairs of long columns between components that no hub has joined, block by block."""
     parts = F.ceil(F.col("d") / BLOCK).cast("int")
     blocks = rest.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id", "h"), F.col("parts")).cast("int"))
     entry = F.struct("id", _size("sized").alias("n"), _place("sized").alias("place"), "label")
@@ -246,17 +294,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     right = blocks.select("h", F.col("part").alias("j"), F.col("own").alias("other"), F.explode(F.sequence(F.lit(0), "part")).alias("i"))
     pairs = left.join(right, ["h", "i", "j"]).select("own", "other").mapInArrow(_between, "a long, b long").distinct()
     pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    more = _verified(pairs, source, stands, size, f"{folder}/last")
-    joined = checked.where("linked").unionAll(more.where("linked"))
-    groups = components(joined, "a", "b").select(F.col("node").alias("id"), "component")
-    named = classes.join(groups, "id", "left").select("signature", F.coalesce("component", "id").alias("component"), F.struct("doc_id", "text_key").alias("who"), "doc_id")
-    named = written(named, "", f"{folder}/named")
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(F.when(F.col("doc_id").isNotNull(), F.col("who"))).alias("best"), F.min("who").alias("any"))
-    least = least.select("component", "component_id", F.coalesce("best", "any").alias("keeper"))
-    named = written(named.select("signature", "component").join(written(least, "", f"{folder}/least"), "component"), "", f"{folder}/by-signature")
-    out = members.join(named, "signature", "left")
-    first = F.struct("doc_id", "text_key").eqNullSafe(F.col("keeper")) | F.col("signature").isNull()
-    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("signature").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), first.alias("first"))
+    return _verified(pairs, source, stands, size, f"{folder}/last")
 
 
 def _size(sized: str) -> Column:
@@ -301,12 +339,21 @@ def _labels(checked: DataFrame) -> DataFrame:
     return components(checked.where("linked"), "a", "b").select(F.col("node").alias("id"), F.col("component").alias("label"))
 
 
+def _row_key(doc_id: str, text_key: str) -> Column:
+    return F.xxhash64(doc_id, text_key).alias("row_key")
+
+
 def _verified(pairs: DataFrame, source: DataFrame, stands: DataFrame, size: int, folder: str) -> DataFrame:
     """(a, b, linked) of each pair of classes by their exact overlap; sets are made again for the classes in question only."""
     pairs = written(pairs, "", f"{folder}-pairs")
+    if pairs.isEmpty():
+        return pairs.withColumn("linked", F.lit(False))
     wanted = written(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct().join(stands, "id"), "", f"{folder}-wanted")
-    texts = source.join(wanted, (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
-    sets = written(texts.select("id", "text").mapInArrow(partial(_sets, size), "id long, elements binary").dropDuplicates(["id"]), "", f"{folder}-sets")
+    marks = pairs.sparkSession.sparkContext.broadcast(_marked(wanted.select(_row_key("_doc", "_key"))))
+    keyed = source.select("doc_id", "text_key", _row_key("doc_id", "text_key"), "text")
+    sets = keyed.mapInArrow(partial(_sets, size, marks), "doc_id long, text_key long, elements binary")
+    sets = sets.join(wanted, (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).select("id", "elements")
+    sets = written(sets.dropDuplicates(["id"]), "", f"{folder}-sets")
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("elements").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("elements").alias("x")), "a")
     out = written(both.select("a", "b", "x", "y").mapInArrow(_overlaps, "a long, b long, linked boolean"), "", folder)
     remove(pairs.sparkSession, f"{folder}-sets")

@@ -78,8 +78,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     links = written(links, "", f"{folder}/0")
     loops = links.where("hi = lo").select("hi").distinct()
     links = links.where("hi <> lo")
-    state, step = _state(links), 0
-    while state[0]:
+    step = 0
+    while not _stars(links):
         step += 1
         both = links.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(links.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "", f"{folder}/{step}-least")
@@ -88,22 +88,19 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         least = written(large.groupBy("hi").agg(F.min("lo").alias("m")), "", f"{folder}/{step}-least2")
         moved = large.join(least, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         links = written(moved.unionAll(least.select("hi", F.col("m").alias("lo"))).distinct(), "", f"{folder}/{step}")
-        now = _state(links)
         for old in (f"{step}-least", f"{step}-large", f"{step}-least2", str(step - 1) if step > 1 else ""):
             if old:
                 remove(spark, f"{folder}/{old}")
-        if now == state:
-            break
-        state = now
     stars = links.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     roots = links.select(F.col("lo").alias("node")).unionAll(loops.select(F.col("hi").alias("node"))).distinct()
     roots = roots.join(stars, "node", "left_anti").select("node", F.col("node").alias("component"))
     return stars.unionAll(roots)
 
 
-def _state(links: DataFrame) -> tuple[int, int]:
-    row = links.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-    return row[0], row[1] or 0
+def _stars(links: DataFrame) -> bool:
+    """Whether every node hangs on one other, which itself hangs on none."""
+    ends = links.select(F.col("hi").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(links.select("lo", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up > 0 AND down > 0").isEmpty()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
