@@ -87,18 +87,21 @@ def fingerprinted_with_edits(docs: DataFrame) -> DataFrame:
     the paragraphs that differ. Texts are shuffled once; what a document gives to its neighbour is the part that is needed.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("_h"), text.alias("text"))
+    # _id and _h are never null, so that joins and groups on them share one partitioning
+    doc_id = F.col("doc_id").cast("long")
+    source = docs.select(F.coalesce(doc_id, F.lit(0)).alias("_id"), F.xxhash64(text, doc_id.isNull()).alias("_h"), doc_id.alias("doc_id"), text.alias("text"))
     # one row per different (doc_id, text), with the number of such rows
-    keys = source.groupBy("doc_id", "_h").agg(F.count("*").alias("twins"), F.max(F.length("text")).alias("n_chars"))
+    keys = source.groupBy("_id", "_h").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("twins"), F.max(F.length("text")).alias("n_chars"))
     keys = written(numbered(keys, [F.col("doc_id").asc_nulls_first(), F.col("_h")], "merkle-order"), "merkle-keys")
     total = keys.count()
-    taker = keys.select(F.col("doc_id").alias("to_id"), F.col("_h").alias("to_h"), F.col("n_chars").alias("to_chars"), F.pmod(F.col("rank") - 1, F.lit(max(total, 1))).alias("rank"))
-    chain = written(keys.join(taker, "rank"), "merkle-chain")
-    once = source.dropDuplicates(["doc_id", "_h"])
-    own = chain.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_k"), "twins", "to_id", "to_h", "to_chars")
-    rows = with_fingerprint(once.join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_k"))), "text", "fingerprint")
-    given = rows.select("to_id", "to_h", F.substr("text", F.lit(1), F.floor(F.col("to_chars") / 3).cast("int")).alias("start"), F.col("fingerprint").alias("next_fingerprint"))
-    met = rows.join(given.withColumnRenamed("to_id", "n_id").withColumnRenamed("to_h", "n_h"), F.col("doc_id").eqNullSafe(F.col("n_id")) & (F.col("_h") == F.col("n_h")))
+    taker = keys.select(F.col("_id").alias("to_id"), F.col("_h").alias("to_h"), F.col("n_chars").alias("to_chars"), F.pmod(F.col("rank") - 1, F.lit(max(total, 1))).alias("rank"))
+    chain = written(keys.join(taker, "rank").select("_id", "_h", "twins", "to_id", "to_h", "to_chars"), "merkle-chain")
+    rows = with_fingerprint(source.dropDuplicates(["_id", "_h"]).join(chain, ["_id", "_h"]), "text", "fingerprint")
+    given = rows.select(
+        F.col("to_id").alias("_id"), F.col("to_h").alias("_h"), F.substr("text", F.lit(1), F.floor(F.col("to_chars") / 3).cast("int")).alias("start"),
+        F.col("fingerprint").alias("next_fingerprint"),
+    )
+    met = rows.join(given, ["_id", "_h"])
     n = F.length("text")
     part = F.floor(n / 3).cast("int")
     body = met.select("doc_id", "text", n.cast("long").alias("n_chars"), "twins", "start", "next_fingerprint", "fingerprint")

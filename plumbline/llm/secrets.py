@@ -1,9 +1,10 @@
 """Secrets: fixed patterns, and strings that a character Markov model of random text explains better than one of identifiers.
 
-Labelled samples train both models: what the patterns find is random text, every other run of token characters is ordinary.
-Transition counts are taken over all documents and added up. A token of at least ``LEAST`` characters outside the pattern
+Labelled samples train both models: what the patterns find is random text; every other run of token characters that is too
+short to be a secret is ordinary, so that secrets which no pattern knows do not teach the wrong model. Transition counts are
+taken over all documents and added up; rare ones lean on the frequencies of single characters. A token of at least ``LEAST`` characters outside the pattern
 matches is a secret of kind ``random`` if the log-likelihood ratio of the models reaches ``RATIO`` in all and
-``RATIO_PER_CHAR`` per character.
+``RATIO_PER_CHAR`` per character, and it has a letter: a bare number is no credential.
 
 Defined cases: a null or empty text has no span; repeated rows get equal spans; without one labelled random string there is
 no model and only the patterns count; extra columns stay, one called like the result is replaced.
@@ -27,6 +28,7 @@ KINDS = ("assign", "access", "hex", "random")
 LEAST = 16
 RATIO = 14.0
 RATIO_PER_CHAR = 0.6
+BACKOFF = 20  # counts that the frequencies of single characters are worth in each row of a model
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -36,6 +38,7 @@ KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 
 _SYMBOLS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+LETTERS = 52  # the first symbols
 STATES = len(_SYMBOLS) + 1  # 0 is the edge of a token
 CODE = np.zeros(256, np.uint8)
 CODE[list(_SYMBOLS)] = np.arange(1, STATES)
@@ -84,7 +87,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     values += values_of(text, spans)
                     for s, e in sorted((x for own in spans.values() for x in own), reverse=True):
                         text = text[:s] + " " * (e - s) + text[e:]
-                plain.append(text.encode() if text is not None else data)
+                tokens = (text.encode() if text is not None else data).translate(_TO_SPACE).split()
+                plain.append(b" ".join([w for w in tokens if len(w) < LEAST]))
             ordinary += _transitions(b" ".join(plain))
             random += _transitions(" ".join(values).encode())
     cells = np.flatnonzero(ordinary + random)
@@ -101,7 +105,9 @@ def fit(docs: DataFrame) -> np.ndarray | None:
     both[:, 0, 0] = 0  # between tokens
     if not both[1].sum():
         return None
-    logs = np.log((both + 0.5) / (both + 0.5).sum(2, keepdims=True))
+    single = both.sum(1, keepdims=True) + 1
+    single /= single.sum(2, keepdims=True)
+    logs = np.log((both + BACKOFF * single) / (both.sum(2, keepdims=True) + BACKOFF))
     return logs[1] - logs[0]
 
 
@@ -115,7 +121,7 @@ class _Judge(dict):
             self.clear()
         code = CODE[np.frombuffer(b" " + token + b" ", np.uint8)]
         total = float(self.ratios[code[:-1], code[1:]].sum())
-        value = self[token] = total >= RATIO and total >= RATIO_PER_CHAR * len(token)
+        value = self[token] = total >= RATIO and total >= RATIO_PER_CHAR * len(token) and bool((code[1:-1] <= LETTERS).any())
         return value
 
 

@@ -38,7 +38,8 @@ def test_models_tell_random_strings_from_words(spark):
     key = lambda: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(28))
     rows = [(i, " ".join(word() for _ in range(200)) + f" token={key()}", None, None) for i in range(60)]
     planted = [key() for _ in range(20)]
-    rows += [(100 + i, f"{word()} {k} {'the' * 9} some_plain_identifier_name", None, None) for i, k in enumerate(planted)]
+    rows += [(70, "a_name some_thing_else plain-text its_key " * 50, None, None)]
+    rows += [(100 + i, f"{word()} {k} 4952935900253052 {'the' * 9} some_plain_identifier_name", None, None) for i, k in enumerate(planted)]
     docs = documents(spark, rows)
     found = secrets.secrets(docs, secrets.fit(docs)).collect()
     spans = [r.text[s:e] for r in found for s, e in zip(r.secrets.random[::2], r.secrets.random[1::2])]
