@@ -95,8 +95,10 @@ def fingerprinted_with_edits(docs: DataFrame) -> DataFrame:
     keys = written(numbered(keys, [F.col("doc_id").asc_nulls_first(), F.col("_h")], "merkle-order"), "merkle-keys")
     total = keys.count()
     taker = keys.select(F.col("_id").alias("to_id"), F.col("_h").alias("to_h"), F.col("n_chars").alias("to_chars"), F.pmod(F.col("rank") - 1, F.lit(max(total, 1))).alias("rank"))
-    chain = written(keys.join(taker, "rank").select("_id", "_h", "twins", "to_id", "to_h", "to_chars"), "merkle-chain")
-    rows = with_fingerprint(source.dropDuplicates(["_id", "_h"]).join(chain, ["_id", "_h"]), "text", "fingerprint")
+    chain = written(keys.join(taker, "rank").select("_id", "_h", "doc_id", "twins", "to_id", "to_h", "to_chars"), "merkle-chain")
+    # texts go by the same columns for both sides, so that one exchange serves givers and takers
+    once = source.select("_id", "_h", "text").dropDuplicates(["_id", "_h"])
+    rows = with_fingerprint(once.join(chain, ["_id", "_h"]), "text", "fingerprint")
     given = rows.select(
         F.col("to_id").alias("_id"), F.col("to_h").alias("_h"), F.substr("text", F.lit(1), F.floor(F.col("to_chars") / 3).cast("int")).alias("start"),
         F.col("fingerprint").alias("next_fingerprint"),

@@ -2,9 +2,9 @@
 
 Labelled samples train both models: what the patterns find is random text; every other run of token characters that is too
 short to be a secret is ordinary, so that secrets which no pattern knows do not teach the wrong model. Transition counts are
-taken over all documents and added up; rare ones lean on the frequencies of single characters. A token of at least ``LEAST`` characters outside the pattern
-matches is a secret of kind ``random`` if the log-likelihood ratio of the models reaches ``RATIO`` in all and
-``RATIO_PER_CHAR`` per character, and it has a letter: a bare number is no credential.
+taken over all documents and added up; rare ones lean on the frequencies of single characters. A token of at least ``LEAST``
+characters outside the pattern matches is a secret of kind ``random`` if the log-likelihood ratio of the models reaches
+``RATIO`` in all and ``RATIO_PER_CHAR`` per character, and it has a letter: a bare number is no credential.
 
 Defined cases: a null or empty text has no span; repeated rows get equal spans; without one labelled random string there is
 no model and only the patterns count; extra columns stay, one called like the result is replaced.
