@@ -74,7 +74,7 @@ class Encoder:
     after a space, is given to the library whole.
     """
 
-    def __init__(self, path: str, cache: int = 500_000):
+    def __init__(self, path: str, cache: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -126,6 +126,10 @@ class _Kept(dict):
         self[key] = value
         return value
 
+    def drop(self) -> None:
+        self.clear()
+        self.old = {}
+
     def trim(self) -> None:
         if len(self) > self.most:
             self.old = dict(self)
@@ -134,7 +138,7 @@ class _Kept(dict):
 
 @lru_cache(maxsize=1)
 def _encoder(path: str) -> Encoder:
-    """One per Python worker, which keeps its cache from task to task."""
+    """One per Python worker; a task leaves its cache empty, as workers go on to other stages."""
     return Encoder(path)
 
 
@@ -189,6 +193,7 @@ def _write_shards(tokenizer: str, end_id: int, folder: str, batches: Iterator[pa
         if payloads:
             yield flush(payloads, ids, counts)
     finally:
+        encoder.ids.drop()
         if out is not None:
             out.close()
 
