@@ -136,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None, settings: Settings = Set
     sample = pool.mapInArrow(partial(_indices, known), "positive boolean, at array<int>").toPandas()  # bounded by the two settings
     known.destroy()
     sample = sample.assign(at=[tuple(sorted(x)) for x in sample["at"]]).sort_values(["positive", "at"])
-    x = np.zeros((len(sample), len(vocabulary)), np.float32)
+    x = np.zeros((len(sample), len(vocabulary)), np.uint8)
     for i, at in enumerate(sample["at"]):
         x[i, list(at)] = 1
     is_p = sample["positive"].to_numpy(bool)
@@ -148,8 +148,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None, settings: Settings = Set
         w, b = _train(p[part_p != i] if len(p) > settings.classifiers else p, u, start, prior, settings, settings.seed + i)
         weights.append(w)
         intercepts.append(b)
-        unseen_p.append(p[part_p == i] @ w + b)
-        seen_u.append(u[part_u == i] @ w + b)
+        unseen_p.append(_sums(p[part_p == i], w) + b)
+        seen_u.append(_sums(u[part_u == i], w) + b)
     slope, shift = _calibrate(np.concatenate(unseen_p), np.concatenate(seen_u), prior)
     return Model(vocabulary, slope * np.mean(weights, 0), float(slope * np.mean(intercepts) + shift))
 
@@ -165,6 +165,11 @@ def _most_telling(in_p, n_p, in_all, n_all, most: int) -> tuple[dict[bytes, int]
     return {names[i]: k for k, i in enumerate(best.tolist())}, 0.5 * np.log(a / b)[best]
 
 
+def _sums(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    parts = [x[i : i + 1024].astype(np.float32) @ w for i in range(0, len(x), 1024)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
 def _train(p: np.ndarray, u: np.ndarray, w: np.ndarray, prior: float, s: Settings, seed: int) -> tuple[np.ndarray, float]:
     """One linear classifier by Adam on mini-batches of the non-negative risk."""
     rng = np.random.default_rng(seed)
@@ -173,8 +178,8 @@ def _train(p: np.ndarray, u: np.ndarray, w: np.ndarray, prior: float, s: Setting
     if not len(u):
         return w, b
     for t in range(1, s.steps + 1):
-        xp = p[rng.integers(0, len(p), min(s.batch // 2, len(p)))]
-        xu = u[rng.integers(0, len(u), min(s.batch, len(u)))]
+        xp = p[rng.integers(0, len(p), min(s.batch // 2, len(p)))].astype(np.float32)
+        xu = u[rng.integers(0, len(u), min(s.batch, len(u)))].astype(np.float32)
         gp, gu = 1 / (1 + np.exp(-(xp @ w + b))), 1 / (1 + np.exp(-(xu @ w + b)))
         slope_p, slope_u = gp * (1 - gp) / len(gp), gu * (1 - gu) / len(gu)
         # loss of a positive is 1 - g, of a negative g
