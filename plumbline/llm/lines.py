@@ -110,7 +110,8 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     cut = written(cut.join(order, "doc").select(F.col("row").alias("_row"), "cuts", "n_deleted"), "", f"{folder}/cuts")
     parts = F.split("text", "\n", -1)
     kept = F.filter(parts, lambda x, i: ~F.exists("cuts", lambda c: (i >= c.s) & (i < c.e)))
-    out = source.join(cut, source["row"] == cut["_row"], "left")
+    # cuts grow with the corpus, so texts meet them by a sort-merge join at every size
+    out = source.join(cut.hint("merge"), source["row"] == cut["_row"], "left")
     return out.select(
         "doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"),
         F.coalesce("n_deleted", F.lit(0)).cast("long").alias("n_deleted"), F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
