@@ -9,13 +9,14 @@ alone, and a document's slot follows from its rank in its source by arithmetic,
 At any slot, a source has had less than one block more or less than its weight asks for. When a source runs out, the last
 period runs without it, and the others go on with their weights in the same proportion to each other (a new phase).
 
-Defined cases: sources without a weight, and a null source, share the weight of ``other``; weights are positive; ties in the
-order of a source are broken by a hash of the text; repeated rows keep a place each; an empty table gives an empty result;
+Defined cases: sources without a weight, a null source among them, have ``other``: a plain number is the weight of one class of
+all of them, ``Divided`` units give each of them a weight of its own; weights are positive; ties in the order of a source are broken by a hash of the text; repeated rows keep a place each; an empty table gives an empty result;
 extra columns stay, those called like the result are replaced.
 """
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
 from math import gcd
 
 from pyspark.sql import DataFrame
@@ -24,7 +25,13 @@ from pyspark.sql import functions as F
 from plumbline.llm.shared import numbered
 
 OTHER = "\0other"
-MOST_UNITS = 100_000  # slots of a period; the table that is joined has as many rows
+NULL = "\0null"
+MOST_UNITS = 100_000  # slots of a period
+MOST_SLOTS = 20 * MOST_UNITS  # slots that the table which is joined lists over all phases
+
+
+class Divided(int):
+    """Units that all sources without a weight have in equal parts, each as a source of its own."""
 
 
 def pattern(units: dict[str, int]) -> list[str]:
@@ -32,16 +39,29 @@ def pattern(units: dict[str, int]) -> list[str]:
     total = sum(units.values())
     if total > MOST_UNITS:
         raise ValueError(f"weights sum up to {total} units, more than {MOST_UNITS}")
-    done = dict.fromkeys(units, 0)
-    slots = []
+    waiting = [(0, s) for s in sorted(units)]  # (release, source); a source has one block in either heap
+    done, ready, slots = dict.fromkeys(units, 0), [], []
     for t in range(total):
-        ready = [s for s in sorted(units) if done[s] < units[s] and done[s] * total // units[s] <= t]
-        best = min(ready, key=lambda s: -(-(done[s] + 1) * total // units[s]))
+        while waiting and waiting[0][0] <= t:
+            s = heappop(waiting)[1]
+            heappush(ready, (-(-(done[s] + 1) * total // units[s]), s))
+        best = heappop(ready)[1]
         slots.append(best)
         done[best] += 1
+        if done[best] < units[best]:
+            heappush(waiting, (done[best] * total // units[best], best))
     return slots
 
 
+def divided(weights: dict[str, int], other: int, found: list[str]) -> dict[str, int]:
+    """Whole weights in which the sources of ``found`` have equal parts of ``other``; all others stay in proportion."""
+    if not found:
+        return weights
+    units = {s: w * len(found) for s, w in weights.items()} | dict.fromkeys(found, int(other))
+    divisor = gcd(*units.values())
+    return {s: u // divisor for s, u in units.items()}
+
+
 def phases(blocks: dict[str, int], weights: dict[str, int]) -> list[tuple[int, dict[str, int], dict[str, int]]]:
     """(first slot, units, blocks each source has had before) of the stretches in which the same sources run."""
     out, slot = [], 0
@@ -63,26 +83,42 @@ def phases(blocks: dict[str, int], weights: dict[str, int]) -> list[tuple[int, d
 def mixed(docs: DataFrame, weights: dict[str, int], block: int, other: int, source: str = "source", order: str = "doc_id") -> DataFrame:
     """``docs`` with block (of its source, from 0), slot, and place in its block; (slot, place) is the mixed order.
 
-    ``weights`` are units per source, ``other`` those of all remaining sources together; ``block`` is the number of documents
-    in a block, the last one of a source may have fewer.
+    ``weights`` are units per source, ``other`` those of all remaining sources together, as one class or ``Divided``;
+    ``block`` is the number of documents in a block, the last one of a source may have fewer.
     """
     spark = docs.sparkSession
     if min([*weights.values(), other]) < 1 or block < 1:
         raise ValueError("weights and blocks are whole and positive")
     rows = docs.select(*[c for c in docs.columns if c not in ("block", "slot", "place")])
     name = F.col(source).cast("string")
-    rows = rows.withColumn("_kind", F.when(name.isin(*weights), name).otherwise(F.lit(OTHER))).withColumn("_tie", F.xxhash64(*rows.columns))
+    if isinstance(other, Divided):
+        kind = F.coalesce(name, F.lit(NULL))
+        # a weight has at least one unit, so a period has no place for more sources
+        found = [r[0] for r in rows.select(kind).distinct().where(~kind.isin(*weights)).limit(MOST_UNITS + 1).collect()]
+        weights = divided(weights, other, sorted(found))
+        if sum(weights.values()) > MOST_UNITS:
+            raise ValueError(f"weights of {len(weights)} sources sum up to {sum(weights.values())} units, more than {MOST_UNITS}")
+    else:
+        kind = F.when(name.isin(*weights), name).otherwise(F.lit(OTHER))
+        weights = weights | {OTHER: other}
+    rows = rows.withColumn("_kind", kind).withColumn("_tie", F.xxhash64(*rows.columns))
     ranked = numbered(rows, [F.col("_kind"), F.col(order).asc_nulls_first(), F.col("_tie")], "mix", "_rank")
     sizes = {r["_kind"]: r for r in ranked.groupBy("_kind").agg(F.min("_rank").alias("first"), F.count("*").alias("n")).collect()}  # a row per weight
     blocks = {s: -(-r["n"] // block) for s, r in sizes.items()}
-    plan = phases(blocks, weights | {OTHER: other})
-    lines = []  # a row per source and phase, with the slots of the source's units in a period: bounded by the weights
+    plan = phases(blocks, weights)
+    lines, listed = [], 0  # a row per source and phase, with the slots of the source's units in a period that it has blocks for
     for k, (slot, units, had) in enumerate(plan):
         later = plan[k + 1][2] if k + 1 < len(plan) else {}
         turns = pattern(units)
-        for s in units:
-            at = [slot + i for i, turn in enumerate(turns) if turn == s]
+        places = {s: [] for s in units}
+        for i, s in enumerate(turns):
+            if len(places[s]) < later.get(s, blocks[s]) - had[s]:
+                places[s].append(slot + i)
+        for s, at in places.items():
             lines.append((s, sizes[s]["first"], had[s], later.get(s, blocks[s]), units[s], len(turns), at))
+        listed += sum(map(len, places.values()))
+        if listed > MOST_SLOTS:
+            raise ValueError(f"{len(sizes)} sources run out one by one over more than {MOST_SLOTS} listed slots")
     spans = spark.createDataFrame(lines, "_name string, _first long, _had long, _upto long, _units long, _period long, _slots array<long>")
     number = F.floor((F.col("_rank") - F.col("_first")) / block)
     placed = ranked.join(F.broadcast(spans), (F.col("_kind") == F.col("_name")) & (number >= F.col("_had")) & (number < F.col("_upto")))

@@ -48,9 +48,9 @@ def op2_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), score.alias("score"), (score >= TOXIC).cast("int").alias("predicted"))
 
 
-# Target weights in units; sources that are not named share those of OTHER_UNITS.
+# Target weights in units; each source that is not named has an equal part of OTHER_UNITS as its own weight.
 SOURCE_UNITS = {"src0": 15, "src1": 8, "src2": 8, "src3": 8, "src4": 8, "src5": 6, "src6": 6, "src7": 6, "src8": 6, "src9": 6}
-OTHER_UNITS = 23
+OTHER_UNITS = mixing.Divided(23)
 BLOCK_DOCS = 16
 
 

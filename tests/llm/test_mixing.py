@@ -5,7 +5,7 @@ from fixtures import documents, empty
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from plumbline.llm import mixing
+from plumbline.llm import mixing, queries
 
 
 @settings(max_examples=60, deadline=None)
@@ -56,3 +56,38 @@ def test_edges(spark):
     assert mixing.mixed(empty(spark), {"a": 1}, 2, 1).count() == 0
     with pytest.raises(ValueError):
         mixing.mixed(docs, {"a": 0}, 2, 1)
+
+
+def test_every_source_has_its_own_deadlines(spark):
+    rows = [(i, f"t{i}", None, "a" if i % 2 else "hot" if i < 300 else ("c", "d", None)[i % 3]) for i in range(900)]
+    got = mixing.mixed(documents(spark, rows), {"a": 3}, 2, mixing.Divided(4)).collect()
+    assert len(got) == 900 and len({(r.slot, r.place) for r in got}) == 900
+    kinds = {r.slot: r.source for r in got}
+    assert all(kinds[r.slot] == r.source for r in got)
+    weights = {"a": 3, "hot": 1, "c": 1, "d": 1, None: 1}
+    had, last = Counter(), min(max(t for t, k in kinds.items() if k == kind) for kind in weights)
+    assert last > 300
+    for t in range(last):
+        had[kinds[t]] += 1
+        assert all(abs(had[k] - (t + 1) * w / 7) < 1 for k, w in weights.items())
+
+
+def test_weights_of_the_given_sources(spark):
+    got = queries.op6_pfair_mixing(spark, "/root/testdata/sf0.01").collect()
+    blocks = Counter(r.source for r in {(r.slot, r.source): r for r in got}.values())
+    assert len(blocks) > len(queries.SOURCE_UNITS)
+    rest = [s for s in blocks if s not in queries.SOURCE_UNITS]
+    share = {s: queries.SOURCE_UNITS[s] / 100 if s in queries.SOURCE_UNITS else queries.OTHER_UNITS / 100 / len(rest) for s in blocks}
+    kinds = {r.slot: r.source for r in got}
+    last = min(max(t for t, k in kinds.items() if k == s) for s in blocks)
+    had = Counter()
+    for t in range(last):
+        had[kinds[t]] += 1
+        assert all(abs(had[s] - (t + 1) * w) < 1 for s, w in share.items())
+
+
+def test_units_are_bounded(spark):
+    assert mixing.divided({"a": 3}, 4, ["b", "c"]) == {"a": 3, "b": 2, "c": 2}
+    rows = [(i, f"t{i}", None, f"s{i}") for i in range(1100)]
+    with pytest.raises(ValueError):
+        mixing.mixed(documents(spark, rows), {"a": 99}, 2, mixing.Divided(1))
