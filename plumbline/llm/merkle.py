@@ -64,27 +64,35 @@ def likeness(left: Column, right: Column) -> Column:
 
 
 def differing(left: Column, right: Column) -> Column:
-    """Where two fingerprints differ: struct(section, paragraph), from 0, of the right one's paragraphs that the left has not.
+    """Where two fingerprints differ: struct(section, paragraph), from 0, of every place whose paragraphs are not the same.
 
-    Sections whose branch is also in the left fingerprint are passed over whole. Empty for equal roots.
+    Branches are compared by their place in the tree, so a place that only one side has differs as well: what follows a
+    deleted, moved or added paragraph in its section has other places and is listed. Sections with equal branches are passed
+    over whole. Empty for equal roots; where the roots differ and no place does (in the white space between sections, which
+    only the root covers, or by leaves whose short digits are alike), one place of nulls stands for it.
     """
+    place = "struct<section:int,paragraph:int>"
     sections = lambda p: F.split(F.substr(p, F.lit(66)), r"\|", -1)
-    mine, theirs = sections(left), sections(right)
-    known = F.flatten(F.transform(mine, lambda s: F.split(s, ";", -1)))
+    # a section that one side has not is null there and has no paragraphs
+    paragraphs = lambda s: F.coalesce(F.split(s, ";", -1), F.array().cast("array<string>"))
+    both = lambda a, b: F.arrays_zip(a.alias("a"), b.alias("b"))
 
     def of_section(s, i):
-        found = F.transform(F.split(s, ";", -1), lambda p, j: F.struct(i.alias("section"), j.alias("paragraph"), F.array_contains(known, p).alias("same")))
-        return F.filter(found, lambda x: ~x.same & ~F.array_contains(mine, s))
+        pairs = F.transform(both(paragraphs(s["a"]), paragraphs(s["b"])), lambda p, j: F.when(~p["a"].eqNullSafe(p["b"]), F.struct(i.alias("section"), j.alias("paragraph"))))
+        return F.when(s["a"].eqNullSafe(s["b"]), F.array().cast(f"array<{place}>")).otherwise(F.filter(pairs, lambda p: p.isNotNull()))
 
-    places = F.transform(F.flatten(F.transform(theirs, of_section)), lambda x: F.struct(x.section.alias("section"), x.paragraph.alias("paragraph")))
-    return F.when(root(left) == root(right), F.array().cast("array<struct<section:int,paragraph:int>>")).otherwise(places)
+    places = F.flatten(F.transform(both(sections(left), sections(right)), of_section))
+    hidden = F.array(F.struct(F.lit(None).cast("int").alias("section"), F.lit(None).cast("int").alias("paragraph")))
+    # in a lambda the places are worked out once
+    shown = F.get(F.transform(F.array(places), lambda p: F.when(F.size(p) > 0, p).otherwise(hidden)), 0)
+    return F.when(root(left) == root(right), F.array().cast(f"array<{place}>")).otherwise(shown)
 
 
 def fingerprinted_with_edits(docs: DataFrame) -> DataFrame:
     """Each document beside an edited version whose last third is replaced by the start of the next document (descending doc_id).
 
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, next_fingerprint, near_edited, near_next, and ``edits``,
-    the paragraphs that differ. Texts are shuffled once; what a document gives to its neighbour is the part that is needed.
+    the places of paragraphs that differ. Texts are shuffled once; what a document gives to its neighbour is the part that is needed.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # _id and _h are never null, so that joins and groups on them share one partitioning

@@ -109,9 +109,9 @@ def op5_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame
 
 @query
 def op8_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every document and of an edited version, and how alike they are."""
+    """Fingerprints of every document and of an edited version, how alike they are and which paragraphs differ."""
     made = merkle.fingerprinted_with_edits(table(spark, sf_dir, "documents"))
-    return made.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return made.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edits")
 
 
 @query
