@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.catalog.base import query, rounded
+from plumbline.catalog.base import query, rounded, whole_lists
 from plumbline.catalog.inputs import ORDER_HITS_SQL, language_hits, norm_sql, order_hits
 from plumbline.operators import audit as A
 from plumbline.plans.studies import topicality_verdict
@@ -180,6 +180,12 @@ def _(spark, sf_dir):
     return rounded(A.score_scale(order_hits(spark, sf_dir, 5)))
 
 
+REPORTED = (
+    "avg_dup_hash_rate", "avg_dup_id_rate", "n_without_id", "k_bin", "cons_continuous_mean", "total_pairs",
+    "ref_binary_rate", "ref_continuous_mean", "median_spread", "tie_fraction",
+)
+
+
 @query(
     "audit_report",
     f"""WITH {SCORE_SQL},
@@ -202,11 +208,7 @@ def _(spark, sf_dir):
     SELECT family, metric, round(CAST(value AS DOUBLE), 6) AS value FROM long""",
 )
 def _(spark, sf_dir):
-    kept = (
-        "avg_dup_hash_rate", "avg_dup_id_rate", "n_without_id", "k_bin", "cons_continuous_mean", "total_pairs",
-        "ref_binary_rate", "ref_continuous_mean", "median_spread", "tie_fraction",
-    )
-    return rounded(A.audit_metrics(order_hits(spark, sf_dir, 5), 5).filter(F.col("metric").isin(*kept)))
+    return rounded(A.audit_metrics(order_hits(spark, sf_dir, 5), 5).filter(F.col("metric").isin(*REPORTED)))
 
 
 TOPICALITY_SQL = TOP5_SQL + """, shuffled AS (
@@ -242,3 +244,48 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     return rounded(topicality_verdict(A.topicality(order_hits(spark, sf_dir, 5))).select("n_pairs", "gap_pp", "verdict"))
+
+
+# The same over whole lists: nothing is cut, so orders of any length count. Topicality takes five results by its study.
+
+
+@whole_lists("audit_duplication_summary")
+def _(spark, sf_dir):
+    return rounded(A.duplication_summary(A.intra_query_duplication(order_hits(spark, sf_dir))))
+
+
+@whole_lists("audit_duplicate_examples")
+def _(spark, sf_dir):
+    return rounded(A.duplicate_examples(order_hits(spark, sf_dir), n=5))
+
+
+@whole_lists("audit_overlap_histogram")
+def _(spark, sf_dir):
+    sets = A.result_sets(order_hits(spark, sf_dir))
+    h = A.overlap_histogram(sets, A.longest(sets))
+    return rounded(h.withColumn("n_pairs", F.col("n_pairs").cast("long")))
+
+
+@whole_lists("audit_cross_query_repetition")
+def _(spark, sf_dir):
+    return rounded(A.cross_query_repetition(order_hits(spark, sf_dir)).drop("ci_low", "ci_high", "insufficient"))
+
+
+@whole_lists("audit_consecutive_pairs")
+def _(spark, sf_dir):
+    return rounded(A.consecutive_pairs(A.result_sets(order_hits(spark, sf_dir))))
+
+
+@whole_lists("audit_score_rows")
+def _(spark, sf_dir):
+    return rounded(A.score_rows(order_hits(spark, sf_dir)))
+
+
+@whole_lists("audit_score_scale")
+def _(spark, sf_dir):
+    return rounded(A.score_scale(order_hits(spark, sf_dir)))
+
+
+@whole_lists("audit_report")
+def _(spark, sf_dir):
+    return rounded(A.audit_metrics(order_hits(spark, sf_dir)).filter(F.col("metric").isin(*REPORTED)))

@@ -251,7 +251,8 @@ def observed_repetition(pairs: DataFrame) -> DataFrame:
     )
 
 
-def _longest(sets: DataFrame) -> int:
+def longest(sets: DataFrame) -> int:
+    """The slots of the longest list of :func:`result_sets`."""
     return sets.agg(F.coalesce(F.max("k"), F.lit(1))).first()[0]
 
 
@@ -262,7 +263,7 @@ def cross_query_repetition(hits: DataFrame, k: int | None = None) -> DataFrame:
     Without ``k`` the longest list is looked up first.
     """
     sets = result_sets(hits, k)
-    slots = k or _longest(sets)
+    slots = k or longest(sets)
     n = sets.agg(F.count(F.lit(1)).alias("n_queries"))
     return (
         n.crossJoin(observed_repetition(consecutive_pairs(sets)))

@@ -104,3 +104,16 @@ def test_export_round_trip(spark, tmp_path):
     got = sorted((r.query, r.pos, r.id) for r in hits.collect())
     assert got == sorted((f"q{q}", p, i) for q, ids in TOPICAL.items() for p, i in enumerate(ids, 1))
     assert rejects.count() == 0
+
+
+def test_whole_lists_are_not_cut(spark):
+    from plumbline.catalog import QUERIES
+    from plumbline.catalog.inputs import order_hits
+
+    sf = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    got = QUERIES["export_records_whole"](spark, sf).selectExpr("sum(size(split(results, ','))) AS n").first().n
+    assert got == lines
+    sets = A.result_sets(order_hits(spark, sf))
+    assert sets.filter(F.col("n_items") > A.SUBSET_ITEMS).count() > 0 and A.longest(sets) > A.SUBSET_ITEMS
+    assert QUERIES["audit_score_rows_whole"](spark, sf).selectExpr("max(k) AS k").first().k > 5
