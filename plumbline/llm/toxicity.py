@@ -30,6 +30,7 @@ from plumbline.llm.shared import WORD_BYTES, annotated, utf8, written
 
 RESULT = T.StructType([T.StructField("score", T.DoubleType())])
 BEGINNINGS = (4, 5, 6)
+HELD = 200_000  # features that a task counts before it hands its sums on
 
 
 @dataclass(frozen=True)
@@ -38,8 +39,7 @@ class Settings:
 
     positives: int = 12_000  # labelled toxic documents, by a hash of their ids
     unlabelled: int = 30_000  # documents, by a hash of their ids
-    candidates: int = 50_000  # features of positives that are counted in all documents
-    features: int = 1_000
+    features: int = 1_000  # of the model: the most telling of all that enough positives hold
     least_positives: int = 5  # documents of P that must hold a feature
     classifiers: int = 3
     steps: int = 400
@@ -83,14 +83,20 @@ def _feature_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in lists], pa.int32()), pa.array(lists, pa.list_(pa.binary()))], names=["n", "features"])
 
 
-def _count(wanted, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts, keys, docs = Counter(), wanted.value, 0
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sums():
+        # the empty feature counts the documents
+        return pa.RecordBatch.from_arrays([pa.array([b"", *counts], pa.binary()), pa.array([docs, *counts.values()], pa.int64())], names=["feature", "n"])
+
+    counts, docs = Counter(), 0
     for batch in batches:
         for text in utf8(batch.column(0)):
             docs += 1
-            counts.update(features_of(text) & keys)
-    names, values = [b"", *counts], [docs, *counts.values()]  # the empty feature counts the documents
-    yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(values, pa.int64())], names=["feature", "n"])
+            counts.update(features_of(text))
+            if len(counts) > HELD:
+                yield sums()
+                counts, docs = Counter(), 0
+    yield sums()
 
 
 def _indices(vocabulary, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,17 +124,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None, settings: Settings = Set
     lists = positives.select("text").mapInArrow(_feature_lists, "n int, features array<binary>")
     lists = written(lists, "positive-features")
     held = lists.select(F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("p")).where(F.col("p") >= settings.least_positives)
-    held = held.orderBy(F.desc("p"), "feature").limit(settings.candidates)
-    in_p = {bytes(r.feature): r.p for r in held.collect()}
     n_p = lists.count()
-    if not n_p or not in_p:
+    counted = docs.select("text").mapInArrow(_count, "feature binary, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    counted = written(counted, "feature-counts")
+    n_all = counted.where("feature = X''").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    vocabulary, start = _most_telling(held.join(counted, "feature"), n_p, n_all, settings.features)
+    if not vocabulary:
         return None
-    wanted = sc.broadcast(frozenset(in_p))
-    counted = docs.select("text").mapInArrow(partial(_count, wanted), "feature binary, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-    in_all = {bytes(r.feature): r.n for r in counted.collect()}
-    wanted.destroy()
-    n_all = in_all.pop(b"", 0)
-    vocabulary, start = _most_telling(in_p, n_p, in_all, n_all, settings.features)
     known = sc.broadcast(vocabulary)
     share = min(1.0, settings.unlabelled / max(n_all, 1))
     some = docs.where(F.pmod(drawn, F.lit(1 << 20)) < int(share * (1 << 20)) + (share < 1))
@@ -154,15 +156,14 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None, settings: Settings = Set
     return Model(vocabulary, slope * np.mean(weights, 0), float(slope * np.mean(intercepts) + shift))
 
 
-def _most_telling(in_p, n_p, in_all, n_all, most: int) -> tuple[dict[bytes, int], np.ndarray]:
-    """The features with the largest difference of their shares in P and in all text, in standard errors, and where their
-    weights start: half the logarithm of the shares' ratio, as a word also shows in its beginnings."""
-    names = sorted(in_p)
-    a = np.array([in_p[f] / n_p for f in names])
-    b = np.array([(in_all.get(f, 0) + 0.5) / (n_all + 1) for f in names])
-    z = (a - b) / np.sqrt(b * (1 - np.minimum(b, 0.999)) / n_p + 1e-12)
-    best = np.argsort(-z, kind="stable")[:most]
-    return {names[i]: k for k, i in enumerate(best.tolist())}, 0.5 * np.log(a / b)[best]
+def _most_telling(counts: DataFrame, n_p: int, n_all: int, most: int) -> tuple[dict[bytes, int], np.ndarray]:
+    """The features (feature, p, n) with the largest difference of their shares in P and in all text, in standard errors, and
+    where their weights start: half the logarithm of the shares' ratio, as a word also shows in its beginnings."""
+    a, b = F.col("p") / F.lit(n_p), (F.col("n") + 0.5) / F.lit(n_all + 1)
+    shares = counts.select("feature", a.alias("a"), b.alias("b"))
+    z = (F.col("a") - F.col("b")) / F.sqrt(F.col("b") * (1 - F.least("b", F.lit(0.999))) / F.lit(n_p) + F.lit(1e-12))
+    best = shares.orderBy(z.desc(), "feature").limit(most).collect()
+    return {bytes(r.feature): k for k, r in enumerate(best)}, 0.5 * np.log(np.array([r.a / r.b for r in best]))
 
 
 def _sums(x: np.ndarray, w: np.ndarray) -> np.ndarray:

@@ -1,3 +1,7 @@
+from collections import Counter
+from itertools import islice, product
+
+import pyarrow as pa
 from fixtures import documents, empty
 from pyspark.sql import functions as F
 
@@ -33,3 +37,21 @@ def test_nothing_to_learn(spark):
     assert {r.toxicity.score for r in toxicity.scored(docs, None).collect()} == {0.0}
     some = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
     assert toxicity.scored(empty(spark), toxicity.fit(empty(spark), some)).count() == 0
+
+
+def test_a_rare_feature_is_rated_behind_many_common_ones(spark):
+    common = " ".join("".join(x) for x in islice(product("abcdefghijklmnopqrstuvwxyz", repeat=4), 60_000))
+    rows = [(i, common + (" zzz" if i < 5 else ""), "en", "a") for i in range(12)]
+    labels = spark.createDataFrame([(i, int(i < 6)) for i in range(12)], "doc_id long, toxic int")
+    model = toxicity.fit(documents(spark, rows).repartition(4), labels, settings=toxicity.Settings(steps=5))
+    assert len(model.vocabulary) == 1000 and list(model.vocabulary)[0] == b"zzz"
+
+
+def test_counts_handed_on_in_parts_are_the_same(monkeypatch):
+    batch = pa.RecordBatch.from_arrays([pa.array(["one two", "two three", None, ""])], names=["text"])
+    monkeypatch.setattr(toxicity, "HELD", 2)
+    got = Counter()
+    for part in toxicity._count(iter([batch])):
+        for f, n in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            got[f] += n
+    assert got == {b"": 4, b"one": 1, b"two": 2, b"three": 1, b"thre-": 1}
