@@ -235,8 +235,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     rows = written(source.mapInArrow(partial(_members, size), MEMBER), "", f"{folder}/members")
     members = rows.where("block IS NULL").select("doc_id", "text_key", "n", "signature")
     levels = spark.sparkContext.broadcast(_levels(rows.where("block IS NOT NULL").select("doc_id", "block", "cells")))
-    # one document stands for all with the same set
-    classes = members.where("n > 0").groupBy("signature").agg(F.min(F.struct("doc_id", "text_key")).alias("who"), F.first("n").alias("n"))
+    # one document stands for all with the same set, one with an id where there is one
+    classes = members.where("n > 0").groupBy("signature").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("who"), F.first("n").alias("n"))
     classes = written(classes.select("signature", "n", F.col("who.doc_id").alias("doc_id"), F.col("who.text_key").alias("text_key"), F.monotonically_increasing_id().alias("id")), "", f"{folder}/classes")
     stands = classes.select("id", "n", F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"))
     prefixes = source.mapInArrow(partial(_prefixes, size, levels), "doc_id long, text_key long, light int, columns array<long>")

@@ -64,3 +64,9 @@ def test_edges(spark):
     assert run(df) == brute(rows)
     assert all(r.first for r in got.where("n_shingles = 0").collect())
     assert jaccard.near_duplicates(empty(spark)).count() == 0
+
+
+def test_a_copy_without_an_id_leaves_the_component_its_id(spark):
+    text = "one two three four five six seven"
+    got = jaccard.near_duplicates(documents(spark, [(None, text, "en", "a"), (5, text, "en", "a"), (7, text, "en", "a")])).collect()
+    assert {(r.doc_id, r.component_id, r["first"]) for r in got} == {(None, 5, False), (5, 5, True), (7, 5, False)}
