@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import contamination, jaccard, language, lines, merkle, mixing, records, secrets, toxicity, urls
+from plumbline.llm import articles, contamination, jaccard, language, lines, merkle, mixing, records, secrets, toxicity, urls
 from plumbline.llm.shared import held_out, shared_folder, table
 
 QUERIES = {}
@@ -123,3 +123,10 @@ def op10_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *many, F.sha2(secrets.listed("secrets", secrets.KINDS[:3]), 256).alias("base_sha256"), secrets.listed("secrets", secrets.KINDS).alias("spans")
     )
+
+
+@query
+def op11_article_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return articles.extracted(pages).select("page_id", "url", F.col("article.text").alias("text"), F.col("article.n_chars").alias("n_chars"))
