@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import articles, contamination, jaccard, language, lines, merkle, mixing, records, secrets, toxicity, urls
+from plumbline.llm import articles, contamination, dialogues, jaccard, language, lines, merkle, mixing, records, secrets, toxicity, urls
 from plumbline.llm.shared import held_out, shared_folder, table
 
 QUERIES = {}
@@ -130,3 +130,9 @@ def op11_article_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return articles.extracted(pages).select("page_id", "url", F.col("article.text").alias("text"), F.col("article.n_chars").alias("n_chars"))
+
+
+@query
+def op12_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with every damaged conversation, and the cheapest repair of it."""
+    return dialogues.audited(dialogues.damaged(table(spark, sf_dir, "conversations")))
