@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import articles, contamination, dialogues, jaccard, language, lines, merkle, mixing, records, secrets, toxicity, urls
+from plumbline.llm import articles, contamination, dialogues, jaccard, language, lines, merkle, mixing, phrases, records, secrets, toxicity, urls
 from plumbline.llm.shared import held_out, shared_folder, table
 
 QUERIES = {}
@@ -136,3 +136,45 @@ def op11_article_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is wrong with every damaged conversation, and the cheapest repair of it."""
     return dialogues.audited(dialogues.damaged(table(spark, sf_dir, "conversations")))
+
+
+@query
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 phrases of every language by how much their parts keep together."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_phrase_collocations"] = r"""
+WITH texts AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), pieces AS (
+  SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM texts
+), words AS (
+  SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]'), lambda x: x <> '') AS w FROM pieces
+), totals AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang
+), grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (VALUES (1), (2), (3), (4)) v(k) WHERE len(w) >= k)
+), counts AS (
+  SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30
+), cuts AS (
+  SELECT lang, k AS size, phrase, f AS a, unnest(range(1, k)) AS place, string_split(phrase, ' ') AS w FROM counts WHERE k > 1
+), scores AS (
+  SELECT c.lang, c.size, c.phrase, c.a, c.place, l.f AS l, r.f AS r, ((c.a::HUGEINT * 2000000) // (l.f + r.f))::BIGINT AS score
+  FROM cuts c JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:c.place], ' ')
+  JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.place + 1:c.size], ' ')
+), lowest AS (
+  SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, place) = 1
+), inside AS (
+  SELECT DISTINCT lang, unnest([array_to_string(w[i:i + m - 1], ' ') FOR i IN range(1, size - m + 2)]) AS phrase, a
+  FROM (SELECT lang, size, a, w, unnest(range(2, size)) AS m FROM cuts WHERE place = 1 AND size > 2)
+), longer AS (
+  SELECT lang, phrase, max(a) AS most FROM inside GROUP BY lang, phrase
+), kept AS (
+  SELECT s.* FROM lowest s LEFT JOIN longer g ON g.lang = s.lang AND g.phrase = s.phrase WHERE g.most IS NULL OR 100 * g.most < 80 * s.a
+)
+SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept k JOIN totals t ON t.lang = k.lang
+QUALIFY row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
