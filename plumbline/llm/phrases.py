@@ -39,7 +39,7 @@ PREFIX = 3  # words that tell the range
 SHARD = 1 << 20  # words that a task counts at once
 STEP = 1 << 22  # bytes of a text that are split at once
 RANGES = 4  # per shuffle partition
-PENDING = 1 << 21  # arcs that wait for their union
+PENDING = 1 << 23  # bytes of packed automata that wait for their union
 UNKNOWN = "und"
 SALTS = 256
 
@@ -89,10 +89,8 @@ class Automaton:
         rows = np.concatenate([np.pad(g, ((0, 0), (0, len(self.levels) - g.shape[1])), constant_values=-1) for g, _ in found])
         weights = np.concatenate([w for _, w in found])
         order = np.lexsort(rows.T[::-1])
-        used, rows = np.unique(rows[order], return_inverse=True)
-        rows = rows.reshape(len(order), len(self.levels))
-        if len(used) and used[0] < 0:
-            used, rows = used[1:], rows - 1
+        used = _distinct(rows[rows >= 0])
+        rows = np.where(rows[order] < 0, -1, np.searchsorted(used, rows[order]))
         return Automaton([self.words[i] for i in used], Automaton.built([], rows, weights[order]).levels)
 
     def composed(self, asked: Automaton) -> list[np.ndarray]:
@@ -163,6 +161,11 @@ def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys[starts], np.add.reduceat(weights[order], starts) if len(keys) else weights, where
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values, axis=None)
+    return values[np.flatnonzero(np.diff(values, prepend=values[:1] - 1))]
+
+
 def _hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
@@ -214,7 +217,7 @@ def cut(lang: str, words: list[bytes], levels: list, ranges: int) -> Iterator[tu
         source, label, weight = levels[k]
         many = len(label)
         mine = ranged[k] * many + np.arange(many)
-        keys = np.unique(np.concatenate([mine, passed])) if len(passed) else np.sort(mine)
+        keys = _distinct(np.concatenate([mine, passed]))
         where, arc = keys // max(many, 1), keys % max(many, 1)
         parts[k] = (where, arc, np.where(ranged[k][arc] == where, weight[arc], 0), label[arc])
         up = len(levels[k - 1][1]) if k else 1
@@ -223,13 +226,16 @@ def cut(lang: str, words: list[bytes], levels: list, ranges: int) -> Iterator[tu
         parts[k] += (source_key,)
     bounds = [np.searchsorted(p[0], np.arange(ranges + 1)) for p in parts]
     source_at = [None] + [np.searchsorted(parts[k - 1][0] * len(levels[k - 1][1]) + parts[k - 1][1], parts[k][4]) for k in range(1, len(parts))]
+    seen, place = np.zeros(len(words), bool), np.zeros(len(words), np.int64)
     for r in range(ranges):
         spans = [slice(b[r], b[r + 1]) for b in bounds]
         labels = [p[3][s] for p, s in zip(parts, spans)]
         if not len(labels[0]):
             continue
-        used = np.unique(np.concatenate(labels))
-        place = np.zeros(len(words), np.int64)
+        seen[:] = False
+        for own in labels:
+            seen[own] = True
+        used = np.flatnonzero(seen)
         place[used] = np.arange(len(used))
         out = []
         for k, s in enumerate(spans):
@@ -277,7 +283,7 @@ class Shard:
                 tail = min(LONGEST - 1, len(ids))
                 carry = [words[i] if i >= 0 else b"." for i in ids[len(ids) - tail :]]
             ids = rank[ids]
-            used = np.unique(ids)
+            used = _distinct(ids)
             used = used[used >= 0]
             ids = np.where(ids < 0, -1, np.searchsorted(used, ids))
             if not len(used):
@@ -336,21 +342,21 @@ def _shards(ranges: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 
 class _Union:
-    """The union of a range's automata: small ones wait until they weigh as much as what is united."""
+    """The union of a range's automata: small ones wait, packed, until they weigh as much as what is united."""
 
     def __init__(self):
-        self.done, self.waiting, self.arcs = None, [], 0
+        self.done, self.waiting, self.held = None, [], 0
 
-    def add(self, automaton: Automaton) -> None:
-        self.waiting.append(automaton)
-        self.arcs += len(automaton)
-        if self.arcs >= max(PENDING, len(self.done or ())):
+    def add(self, packed: bytes) -> None:
+        self.waiting.append(packed)
+        self.held += len(packed)
+        if self.held >= max(PENDING, 2 * len(self.done or ())):
             self.all()
 
     def all(self) -> Automaton:
         if self.waiting:
-            self.done = united([*([self.done] if self.done else []), *self.waiting])
-            self.waiting, self.arcs = [], 0
+            self.done = united([*([self.done] if self.done else []), *map(Automaton.unpacked, self.waiting)])
+            self.waiting, self.held = [], 0
         return self.done
 
 
@@ -372,7 +378,7 @@ def _unions(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
                 if now is not None:
                     yield ended()
                 now, union = key, _Union()
-            union.add(Automaton.unpacked(data.as_buffer().to_pybytes()))
+            union.add(data.as_buffer().to_pybytes())
     if now is not None:
         yield ended()
 
