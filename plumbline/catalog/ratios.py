@@ -305,7 +305,7 @@ def _(spark, sf_dir):
 
 @query(
     "token_size_spearman",
-    f"""WITH {TOKENS_SQL}, k AS (SELECT classe, text_chars AS x, CAST(round(text_chars / input_tokens * 1000000, 0) AS BIGINT) AS y FROM pop),
+    f"""WITH {TOKENS_SQL}, k AS (SELECT classe, text_chars AS x, text_chars / input_tokens AS y FROM pop),
     r AS (SELECT classe, rank() OVER (PARTITION BY classe ORDER BY x) + (count(*) OVER (PARTITION BY classe, x) - 1) / 2 AS rx,
                  rank() OVER (PARTITION BY classe ORDER BY y) + (count(*) OVER (PARTITION BY classe, y) - 1) / 2 AS ry FROM k)
     SELECT classe, round(corr(rx, ry), 6) AS rho, count(*) AS n FROM r GROUP BY classe""",

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
+from plumbline.functions.bits import order_bits
 from plumbline.functions.claims import VERIFIERS, Verifier, negate
 from plumbline.functions.stats import wilson
 from plumbline.operators.ordering import shift_neighbour, with_prior_sums
+from plumbline.session import checkpointed
 
 STRATA = ("suportada", "trocada", "negada")
 
@@ -81,15 +83,16 @@ def claim_metrics(scored: DataFrame) -> DataFrame:
 def best_threshold(scored: DataFrame, score: str, truth: str = "truth") -> DataFrame:
     """The cut-off with most correct calls (score >= cut-off means true), the smallest on a tie.
 
-    Rows are first merged by distinct score; the sums below each score come from cells of the
-    score axis, so neither step gathers the data.
+    Rows are first merged by distinct score, once; the sums below each score come from cells of the
+    scores' order-preserving bits, so neither step gathers the data or merges different scores.
     """
-    key = F.round(F.col(score) * 1_000_000, 0).cast("long")
-    per_score = scored.groupBy(key.alias("k")).agg(
-        F.count_if(F.col(truth)).alias("pos"), F.count_if(~F.col(truth)).alias("neg"), F.min(score).alias("cut")
+    per_score = checkpointed(
+        scored.groupBy(order_bits(score).alias("k")).agg(
+            F.count_if(F.col(truth)).alias("pos"), F.count_if(~F.col(truth)).alias("neg"), F.min(score).alias("cut")
+        )
     )
     totals = per_score.agg(F.sum("pos").alias("all_pos"), F.sum(F.col("pos") + F.col("neg")).alias("n"))
-    below = with_prior_sums(per_score, "k", ["pos", "neg"], levels=1)
+    below = with_prior_sums(per_score, "k", ["pos", "neg"], levels=3)
     correct = F.col("all_pos") - F.col("prior_pos") + F.col("prior_neg")
     best = (
         below.crossJoin(totals)

@@ -1,73 +1,77 @@
-"""Exact order statistics without gathering a group's values in one task.
+"""Exact order statistics by radix selection.
 
-``median`` and ``percentile`` keep all distinct values of a group in one final buffer. Here a
-mergeable sketch first brackets each wanted rank; a second pass counts what lies between the
-brackets as one number each and keeps single values only inside them.
+A double's order-preserving bits are a key of four 16-bit digits. Four rounds of counting find a wanted rank: each counts the
+rows of a group that share the digits found so far by their next digit, and the running counts name the digit the rank falls
+into. A window never holds more than 2^16 counters, only counters are shuffled, and the plan is the same for every size and
+distribution.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Groups up to this size are ranked whole.
-WHOLE_GROUP = 200_000
-# Sketch error is 1 / ACCURACY of the group; brackets reach MARGIN to each side of the wanted share.
-ACCURACY = 100_000
-MARGIN = 1e-4
+from plumbline.functions.bits import order_bits
 
-Rank = tuple[float, Callable[[Column], Column]]
+DIGIT = 16
+DIGITS = 4
 
+#: The 0-based position of a statistic as a function of the group size.
+Rank = Callable[[Column], Column]
 
-def order_statistics(
-    df: DataFrame, value: str, ranks: Mapping[str, Rank], by: Sequence[str] = (), whole_group: int = WHOLE_GROUP, margin: float = MARGIN
-) -> DataFrame:
-    """One row per group: ``n`` and a column per label of ``ranks``.
 
-    A rank is ``(share, rank_of_n)``: where to look, and the 0-based position as a function of the
-    group size. Nulls are left out. A bracket that missed its rank raises an error.
-    """
+def order_statistics(df: DataFrame, value: str, ranks: Mapping[str, Rank], by: Sequence[str] = ()) -> DataFrame:
+    """One row per group: ``n`` and a column per label of ``ranks``. Nulls are left out; a group of nulls has no row."""
     groups = list(by) or ["_all"]
     rows = (df if by else df.withColumn("_all", F.lit(0))).select(*groups, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
-    shares = sorted({share for share, _ in ranks.values()})
-    cuts = [x for s in shares for x in (max(0.0, s - margin), min(1.0, s + margin))]
-    sketch = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", cuts, ACCURACY).alias("_q"))
-    small = F.col("n") <= whole_group
-    inside, passed = small, F.lit(0)
-    for i, s in enumerate(shares):
-        above = F.lit(True) if s - margin <= 0 else F.col("_v") >= F.col("_q")[2 * i]
-        below = F.lit(True) if s + margin >= 1 else F.col("_v") <= F.col("_q")[2 * i + 1]
-        inside = inside | (above & below)
-        passed = passed + F.when(small | below, 0).otherwise(1)
-    zoned = rows.join(sketch, groups).select(*groups, "n", "_v", inside.alias("_in"), passed.alias("_zone"))
-    counts = zoned.groupBy(*groups, "n", F.when(F.col("_in"), F.col("_v")).alias("_x"), F.when(~F.col("_in"), F.col("_zone")).alias("_z")).agg(
-        F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_o")
-    )
-    upto = Window.partitionBy(*groups).orderBy("_o")
-    marks = counts.withColumn("_end", F.sum("_c").over(upto)).withColumn("_start", F.col("_end") - F.col("_c"))
-
-    def pick(rank: Callable[[Column], Column], label: str) -> Column:
-        at = rank(F.col("n"))
-        here = (at >= F.col("_start")) & (at < F.col("_end"))
-        found = F.max(F.when(here, F.col("_x")))
-        return F.coalesce(found, F.raise_error(F.lit(f"rank bracket missed {label}")).cast("double")).alias(label)
-
-    return marks.groupBy(*groups).agg(*[pick(r, label) for label, (_s, r) in ranks.items()], F.max("n").alias("n")).drop("_all")
-
-
-def interpolated(df: DataFrame, value: str, shares: Mapping[str, float], by: Sequence[str] = (), **options) -> DataFrame:
+    rows = rows.withColumn("_k", order_bits("_v"))
+    labels = list(ranks)
+    least = F.min("_v").alias("_v")
+    # (group, digits found so far, n, the ranks that are wanted there, counted from the first row with these digits)
+    shift = DIGIT * (DIGITS - 1)
+    counts = rows.groupBy(*groups, F.shiftright("_k", shift).alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
+    whole = Window.partitionBy(*groups)
+    counts = counts.withColumn("n", F.sum("_c").over(whole)).withColumn("_end", F.sum("_c").over(whole.orderBy("_p")))
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), ranks[label](F.col("n")).cast("long").alias("at")) for i, label in enumerate(labels)])
+    found = _narrowed(counts.withColumn("_w", wanted), [*groups, "_p", "n"])
+    for left in range(DIGITS - 2, -1, -1):
+        shift = DIGIT * left
+        narrow = found.select(*[F.col(g).alias(f"_o_{g}") for g in groups], F.col("_p").alias("_o"), "n", "_w")
+        met = reduce(Column.__and__, [F.col(g).eqNullSafe(F.col(f"_o_{g}")) for g in groups], F.shiftright("_k", shift + DIGIT) == F.col("_o"))
+        counts = (
+            rows.join(narrow.drop("n", "_w"), met)
+            .groupBy(*groups, "_o", F.shiftright("_k", shift).alias("_p"))
+            .agg(F.count(F.lit(1)).alias("_c"), *([least] if not left else []))
+        )
+        inside = Window.partitionBy(*groups, "_o").orderBy("_p")
+        counts = counts.withColumn("_end", F.sum("_c").over(inside)).withColumnRenamed("_o", "_before")
+        met = reduce(Column.__and__, [F.col(g).eqNullSafe(F.col(f"_o_{g}")) for g in groups], F.col("_before") == F.col("_o"))
+        found = _narrowed(counts.join(narrow, met), [*groups, "_p", "n", *([] if left else ["_v"])])
+    picked = [F.max(F.when(F.array_contains("_w.i", i), F.col("_v"))).alias(label) for i, label in enumerate(labels)]
+    return found.groupBy(*groups).agg(*picked, F.max("n").alias("n")).drop("_all")
+
+
+def _narrowed(counts: DataFrame, keep: list[str]) -> DataFrame:
+    """The digits that a wanted rank falls into, with these ranks counted from there."""
+    start = F.col("_end") - F.col("_c")
+    here = F.transform(F.filter("_w", lambda w: (w.at >= start) & (w.at < F.col("_end"))), lambda w: F.struct(w.i.alias("i"), (w.at - start).alias("at")))
+    return counts.select(*keep, here.alias("_w")).filter(F.size("_w") > 0)
+
+
+def interpolated(df: DataFrame, value: str, shares: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
     """Linearly interpolated percentiles: one row per group with a column per label and ``n``."""
 
-    def place(s: float) -> Callable[[Column], Column]:
+    def place(s: float) -> Rank:
         return lambda n: F.lit(s) * (n - 1)
 
     ranks: dict[str, Rank] = {}
     for label, s in shares.items():
-        ranks[f"_lo_{label}"] = (s, lambda n, s=s: F.floor(place(s)(n)))
-        ranks[f"_hi_{label}"] = (s, lambda n, s=s: F.ceil(place(s)(n)))
-    found = order_statistics(df, value, ranks, by, **options)
+        ranks[f"_lo_{label}"] = lambda n, s=s: F.floor(place(s)(n))
+        ranks[f"_hi_{label}"] = lambda n, s=s: F.ceil(place(s)(n))
+    found = order_statistics(df, value, ranks, by)
     out = []
     for label, s in shares.items():
         lo, hi, x = F.col(f"_lo_{label}"), F.col(f"_hi_{label}"), place(s)(F.col("n"))
@@ -75,6 +79,6 @@ def interpolated(df: DataFrame, value: str, shares: Mapping[str, float], by: Seq
     return found.select(*by, *out, "n")
 
 
-def medians(df: DataFrame, value: str, by: Sequence[str] = (), **options) -> DataFrame:
+def medians(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Exact ``median`` per group (mean of the two middle values for even sizes) and ``n``."""
-    return interpolated(df, value, {"median": 0.5}, by, **options)
+    return interpolated(df, value, {"median": 0.5}, by)

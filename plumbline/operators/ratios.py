@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.bits import order_bits
 from plumbline.functions.stats import poisson_weight, with_draw
 from plumbline.operators.ordering import with_dense_index, with_prior_sums
 from plumbline.operators.quantiles import medians, order_statistics
@@ -228,20 +229,21 @@ def ratio_by_band(df: DataFrame, by: Sequence[str], num: str = "num", den: str =
     return ratio_of_sums(df.withColumn("band", size_band(num)), num, den, [*by, "band"], on_zero="null")
 
 
-def with_average_rank(df: DataFrame, value: str, out: str, by: Sequence[str] = (), scale: float = 1.0) -> DataFrame:
-    """Average rank of ``round(value * scale)`` in its group.
+def with_average_rank(df: DataFrame, value: str, out: str, by: Sequence[str] = ()) -> DataFrame:
+    """Average rank of the exact ``value`` in its group; null where the value is.
 
-    Equal values are merged before ranking, and running counts come from cells of the value axis.
+    Equal values are merged before ranking, and running counts come from cells of the values' order-preserving bits, four
+    levels of 2^16 each.
     """
-    keyed = df.withColumn("_k", F.round(F.col(value) * scale, 0).cast("long"))
-    sizes = keyed.groupBy(*by, "_k").agg(F.count(F.lit(1)).alias("_n"))
-    ranks = with_prior_sums(sizes, "_k", ["_n"], by).select(*by, "_k", (F.col("prior__n") + (F.col("_n") + 1) / 2).alias(out))
-    return keyed.join(ranks, [*by, "_k"]).drop("_k")
+    keyed = df.withColumn("_k", order_bits(value))
+    sizes = keyed.filter("_k IS NOT NULL").groupBy(*by, "_k").agg(F.count(F.lit(1)).alias("_n"))
+    ranks = with_prior_sums(sizes, "_k", ["_n"], by, levels=3).select(*by, "_k", (F.col("prior__n") + (F.col("_n") + 1) / 2).alias(out))
+    return keyed.join(ranks, [*by, "_k"], "left").drop("_k")
 
 
-def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), x_scale: float = 1.0, y_scale: float = 1e6) -> DataFrame:
+def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Rank correlation per group; descriptive only."""
-    ranked = with_average_rank(with_average_rank(df, x, "_rx", by, x_scale), y, "_ry", by, y_scale)
+    ranked = with_average_rank(with_average_rank(df.select(*by, x, y), x, "_rx", by), y, "_ry", by)
     return ranked.groupBy(*by).agg(F.corr("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
@@ -254,7 +256,7 @@ def fraction_profile(df: DataFrame, num: str, den: str, ceiling: float) -> DataF
     frac = df.select((F.coalesce(num, F.lit(0.0)) / F.coalesce(F.nullif(F.col(den), F.lit(0.0)), F.lit(1.0))).alias("f"))
     size = frac.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("f") >= ceiling).alias("n_over"))
     ranks = {
-        m: (q, lambda n, q=q: F.least(n - 1, F.floor(F.lit(q) * n)))
+        m: lambda n, q=q: F.least(n - 1, F.floor(F.lit(q) * n))
         for m, q in (("min", 0.0), ("p50", 0.5), ("p90", 0.9), ("p99", 0.99), ("max", 1.0))
     }
     found = order_statistics(frac, "f", ranks).drop("n")
