@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.catalog.base import query, rounded, whole_lists
+from plumbline.catalog.base import query, rounded
 from plumbline.catalog.inputs import ORDER_HITS_SQL, language_hits, norm_sql, order_hits
 from plumbline.operators import audit as A
 from plumbline.plans.studies import topicality_verdict
@@ -47,6 +47,9 @@ neighbours AS (
   SELECT a.idx - 1 AS idx, a.seq AS seq_a, b.seq AS seq_b, coalesce(s.overlap, 0) AS overlap, least(a.k, b.k) AS k_pair
   FROM dense a JOIN dense b ON b.idx = a.idx + 1 LEFT JOIN shared s ON s.sa = a.seq AND s.sb = b.seq)"""
 
+# The same over whole lists.
+LISTS_SQL = TOP5_SQL.replace(" WHERE pos <= 5", "")
+
 
 @query(
     "audit_copies_per_language",
@@ -70,7 +73,7 @@ def _(spark, sf_dir):
 
 @query(
     "audit_duplication_summary",
-    f"""WITH {TOP5_SQL}
+    f"""WITH {LISTS_SQL}
     SELECT count(*) AS n_queries, round(avg(dup_hash_rate), 6) AS avg_dup_hash_rate,
            round(avg(dup_id_rate), 6) AS avg_dup_id_rate,
            first(query ORDER BY dup_hash_rate DESC, seq) AS worst_hash_query,
@@ -81,32 +84,32 @@ def _(spark, sf_dir):
     FROM per_query""",
 )
 def _(spark, sf_dir):
-    return rounded(A.duplication_summary(A.intra_query_duplication(order_hits(spark, sf_dir, 5), 5)))
+    return rounded(A.duplication_summary(A.intra_query_duplication(order_hits(spark, sf_dir))))
 
 
 @query(
     "audit_duplicate_examples",
-    f"""WITH {TOP5_SQL},
+    f"""WITH {LISTS_SQL},
     firsts AS (SELECT seq, h, min(pos) AS first_pos FROM hits GROUP BY ALL)
     SELECT seq, pos, trim(text) AS snippet, query FROM hits JOIN firsts USING (seq, h)
     WHERE pos > first_pos ORDER BY seq, pos LIMIT 5""",
 )
 def _(spark, sf_dir):
-    return rounded(A.duplicate_examples(order_hits(spark, sf_dir, 5), n=5))
+    return rounded(A.duplicate_examples(order_hits(spark, sf_dir), n=5))
 
 
 @query(
     "audit_overlap_histogram",
-    f"WITH {TOP5_SQL} SELECT k_pair, overlap, CAST(n_pairs AS BIGINT) AS n_pairs FROM histogram",
+    f"WITH {LISTS_SQL} SELECT k_pair, overlap, CAST(n_pairs AS BIGINT) AS n_pairs FROM histogram",
 )
 def _(spark, sf_dir):
-    h = A.overlap_histogram(A.result_sets(order_hits(spark, sf_dir, 5)), 5)
+    h = A.overlap_histogram(A.result_sets(order_hits(spark, sf_dir)))
     return rounded(h.withColumn("n_pairs", F.col("n_pairs").cast("long")))
 
 
 @query(
     "audit_cross_query_repetition",
-    f"""WITH {TOP5_SQL},
+    f"""WITH {LISTS_SQL},
     obs AS (SELECT count(*) AS n_pairs, count(*) FILTER (overlap >= least(2, k_pair)) AS k_bin,
                    avg(overlap / k_pair) AS cons_continuous_mean FROM neighbours),
     ref AS (SELECT CAST(sum(n_pairs) AS BIGINT) AS total_pairs,
@@ -120,17 +123,17 @@ def _(spark, sf_dir):
     FROM obs, ref""",
 )
 def _(spark, sf_dir):
-    return rounded(A.cross_query_repetition(order_hits(spark, sf_dir, 5), 5).drop("ci_low", "ci_high", "insufficient"))
+    return rounded(A.cross_query_repetition(order_hits(spark, sf_dir)).drop("ci_low", "ci_high", "insufficient"))
 
 
 @query(
     "audit_consecutive_pairs",
-    f"""WITH {TOP5_SQL}
+    f"""WITH {LISTS_SQL}
     SELECT seq_a, seq_b, overlap, k_pair, round(overlap / k_pair, 6) AS frac, overlap >= least(2, k_pair) AS "binary"
     FROM neighbours""",
 )
 def _(spark, sf_dir):
-    pairs = A.consecutive_pairs(A.result_sets(order_hits(spark, sf_dir, 5)))
+    pairs = A.consecutive_pairs(A.result_sets(order_hits(spark, sf_dir)))
     return rounded(pairs)
 
 
@@ -150,7 +153,7 @@ def _(spark, sf_dir):
     return rounded(A.repeat_rate(order_hits(spark, sf_dir, 5), 5))
 
 
-SCORE_SQL = TOP5_SQL + """, stepped AS (
+SCORE_SQL = LISTS_SQL + """, stepped AS (
   SELECT *, lag(score) OVER (PARTITION BY seq ORDER BY pos) = score AS tied FROM hits WHERE score IS NOT NULL),
 score_rows AS (
   SELECT seq, query, count(*) AS k,
@@ -164,7 +167,7 @@ score_rows AS (
     f"WITH {SCORE_SQL} SELECT seq, query, k, round(spread, 6) AS spread, tied_adjacent, adjacent_pairs FROM score_rows",
 )
 def _(spark, sf_dir):
-    return rounded(A.score_rows(order_hits(spark, sf_dir, 5)))
+    return rounded(A.score_rows(order_hits(spark, sf_dir)))
 
 
 @query(
@@ -177,7 +180,7 @@ def _(spark, sf_dir):
     FROM score_rows""",
 )
 def _(spark, sf_dir):
-    return rounded(A.score_scale(order_hits(spark, sf_dir, 5)))
+    return rounded(A.score_scale(order_hits(spark, sf_dir)))
 
 
 REPORTED = (
@@ -208,7 +211,7 @@ REPORTED = (
     SELECT family, metric, round(CAST(value AS DOUBLE), 6) AS value FROM long""",
 )
 def _(spark, sf_dir):
-    return rounded(A.audit_metrics(order_hits(spark, sf_dir, 5), 5).filter(F.col("metric").isin(*REPORTED)))
+    return rounded(A.audit_metrics(order_hits(spark, sf_dir)).filter(F.col("metric").isin(*REPORTED)))
 
 
 TOPICALITY_SQL = TOP5_SQL + """, shuffled AS (
@@ -244,48 +247,3 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     return rounded(topicality_verdict(A.topicality(order_hits(spark, sf_dir, 5))).select("n_pairs", "gap_pp", "verdict"))
-
-
-# The same over whole lists: nothing is cut, so orders of any length count. Topicality takes five results by its study.
-
-
-@whole_lists("audit_duplication_summary")
-def _(spark, sf_dir):
-    return rounded(A.duplication_summary(A.intra_query_duplication(order_hits(spark, sf_dir))))
-
-
-@whole_lists("audit_duplicate_examples")
-def _(spark, sf_dir):
-    return rounded(A.duplicate_examples(order_hits(spark, sf_dir), n=5))
-
-
-@whole_lists("audit_overlap_histogram")
-def _(spark, sf_dir):
-    sets = A.result_sets(order_hits(spark, sf_dir))
-    h = A.overlap_histogram(sets, A.longest(sets))
-    return rounded(h.withColumn("n_pairs", F.col("n_pairs").cast("long")))
-
-
-@whole_lists("audit_cross_query_repetition")
-def _(spark, sf_dir):
-    return rounded(A.cross_query_repetition(order_hits(spark, sf_dir)).drop("ci_low", "ci_high", "insufficient"))
-
-
-@whole_lists("audit_consecutive_pairs")
-def _(spark, sf_dir):
-    return rounded(A.consecutive_pairs(A.result_sets(order_hits(spark, sf_dir))))
-
-
-@whole_lists("audit_score_rows")
-def _(spark, sf_dir):
-    return rounded(A.score_rows(order_hits(spark, sf_dir)))
-
-
-@whole_lists("audit_score_scale")
-def _(spark, sf_dir):
-    return rounded(A.score_scale(order_hits(spark, sf_dir)))
-
-
-@whole_lists("audit_report")
-def _(spark, sf_dir):
-    return rounded(A.audit_metrics(order_hits(spark, sf_dir)).filter(F.col("metric").isin(*REPORTED)))

@@ -26,14 +26,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def whole_lists(name: str, cut: str = " WHERE pos <= 5") -> Callable[[Query], Query]:
-    """Register ``<name>_whole``: what query ``name`` states, over whole lists."""
-    sql = ORACLES[name]
-    if cut not in sql:
-        raise ValueError(f"the SQL of {name} cuts no list")
-    return query(f"{name}_whole", sql.replace(cut, ""))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(str(Path(sf_dir) / f"{name}.parquet"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.catalog.base import query, rounded, table, whole_lists
+from plumbline.catalog.base import query, rounded, table
 from plumbline.catalog.inputs import ORDER_HITS_SQL, TURNS_SQL, conversation_turns, order_hits
 from plumbline.functions import text as T
 from plumbline.functions.decisions import parse_decision
@@ -189,13 +189,8 @@ def exported(hits):
 
 @query(
     "export_records",
-    f"""WITH {ORDER_HITS_SQL} SELECT seq, query, string_agg(coalesce(id, '-') || ':' || text, ',' ORDER BY pos) AS results FROM order_hits WHERE pos <= 5 GROUP BY ALL""",
+    f"""WITH {ORDER_HITS_SQL} SELECT seq, query, string_agg(coalesce(id, '-') || ':' || text, ',' ORDER BY pos) AS results FROM order_hits GROUP BY ALL""",
 )
-def _(spark, sf_dir):
-    return exported(order_hits(spark, sf_dir, 5))
-
-
-@whole_lists("export_records")
 def _(spark, sf_dir):
     return exported(order_hits(spark, sf_dir))
 

@@ -14,14 +14,13 @@ from pyspark.sql import functions as F
 from plumbline.functions import text as T
 from plumbline.functions.stats import share, wilson
 from plumbline.operators.ordering import with_next, with_previous
+from plumbline.operators.overlaps import pair_overlaps
 from plumbline.operators.quantiles import medians
-from plumbline.session import fan_out
+from plumbline.session import checkpointed
 
 # When the score scale counts as collapsed.
 TIE_LIMIT = 0.20
 SPREAD_LIMIT = 0.10
-# Result sets up to this many distinct items are counted through their subsets.
-SUBSET_ITEMS = 8
 
 
 def slice_top_k(hits: DataFrame, k: int | None) -> DataFrame:
@@ -109,107 +108,9 @@ def result_sets(hits: DataFrame, k: int | None = None) -> DataFrame:
     )
 
 
-def _subsets(items: Column) -> Column:
-    """All non-empty subsets of an array, each as struct(size, 128-bit key)."""
-    masks = F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size(items)) - 1)
-
-    def one(mask: Column) -> Column:
-        chosen = F.filter(items, lambda _, i: F.getbit(mask, i) == 1)
-        return F.struct(
-            F.size(chosen).alias("m"), F.xxhash64(chosen).alias("h1"), F.xxhash64(F.lit(17), chosen).alias("h2")
-        )
-
-    return F.transform(masks, one)
-
-
-def _pairs_by_min(counts: list[Column]) -> Column:
-    """Pairs of one group by their smaller slot count, from the group's counts for 1, 2, … slots."""
-
-    def pairs(n: Column) -> Column:
-        wide = n.cast("decimal(20,0)")
-        return (wide * (wide - 1) / 2).cast("decimal(38,0)")
-
-    out, at_least = [], F.lit(0).cast("long")
-    for slots in range(len(counts), 0, -1):
-        more, at_least = at_least, at_least + counts[slots - 1]
-        out.append(F.struct(F.lit(slots).alias("k"), (pairs(at_least) - pairs(more)).cast("decimal(38,0)").alias("pairs")))
-    return F.filter(F.array(*out), lambda e: e.pairs > 0)
-
-
-def _count_pairs(groups: DataFrame, keys: Sequence[str], slots: int) -> DataFrame:
-    """``keys, k, pairs`` for rows ``keys, k, mult``; one combinable aggregate, one counter per slot count."""
-    columns = [F.coalesce(F.sum(F.when(F.col("k") == i, F.col("mult"))), F.lit(0)).alias(f"_n{i}") for i in range(1, slots + 1)]
-    held = groups.groupBy(*keys).agg(*columns) if keys else groups.agg(*columns)
-    total = sum((F.col(f"_n{i}") for i in range(2, slots + 1)), F.col("_n1"))
-    return (
-        held.filter(total > 1)
-        .select(*keys, F.explode(_pairs_by_min([F.col(f"_n{i}") for i in range(1, slots + 1)])).alias("e"))
-        .select(*keys, "e.k", "e.pairs")
-    )
-
-
-def overlap_histogram(sets: DataFrame, slots: int) -> DataFrame:
-    """How many query pairs have slot minimum ``k_pair`` and share ``overlap`` items.
-
-    ``slots`` is the largest list length. No pair is ever written out for lists of up to
-    ``SUBSET_ITEMS`` items. A pair sharing x items shares C(x, m) subsets of size m, so
-    counting the queries that hold each subset gives moment sums per m, and inverting the
-    binomial relation gives the exact number of pairs per x. Work is linear in the number of
-    queries, and a favourite item that is in every result is one counter, not n² rows.
-    Items found in a single query cannot be shared and are dropped first. Sets that still have
-    more than ``SUBSET_ITEMS`` items are matched by item with every other set.
-    """
-    zero = F.lit(0).cast("decimal(38,0)")
-    single = sets.select("seq", F.col("k").cast("int").alias("k"), F.explode("items").alias("item"))
-    shared = single.groupBy("item").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("item")
-    sized = (
-        fan_out(single.join(shared, "item", "left_semi"), "seq")
-        .groupBy("seq")
-        .agg(F.sort_array(F.collect_list("item")).alias("items"), F.first("k").alias("k"))
-    )
-    all_narrow = slots <= SUBSET_ITEMS
-    narrow = sized if all_narrow else sized.filter(F.size("items") <= SUBSET_ITEMS)
-
-    members = narrow.select("k", F.lit(1).cast("long").alias("mult"), F.explode(_subsets(F.col("items"))).alias("s")).select(
-        "k", "mult", "s.*"
-    )
-    moments = _count_pairs(members, ["m", "h1", "h2"], slots).groupBy("k", "m").agg(F.sum("pairs").alias("c"))
-    signed = moments.select("k", "m", "c", F.explode(F.sequence(F.lit(1), F.col("m"))).alias("x")).select(
-        "k", "x", (F.col("c") * F.expr("IF((m - x) % 2 = 0, 1, -1)") * _binomial("m", "x")).cast("decimal(38,0)").alias("n")
-    )
-    positive = signed.groupBy("k", "x").agg(F.sum("n").cast("decimal(38,0)").alias("n"))
-    if not all_narrow:
-        by_item = _wide_pairs(sized).groupBy("k", "x").agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("n"))
-        positive = positive.unionByName(by_item).groupBy("k", "x").agg(F.sum("n").cast("decimal(38,0)").alias("n"))
-    positive = positive.filter("n > 0")
-    slot_counts = sets.groupBy(F.col("k").cast("int").alias("k")).agg(F.count(F.lit(1)).alias("mult"))
-    every = _count_pairs(slot_counts, [], slots)
-    none = (
-        every.join(positive.groupBy("k").agg(F.sum("n").alias("some")), "k", "left")
-        .select("k", F.lit(0).alias("x"), (F.col("pairs") - F.coalesce("some", zero)).cast("decimal(38,0)").alias("n"))
-        .filter("n > 0")
-    )
-    return positive.select("k", F.col("x").cast("int").alias("x"), "n").unionByName(none).select(
-        F.col("k").alias("k_pair"), F.col("x").alias("overlap"), F.col("n").alias("n_pairs")
-    )
-
-
-def _binomial(n: str, r: str) -> Column:
-    return F.expr(f"CAST(factorial({n}) / (factorial({r}) * factorial({n} - {r})) AS BIGINT)")
-
-
-def _wide_pairs(sized: DataFrame) -> DataFrame:
-    """Overlaps of pairs in which at least one set is wide, from shared items."""
-    wide = F.size("items") > SUBSET_ITEMS
-    left = sized.filter(wide).select(F.col("seq").alias("a"), F.col("k").alias("ka"), F.explode("items").alias("item"))
-    right = sized.select(F.col("seq").alias("b"), F.col("k").alias("kb"), wide.alias("both"), F.explode("items").alias("item"))
-    return (
-        left.join(right, "item")
-        .filter((F.col("a") != F.col("b")) & (~F.col("both") | (F.col("a") < F.col("b"))))
-        .groupBy("a", "b")
-        .agg(F.min(F.least("ka", "kb")).alias("k"), F.count(F.lit(1)).cast("int").alias("x"))
-        .select("k", "x")
-    )
+def overlap_histogram(sets: DataFrame) -> DataFrame:
+    """How many query pairs have slot minimum ``k_pair`` and share ``overlap`` items, for lists of any length."""
+    return pair_overlaps(sets.select("items", "k")).withColumn("overlap", F.col("overlap").cast("int"))
 
 
 def reference_repetition(histogram: DataFrame) -> DataFrame:
@@ -251,23 +152,16 @@ def observed_repetition(pairs: DataFrame) -> DataFrame:
     )
 
 
-def longest(sets: DataFrame) -> int:
-    """The slots of the longest list of :func:`result_sets`."""
-    return sets.agg(F.coalesce(F.max("k"), F.lit(1))).first()[0]
-
-
 def cross_query_repetition(hits: DataFrame, k: int | None = None) -> DataFrame:
     """Observed repetition of neighbours next to the all-pairs reference; one row.
 
     With fewer than two non-empty queries every rate is null and ``insufficient`` is true.
-    Without ``k`` the longest list is looked up first.
     """
-    sets = result_sets(hits, k)
-    slots = k or longest(sets)
+    sets = checkpointed(result_sets(hits, k))
     n = sets.agg(F.count(F.lit(1)).alias("n_queries"))
     return (
         n.crossJoin(observed_repetition(consecutive_pairs(sets)))
-        .crossJoin(reference_repetition(overlap_histogram(sets, slots)))
+        .crossJoin(reference_repetition(overlap_histogram(sets)))
         .withColumn("insufficient", F.col("n_queries") < 2)
     )
 
@@ -385,7 +279,7 @@ def topicality(hits: DataFrame, k: int = 5, seed: int = 20260728) -> DataFrame:
     """
     from plumbline.functions.hashing import shuffle_rank
 
-    sets = result_sets(hits, k)
+    sets = checkpointed(result_sets(hits, k))
     # 44 bits of the digest give the LONG order, seq settles equal digests.
     permuted = sets.withColumn("shuffled", F.conv(F.substring(shuffle_rank(seed, "seq"), 1, 11), 16, 10).cast("long"))
     real = observed_repetition(consecutive_pairs(sets)).select(
@@ -395,7 +289,7 @@ def topicality(hits: DataFrame, k: int = 5, seed: int = 20260728) -> DataFrame:
     shuf = observed_repetition(consecutive_pairs(permuted, "shuffled", ["seq"])).select(
         F.col("k_bin").alias("k_shuffled"), F.col("cons_binary_rate").alias("shuffled")
     )
-    ref = reference_repetition(overlap_histogram(sets, k)).select(F.col("ref_binary_rate").alias("neutral"))
+    ref = reference_repetition(overlap_histogram(sets)).select(F.col("ref_binary_rate").alias("neutral"))
     return real.crossJoin(shuf).crossJoin(ref).withColumn("gap_pp", (F.col("real") - F.col("shuffled")) * 100).withColumn(
         "valid",
         (F.col("neutral") >= F.least("real", "shuffled")) & (F.col("neutral") <= F.greatest("real", "shuffled")),

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import audit as A
+from plumbline.operators import overlaps as O
 from plumbline.sources import retrieval as R
 
 HITS = "seq long, query string, pos int, id string, text string, score double"
@@ -30,8 +31,8 @@ def test_topicality_values(spark):
 
 def test_reference_ignores_order(spark):
     turned = dict(zip(TOPICAL, reversed(list(TOPICAL.values()))))
-    a = A.overlap_histogram(A.result_sets(hits_of(spark, TOPICAL), 5), 5).collect()
-    b = A.overlap_histogram(A.result_sets(hits_of(spark, turned), 5), 5).collect()
+    a = A.overlap_histogram(A.result_sets(hits_of(spark, TOPICAL), 5)).collect()
+    b = A.overlap_histogram(A.result_sets(hits_of(spark, turned), 5)).collect()
     assert sorted(a) == sorted(b)
 
 
@@ -43,22 +44,43 @@ def brute_histogram(lists):
     return out
 
 
-@pytest.mark.parametrize("subset_items", [2, 4, 8])
-def test_histogram_against_brute_force(spark, monkeypatch, subset_items):
-    """Small subsets force the item join; lists differ in length and contain repeats."""
-    monkeypatch.setattr(A, "SUBSET_ITEMS", subset_items)
-    rng = random.Random(3)
+@pytest.mark.parametrize("light, block, columns", [(1, 7, 3), (3, 2048, 8192), (64, 2048, 8192)])
+def test_histogram_against_brute_force(spark, monkeypatch, light, block, columns):
+    """Few light items leave many groups for the blocks; lists differ in length and contain repeats and equal sets."""
+    monkeypatch.setattr(O, "LIGHT", light)
+    monkeypatch.setattr(O, "BLOCK", block)
+    monkeypatch.setattr(O, "COLUMNS", columns)
+    rng = random.Random(light)
     lists = {q: [rng.choice("ABCDEFGHIJ") for _ in range(rng.randint(1, 7))] for q in range(1, 41)}
-    got = A.overlap_histogram(A.result_sets(hits_of(spark, lists)), 7).collect()
+    lists |= {q: [f"w{rng.randrange(40)}" for _ in range(rng.randint(9, 50))] + ["HOT"] * (q % 3 > 0) for q in range(41, 71)}
+    lists |= {q: list("ABC") for q in range(71, 80)}
+    got = A.overlap_histogram(A.result_sets(hits_of(spark, lists))).collect()
     assert {(r.k_pair, r.overlap): int(r.n_pairs) for r in got} == brute_histogram(lists)
 
 
 def test_histogram_with_one_item_in_every_query(spark):
     lists = {q: ["HOT", f"x{q}", f"y{q % 3}"] for q in range(1, 301)}
-    got = A.overlap_histogram(A.result_sets(hits_of(spark, lists)), 3).collect()
+    got = A.overlap_histogram(A.result_sets(hits_of(spark, lists))).collect()
     assert {(r.k_pair, r.overlap): int(r.n_pairs) for r in got} == brute_histogram(lists)
 
 
+def test_a_hot_item_in_long_lists_lists_no_pair(spark, monkeypatch):
+    lists = {q: ["HOT", *(f"x{q}-{i}" for i in range(9))] for q in range(2000)}
+    listed, written = [], O._listed
+    monkeypatch.setattr(O, "_listed", lambda *a: listed.append(written(*a)) or listed[-1])
+    got = A.overlap_histogram(A.result_sets(hits_of(spark, lists))).collect()
+    assert [(r.k_pair, r.overlap, int(r.n_pairs)) for r in got] == [(10, 1, 2000 * 1999 // 2)]
+    assert [df.count() for df in listed] == [0] * len(listed)
+
+
+def test_overlaps_of_empty_and_equal_sets(spark):
+    none = spark.createDataFrame([], "items array<string>, k int")
+    assert O.pair_overlaps(none).count() == 0
+    rows = [([], 2)] * 3 + [(["a"], 2)] * 4 + [(["a"], 5)] * 2
+    got = O.pair_overlaps(spark.createDataFrame(rows, "items array<string>, k int")).collect()
+    assert {(r.k_pair, r.overlap): int(r.n_pairs) for r in got} == {(2, 0): 3 + 18, (2, 1): 6 + 8, (5, 1): 1}
+
+
 def test_fewer_than_two_queries(spark):
     row = A.cross_query_repetition(hits_of(spark, {1: "AB"})).first()
     assert row.insufficient and row.ref_binary_rate is None and row.cons_binary_rate is None
@@ -112,8 +134,6 @@ def test_whole_lists_are_not_cut(spark):
 
     sf = "/root/testdata/sf0.001"
     lines = spark.read.parquet(f"{sf}/lineitem.parquet").count()
-    got = QUERIES["export_records_whole"](spark, sf).selectExpr("sum(size(split(results, ','))) AS n").first().n
+    got = QUERIES["export_records"](spark, sf).selectExpr("sum(size(split(results, ','))) AS n").first().n
     assert got == lines
-    sets = A.result_sets(order_hits(spark, sf))
-    assert sets.filter(F.col("n_items") > A.SUBSET_ITEMS).count() > 0 and A.longest(sets) > A.SUBSET_ITEMS
-    assert QUERIES["audit_score_rows_whole"](spark, sf).selectExpr("max(k) AS k").first().k > 5
+    assert A.result_sets(order_hits(spark, sf)).filter("n_items > 8").count() > 0
