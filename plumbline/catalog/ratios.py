@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.catalog.base import query, rounded, table
-from plumbline.functions.stats import DRAW_BITS, poisson_limits, within
+from plumbline.functions.stats import DRAW_BITS, SHORT_BITS, SHORT_DRAWS, poisson_limits, within
 from plumbline.operators import ratios as R
 from plumbline.plans import studies
 
@@ -31,9 +31,13 @@ def draw_sql(key, rep, seed):
 
 def weights_sql(source, keep, key="key", b=B, seed=SEED):
     """CTEs that give every row of ``source`` its Poisson weight in every replicate."""
-    limits = poisson_limits()
+    limits = poisson_limits(SHORT_BITS)
     case = "CASE " + " ".join(f"WHEN u < {v} THEN {i}" for i, v in enumerate(limits)) + f" ELSE {len(limits)} END"
-    return f"""drawn AS (SELECT {keep}, num, den, b, {draw_sql(key, 'b', seed)} AS u FROM {source} CROSS JOIN generate_series(0, {b - 1}) g(b)),
+    each = DRAW_BITS // SHORT_BITS
+    half = f"CAST('0x' || substr(digest, 1 + {DRAW_BITS // 4} * (b % {SHORT_DRAWS} // {each}), {DRAW_BITS // 4}) AS BIGINT)"
+    return f"""digests AS (SELECT {keep}, num, den, b, md5('{seed}:' || CAST({key} AS VARCHAR) || ':' || CAST(b // {SHORT_DRAWS} AS VARCHAR)) AS digest
+      FROM {source} CROSS JOIN generate_series(0, {b - 1}) g(b)),
+    drawn AS (SELECT {keep}, num, den, b, ({half} >> ({SHORT_BITS} * (b % {each}))) & {(1 << SHORT_BITS) - 1} AS u FROM digests),
     weighted AS (SELECT *, {case} AS w FROM drawn)"""
 
 

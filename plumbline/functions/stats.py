@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from math import exp, factorial
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from plumbline.functions.text import _col
 
 Z95 = 1.96
 DRAW_BITS = 60  # fifteen hex digits of a digest, which fit a long
+SHORT_BITS, SHORT_DRAWS = 20, 6  # draws that share one digest
 
 
 def wilson(k: Column | str, n: Column | str, z: float = Z95) -> Column:
@@ -54,21 +56,36 @@ def with_draw(df: DataFrame, key: str, replicate: str | int, seed: int, out: str
     return df.withColumn(out, F.conv(F.substring(whole, 1, DRAW_BITS // 4), 16, 10).cast("long"))
 
 
-def poisson_limits(max_count: int = 20) -> list[int]:
-    """Limits of the Poisson(1) distribution: a draw below limit i means a count <= i.
+def with_short_draws(df: DataFrame, key: str, block: str, seed: int, names: Sequence[str]) -> DataFrame:
+    """Attach up to ``SHORT_DRAWS`` longs below 2 ** SHORT_BITS fixed by (seed, key, block).
 
-    Beyond 20 the rest of the distribution is smaller than one step of the draw.
+    One digest serves them all: its first and next fifteen hex digits are two integers, and the draws are their parts of
+    twenty bits, lowest first.
+    """
+    whole = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), F.col(block).cast("string")))
+    halves = [F.conv(F.substring(F.col("_md5"), at, DRAW_BITS // 4), 16, 10).cast("long") for at in (1, 1 + DRAW_BITS // 4)]
+    held = df.withColumn("_md5", whole).withColumns({f"_half{i}": h for i, h in enumerate(halves)})
+    each = DRAW_BITS // SHORT_BITS
+    parts = {n: F.shiftright(f"_half{i // each}", SHORT_BITS * (i % each)).bitwiseAND((1 << SHORT_BITS) - 1) for i, n in enumerate(names)}
+    return held.withColumns(parts).drop("_md5", "_half0", "_half1")
+
+
+def poisson_limits(bits: int = DRAW_BITS) -> list[int]:
+    """Limits of the Poisson(1) distribution in steps of 2 ** -bits: a draw below limit i means a count <= i.
+
+    The list ends where the rest of the distribution is smaller than one step.
     """
     total, out = 0.0, []
-    for i in range(max_count):
-        total += exp(-1.0) / factorial(i)
-        out.append(int(min(total, 1.0) * (1 << DRAW_BITS)))
+    while not out or out[-1] < (1 << bits) - 1:
+        total += exp(-1.0) / factorial(len(out))
+        out.append(int(min(total, 1.0) * (1 << bits)))
     return out
 
 
-def poisson_weight(draw: Column) -> Column:
-    """How often a row enters one bootstrap replicate."""
-    weight = F.lit(len(poisson_limits()))
-    for count, limit in reversed(list(enumerate(poisson_limits()))):
+def poisson_weight(draw: Column, bits: int = DRAW_BITS) -> Column:
+    """How often a row enters one bootstrap replicate, by a draw below 2 ** bits."""
+    limits = poisson_limits(bits)
+    weight = F.lit(len(limits))
+    for count, limit in reversed(list(enumerate(limits))):
         weight = F.when(draw < limit, F.lit(count)).otherwise(weight)
     return weight

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.bits import order_bits
+from plumbline.session import checkpointed
 
 DIGIT = 16
 DIGITS = 4
@@ -27,7 +28,8 @@ def order_statistics(df: DataFrame, value: str, ranks: Mapping[str, Rank], by: S
     """One row per group: ``n`` and a column per label of ``ranks``. Nulls are left out; a group of nulls has no row."""
     groups = list(by) or ["_all"]
     rows = (df if by else df.withColumn("_all", F.lit(0))).select(*groups, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
-    rows = rows.withColumn("_k", order_bits("_v"))
+    # read once, however much lies behind it: the rounds go over a table of the groups and two numbers a row
+    rows = checkpointed(rows.withColumn("_k", order_bits("_v")))
     labels = list(ranks)
     least = F.min("_v").alias("_v")
     # (group, digits found so far, n, the ranks that are wanted there, counted from the first row with these digits)

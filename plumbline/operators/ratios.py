@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.bits import order_bits
-from plumbline.functions.stats import poisson_weight, with_draw
+from plumbline.functions.stats import SHORT_BITS, SHORT_DRAWS, poisson_weight, with_draw, with_short_draws
 from plumbline.operators.ordering import with_dense_index, with_prior_sums
 from plumbline.operators.quantiles import medians, order_statistics
 from plumbline.session import fan_out
@@ -88,15 +88,21 @@ def bootstrap_replicates(
     """``(by, b, num, den, n)`` sums of ``b`` Poisson-bootstrap replicates that resample pairs.
 
     The weight of a row in a replicate depends on (seed, key, replicate) alone, so partitioning
-    and retries change nothing. Each task adds its rows into groups x b sums before the shuffle.
+    and retries change nothing. A digest serves ``SHORT_DRAWS`` replicates, which are summed side by
+    side; each task adds its rows into groups x b sums before the shuffle.
     """
     drawn = df.select(*by, F.col(num).cast("double").alias("_a"), F.col(den).cast("double").alias("_d"), F.col(key).cast("string").alias("_k"))
-    spread = fan_out(drawn, "_k").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
-    # No filter on the weight: pushed below the projections it would repeat the whole draw.
-    weighted = with_draw(spread, "_k", "b", seed, "_u").withColumn("_w", poisson_weight(F.col("_u")))
-    return weighted.groupBy(*by, "b").agg(
-        F.sum(F.col("_w") * F.col("_a")).alias("num"), F.sum(F.col("_w") * F.col("_d")).alias("den"), F.sum("_w").alias("n")
-    )
+    blocks = -(-b // SHORT_DRAWS)
+    spread = fan_out(drawn, "_k").withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    names = [f"_w{i}" for i in range(SHORT_DRAWS)]
+    # No filter on the weights: pushed below the projections it would repeat the whole draw.
+    weighted = with_short_draws(spread, "_k", "_g", seed, names).withColumns({n: poisson_weight(F.col(n), SHORT_BITS).cast("double") for n in names})
+    sums = [F.sum(x).alias(f"_{label}{i}") for i, n in enumerate(names) for label, x in (("a", F.col(n) * F.col("_a")), ("d", F.col(n) * F.col("_d")), ("n", F.col(n)))]
+    rows = F.array(*[
+        F.struct((F.col("_g") * SHORT_DRAWS + i).alias("b"), F.col(f"_a{i}").alias("num"), F.col(f"_d{i}").alias("den"), F.col(f"_n{i}").cast("long").alias("n"))
+        for i in range(SHORT_DRAWS)
+    ])
+    return weighted.groupBy(*by, "_g").agg(*sums).select(*by, F.explode(rows).alias("r")).select(*by, "r.*").filter(F.col("b") < b)
 
 
 def exact_replicates(

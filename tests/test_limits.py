@@ -5,7 +5,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from plumbline.catalog.inputs import conversation_turns
-from plumbline.functions.stats import poisson_weight, with_draw
+from plumbline.functions.stats import SHORT_BITS, SHORT_DRAWS, poisson_weight, with_draw, with_short_draws
 from plumbline.functions.text import content_key
 from plumbline.operators import labels as L
 from plumbline.operators import matching as M
@@ -51,6 +51,16 @@ def test_draws_of_large_keys_and_replicates_are_independent(spark):
     assert 0.8 < sum(r.w for r in rows) / len(rows) < 1.2
 
 
+def test_draws_that_share_a_digest_are_independent(spark):
+    names = [f"u{i}" for i in range(SHORT_DRAWS)]
+    keys = spark.range(4000).withColumnRenamed("id", "k").withColumn("g", F.lit(2))
+    rows = with_short_draws(keys, "k", "g", 3, names).select([poisson_weight(F.col(n), SHORT_BITS).alias(n) for n in names] + [F.col(n).alias(f"d{n}") for n in names])
+    sums = rows.agg(*[F.avg(n).alias(n) for n in names], *[F.corr(a, b).alias(f"{a}{b}") for a in names for b in names if a < b], F.max("du5").alias("top")).first()
+    assert all(0.93 < sums[n] < 1.07 for n in names)
+    assert all(abs(sums[f"{a}{b}"]) < 0.08 for a in names for b in names if a < b)
+    assert 0.99 * 2**SHORT_BITS < sums.top < 2**SHORT_BITS
+
+
 def test_groups_are_keyed_by_the_whole_digest(spark):
     df = spark.createDataFrame([("q", "a")], "q string, a string").select(content_key("q", "a").alias("k"))
     assert len(df.first().k) == 64
