@@ -28,7 +28,7 @@ def query(fn):
 @query
 def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document in record files, read back: where each starts, how many it has and their checksum."""
-    index = records.write_records(table(spark, sf_dir, "documents"), shared_folder(spark, "records"), tokenizer_path(), END_ID)
+    index = records.write_records(table(spark, sf_dir, "documents"), shared_folder(spark, "records"), tokenizer_path(), END_ID, keep=True)
     return records.read_records(index).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

@@ -18,6 +18,7 @@ are not read.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -45,10 +46,13 @@ BATCH_BYTES = 1 << 22  # payload bytes that are framed or checked together
 WRITTEN = "path string, shard int, record long, offset long, length long, doc_id long, n_tokens long"
 READ = "path string, shard int, record long, doc_id long, local_start long, n_tokens long, ids_crc32 long"
 
-# Letters and digits of the pattern that splits text before the merges, for the characters that the quick path knows.
+# The pattern that splits text before the merges, for Latin letters, digits, ASCII punctuation and white space; any other
+# character is a piece that only the library can tell.
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
-_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+")
-_OTHER = re.compile("[^\t\n\r -~¡-¬®-±´-¸º»¿-ɏ]|^ (?:[ \t\n\r]|$)")
+_MARKS = "!-/:-@\\[-`{-~¡-©«¬®-±´¶-¸»¿×÷"
+_WHITE = " \\t\\n\\r"
+_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[{_MARKS}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+|[^{_LETTERS}0-9{_MARKS}{_WHITE}]+")
+_PLAIN_PIECE = re.compile(rf"[{_LETTERS}0-9{_MARKS}{_WHITE}]+")
 
 
 def _byte_symbols() -> dict[int, int]:
@@ -58,58 +62,72 @@ def _byte_symbols() -> dict[int, int]:
     return {b: b for b in prints} | {b: 256 + i for i, b in enumerate(rest)}
 
 
-_SYMBOL = _byte_symbols()
+_SYMBOL = _byte_symbols() | {0: 0}
+
+
+#: What the quick path takes for granted of a tokenizer's file. Any other file is left to the library.
+_PLAIN = {
+    "normalizer": None, "truncation": None, "padding": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True},
+    "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False},
+}
+
+
+def _is_plain(tokenizer) -> bool:
+    found = json.loads(tokenizer.to_str())
+
+    def same(want, has) -> bool:
+        if isinstance(want, dict):
+            return isinstance(has, dict) and all(same(v, has.get(k)) for k, v in want.items())
+        # what an older file leaves out is off, but for the pattern, which is on
+        return has == want or has is None and want is False or has in ("", None) and want is None
+
+    return same(_PLAIN, found)
 
 
 class _Other(Exception):
-    """A chunk that only the library can cut."""
+    """A piece that only the library can cut."""
 
 
 class Encoder:
-    """Ids of whole texts as bytes, by a byte-level BPE of the tokenizers library.
+    """Ids of whole texts, by a byte-level BPE of the tokenizers library, as little-endian integers.
 
-    Merges never cross the pieces that the vocabulary's pattern cuts a text into, and no piece goes over a single space
-    that is followed by anything but white space. So the library's ids are kept for pieces and for chunks between spaces,
-    in a cache of bounded size. A text with a character outside Latin letters, digits and punctuation, or with white space
-    after a space, is given to the library whole.
+    Merges never cross the pieces that the vocabulary's pattern cuts a text into, so the library's ids are kept for pieces, in
+    a cache of bounded size. The library itself encodes a text with a character outside Latin letters, digits and ASCII
+    punctuation, or with the string of an added token, and all texts when its file asks for anything but plain byte-level pieces.
     """
 
-    def __init__(self, path: str, cache: int = 250_000):
+    def __init__(self, path: str, cache: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
+        self.plain = _is_plain(self.tokenizer)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
         self.code = "H" if self.dtype == "<u2" else "I"
-        self.ids = _Kept(self._chunk, cache)
+        self.pieces = _Kept(self._piece, cache)
 
-    def _whole(self, text: str) -> bytes:
+    def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _chunk(self, chunk: str) -> bytes:
-        if _OTHER.search(chunk):
+    def _piece(self, piece: str) -> bytes:
+        if not _PLAIN_PIECE.fullmatch(piece):
             raise _Other
-        pieces = _PIECES.findall(chunk)
-        if len(pieces) > 1:
-            return b"".join(map(self.ids.__getitem__, pieces))
-        tokens = self.model.tokenize(chunk.encode().decode("latin-1").translate(_SYMBOL))
-        return array(self.code, [t.id for t in tokens]).tobytes()
+        # a visible ASCII character is its own symbol
+        symbols = "Ġ" + piece[1:] if piece[0] == " " and piece[1:].isalpha() and piece.isascii() else piece.encode().decode("latin-1").translate(_SYMBOL)
+        return array(self.code, [t.id for t in self.model.tokenize(symbols)]).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if "\0" in text:
-            return self._whole(text)
-        chunks = text.replace(" ", "\0 ").split("\0")
-        if not chunks[0]:
-            del chunks[0]
+        if not self.plain or any(a in text for a in self.added):
+            return self.whole(text)
         try:
-            return b"".join(map(self.ids.__getitem__, chunks))
+            return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text)))
         except _Other:
-            return self._whole(text)
+            return self.whole(text)
         finally:
-            self.ids.trim()
+            self.pieces.trim()
 
 
 class _Kept(dict):
@@ -138,7 +156,7 @@ class _Kept(dict):
 
 @lru_cache(maxsize=1)
 def _encoder(path: str) -> Encoder:
-    """One per Python worker; a task leaves its cache empty, as workers go on to other stages."""
+    """One per Python worker."""
     return Encoder(path)
 
 
@@ -149,7 +167,7 @@ def frames(payloads: list[bytes]) -> Iterator[bytes]:
         yield n + CHECK.pack(a) + p + CHECK.pack(b)
 
 
-def _write_shards(tokenizer: str, end_id: int, folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _write_shards(tokenizer: str, end_id: int, folder: str, keep: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     task = TaskContext.get()
     encoder = _encoder(tokenizer)
     end = np.array([end_id], encoder.dtype).tobytes()
@@ -179,8 +197,7 @@ def _write_shards(tokenizer: str, end_id: int, folder: str, batches: Iterator[pa
     try:
         payloads, ids, counts, held = [], [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                doc_id = doc_id.as_py()
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 body = encoder.encode(text.as_py()) + end
                 n = len(body) // width
                 payloads.append(HEADER.pack(doc_id or 0, n, width, NULL_ID * (doc_id is None)) + body)
@@ -193,23 +210,25 @@ def _write_shards(tokenizer: str, end_id: int, folder: str, batches: Iterator[pa
         if payloads:
             yield flush(payloads, ids, counts)
     finally:
-        encoder.ids.drop()
+        if not keep:
+            encoder.pieces.drop()
         if out is not None:
             out.close()
 
 
-def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, order: tuple[str, ...] = ("doc_id",), shards: int | None = None) -> DataFrame:
+def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, order: tuple[str, ...] = ("doc_id",), shards: int | None = None, keep: bool = False) -> DataFrame:
     """Write ``docs`` (doc_id, text) as record files below ``folder`` and return the index, which is written beside them.
 
     Shard s holds the s-th range of the ``order`` columns, sorted, nulls first. There are ``shards`` of them, else as many as
-    ``spark.sql.shuffle.partitions``.
+    ``spark.sql.shuffle.partitions``. With ``keep`` the Python workers hold on to their caches (some 150 MB each at most) from task to
+    task, which suits a job of nothing else; without, that memory is free for what the session does next.
     """
     keys = [F.col(f"_key{i}").asc_nulls_first() for i in range(len(order))]
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"_key{i}") for i, c in enumerate(order)]
     ).withColumn("_tie", F.xxhash64("text"))
     rows = rows.repartitionByRange(_shards(docs.sparkSession, shards), *keys, "_tie").sortWithinPartitions(*keys, "_tie")
-    index = rows.select("doc_id", "text").mapInArrow(partial(_write_shards, tokenizer, end_id, f"{folder}/records"), WRITTEN)
+    index = rows.select("doc_id", "text").mapInArrow(partial(_write_shards, tokenizer, end_id, f"{folder}/records", keep), WRITTEN)
     return written(index, "", f"{folder}/index")
 
 

@@ -1,3 +1,5 @@
+import random
+import string
 import zlib
 
 import numpy as np
@@ -13,9 +15,7 @@ from plumbline.llm.queries import END_ID, tokenizer_path
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer_path())
 
 
 def slow_crc(data):
@@ -36,17 +36,48 @@ def test_checksums():
     assert int(masked(crc)[0]) == ((0xE3069283 >> 15 | 0xE3069283 << 17 & 0xFFFFFFFF) + 0xA282EAD8) % 2**32
 
 
-@pytest.mark.parametrize("text", ["", "plain words here", "a  b", "a \n b", "a\n b", "\n\nx", "x ", " x", "it's we'll don't", "naïve été", "x²½", "日本語 text", "a\tb \t c", "1st 2nd_3", "<|endoftext|> x", "é" * 50, "...!?\n...", "a\r\nb"])
-def test_encoder_equals_library(tokenizer, text):
-    encoder = records.Encoder(tokenizer_path(), cache=2)
-    for _ in range(2):
-        assert np.frombuffer(encoder.encode(text), encoder.dtype).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+def ids(encoder, texts):
+    return [np.frombuffer(encoder.encode(t), encoder.dtype).tolist() for t in texts]
+
+
+TEXTS = [
+    "", "plain words here", "a  b", "a \n b", "a\n b", "\n\nx", "x ", " x", "it's we'll don't", "naïve été", "x²½", "日本語 text", "a\tb \t c", "1st 2nd_3",
+    "<|endoftext|> x", "a <|endoftext|> b", "a<|endoftext|>", "<|endoftext", "é" * 50, "...!?\n...", "a\r\nb", "a\0b c", " ", "  ", "🙂 ok", "x\u00a0y \u2003z",
+]
+
+
+def test_encoder_equals_library(tokenizer):
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in TEXTS]
+    assert [64, 220, 50256, 275] in want
+    for cache in (2, 300_000):
+        encoder = records.Encoder(tokenizer_path(), cache)
+        assert encoder.plain
+        for _ in range(2):
+            assert ids(encoder, TEXTS) == want
+    assert encoder.encode(None) == b""
+
+
+def test_encoder_equals_library_on_random_text(tokenizer):
+    rng = random.Random(3)
+    kinds = [string.printable, string.ascii_letters + "  ", " \t\n\r\x0b\x1f\x85\xa0", "".join(map(chr, range(0x80, 0x250))), "".join(map(chr, range(0x250, 0x800))), "日本語🙂\u200d\u0301ſK", "'srtvemdl "]
+    texts = ["".join(rng.choice(rng.choice(kinds)) for _ in range(rng.randrange(60))) for _ in range(4000)]
+    texts += [" ".join("".join(rng.choice(rng.choice(kinds[:2])) for _ in range(rng.randrange(9))) for _ in range(30)) for _ in range(500)]
+    assert ids(records.Encoder(tokenizer_path(), 500), texts) == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_other_files_are_left_to_the_library(tmp_path):
+    from tokenizers import Tokenizer, normalizers
+
+    other = Tokenizer.from_file(tokenizer_path())
+    other.normalizer = normalizers.Lowercase()
+    other.save(f"{tmp_path}/lower.json")
+    encoder = records.Encoder(f"{tmp_path}/lower.json")
+    assert not encoder.plain and ids(encoder, ["Some Words"]) == [other.encode("some words", add_special_tokens=False).ids]
 
 
 def test_encoder_equals_library_on_documents(spark, tokenizer):
-    encoder = records.Encoder(tokenizer_path())
-    for row in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect():
-        assert np.frombuffer(encoder.encode(row.text), encoder.dtype).tolist() == tokenizer.encode(row.text, add_special_tokens=False).ids
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    assert ids(records.Encoder(tokenizer_path()), texts) == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_round_trip(spark, tokenizer, tmp_path):
