@@ -11,7 +11,8 @@ n - ceil(0.8 n) + 1 of n), so the product A * A' runs over short columns. It is
    coherent group of copies is joined here in a number of products that grows with its size, not its square. This is repeated
    with other classes as long as it joins much.
 3. Long columns that still hold several components are multiplied block by block between components. A pair lives on only if
-   its sizes and its places in the column leave room for the overlap that its sizes ask for; survivors are compared exactly.
+   its sizes and its places in the column leave room for the overlap that its sizes ask for, and if parity sketches of both
+   sets do not show too many differences (they never show more than there are); survivors are compared exactly.
 
 The order of columns comes from a count of all shingles of all documents in a fixed number of cells (counts only ever too
 high). Any order gives the same links; a good one makes columns short.
@@ -45,6 +46,7 @@ HUBS = 8  # classes of a long column that meet all others in one round
 MARKS = 1 << 26  # bits that tell whose sets are made again for an exact comparison
 MARK_BLOCKS = 16
 BLOCK = 128  # classes of a long column that are collected together
+SKETCH = 1 << 16  # bits of the longest sketch
 PERCENT = 80
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -53,7 +55,7 @@ _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
 class Shingler:
     """Sets of whole texts: the sorted distinct 64-bit hashes of their word shingles."""
 
-    def __init__(self, size: int = SHINGLE, cache: int = 400_000):
+    def __init__(self, size: int = SHINGLE, cache: int = 100_000):
         self.size, self.most = size, cache
         self.words = _Hashes()
         self.factors = np.resize(_FACTORS, size) * (2 * np.arange(size, dtype=np.uint64) + np.uint64(1))
@@ -100,7 +102,7 @@ def _members(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             part = batch.slice(at, SLICE)
             rows = [sets(t) for t in utf8(part.column(2))]
             if rows and (found := np.concatenate(rows)).size:
-                cells += np.bincount((found & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+                np.add.at(cells, found & np.uint64(CELLS - 1), np.uint32(1))
             signs = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in rows], pa.binary())
             n = len(rows)
             yield pa.RecordBatch.from_arrays(
@@ -136,21 +138,40 @@ def _levels(counts: DataFrame) -> np.ndarray:
     return np.ceil(np.log2(total.astype(np.float64) + 1)).astype(np.uint8)
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parities of the elements by their high bits, four bits or more per element, as 64-bit words.
+
+    Two sketches differ in no more bits than their sets in elements, also after both are folded to the same length.
+    """
+    width = int(min(max(512, 1 << (4 * len(s) - 1).bit_length()), SKETCH)) if len(s) else 512
+    odd = np.bincount((s >> np.uint64(44)).astype(np.int64) & (width - 1), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    while sketches.shape[-1] > words:
+        half = sketches.shape[-1] // 2
+        sketches = sketches[..., :half] ^ sketches[..., half:]
+    return sketches
+
+
 def _prefixes(size: int, levels, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sets, level = Shingler(size), levels.value
     hot = int(np.log2(HOT))
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE):
             part = batch.slice(at, SLICE)
-            columns, light = [], []
+            columns, light, sketches = [], [], []
             for text in utf8(part.column(2)):
                 s = sets(text)
                 own = level[s & np.uint64(CELLS - 1)]
                 first = np.lexsort((s, own))[: len(s) - needed(len(s)) + 1]
                 columns.append(s[first].view(np.int64))
                 light.append(int((own[first] <= hot).sum()))
+                sketches.append(sketch(s).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(light, pa.int32()), pa.array(columns, pa.list_(pa.int64()))], names=["doc_id", "text_key", "light", "columns"]
+                [part.column(0), part.column(1), pa.array(light, pa.int32()), pa.array(columns, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                names=["doc_id", "text_key", "light", "columns", "sketch"],
             )
 
 
@@ -165,12 +186,13 @@ def _sets(size: int, marks, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(MARKS, bool)
+    bits = np.zeros(MARKS // 8, np.uint8)
     for batch in batches:
-        bits[batch.column(0).to_numpy().view(np.uint64) & np.uint64(MARKS - 1)] = True
+        at = batch.column(0).to_numpy().view(np.uint64) & np.uint64(MARKS - 1)
+        np.bitwise_or.at(bits, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
     for block, own in enumerate(bits.reshape(MARK_BLOCKS, -1)):
         if own.any():
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())], names=["block", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["block", "bits"])
 
 
 def _join_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +232,11 @@ def _room(na, pa_, nb, pb):
 
 
 def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes of different components, from two blocks of one column, that have room for a link."""
+    """Pairs of classes of different components, from two blocks of one column, that have room for a link.
+
+    A link leaves a ninth of both sizes for what only one set holds; sketches that differ in more bits rule it out. So a group
+    whose members are linked with one text, but not with each other, writes few of its pairs.
+    """
     for batch in batches:
         for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             x, y = (np.array([(e["id"], e["n"], e["place"], e["label"]) for e in side], np.int64).reshape(-1, 4).T for side in (left, right))
@@ -218,12 +244,28 @@ def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             room = np.minimum(n - x[2][:, None], m - y[2][None, :]) * (100 + PERCENT) >= PERCENT * (n + m)
             room &= 100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)
             room &= (x[3][:, None] != y[3][None, :]) & (x[0][:, None] != y[0][None, :])
+            if room.any():
+                _apart([e["sketch"] for e in left], [e["sketch"] for e in right], x[1], y[1], room)
             i, j = np.nonzero(room)
             if len(i):
                 a, b = x[0][i], y[0][j]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
+def _apart(left: list[bytes], right: list[bytes], n: np.ndarray, m: np.ndarray, room: np.ndarray) -> None:
+    """Takes pairs out of ``room`` whose sketches differ in more bits than a link allows their sets in elements."""
+    by_length: dict[int, list[int]] = {}
+    for j, r in enumerate(right):
+        by_length.setdefault(len(r), []).append(j)
+    stacked = {size: (np.array(at), np.stack([np.frombuffer(right[j], np.uint64) for j in at])) for size, at in by_length.items()}
+    for i in np.flatnonzero(room.any(axis=1)):
+        own = np.frombuffer(left[i], np.uint64)
+        for at, others in stacked.values():
+            words = min(len(own), others.shape[1])
+            differ = np.bitwise_count(folded(own, words) ^ folded(others, words)).sum(axis=1, dtype=np.int64)
+            room[i, at] &= differ * (100 + PERCENT) <= (100 - PERCENT) * (n[i] + m[at])
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """One row per document: doc_id, text_key, n_shingles, component_id, and ``first``: it is the one of its component to keep.
 
@@ -239,9 +281,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     classes = members.where("n > 0").groupBy("signature").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("who"), F.first("n").alias("n"))
     classes = written(classes.select("signature", "n", F.col("who.doc_id").alias("doc_id"), F.col("who.text_key").alias("text_key"), F.monotonically_increasing_id().alias("id")), "", f"{folder}/classes")
     stands = classes.select("id", "n", F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"))
-    prefixes = source.mapInArrow(partial(_prefixes, size, levels), "doc_id long, text_key long, light int, columns array<long>")
+    prefixes = source.mapInArrow(partial(_prefixes, size, levels), "doc_id long, text_key long, light int, columns array<long>, sketch binary")
     prefixes = prefixes.join(stands, (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
-    prefixes = written(prefixes.select("id", "n", "light", "columns"), "", f"{folder}/prefixes")
+    prefixes = written(prefixes.select("id", "n", "light", "columns", "sketch"), "", f"{folder}/prefixes")
+    levels.destroy()  # nothing reads the texts by it again
     cells = prefixes.select("id", "n", "light", F.posexplode("columns").alias("place", "h"))
     cells = cells.select("h", F.struct((F.col("n") * (1 << 31) + F.col("place")).alias("sized"), "id").alias("e"), (F.col("place") < F.col("light")).alias("light"))
     # light columns hold at most HOT rows, as the counts of cells are never too low
@@ -271,7 +314,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         more = _verified(pairs, source, stands, size, f"{folder}/round{step}")
         checked = written(checked.unionAll(more), "", f"{folder}/checked{step}")
     if apart:
-        more = _across(rest, checked, source, stands, size, folder)
+        more = _across(rest.join(prefixes.select("id", "sketch"), "id"), checked, source, stands, size, folder)
         if not more.where("linked").isEmpty():
             labels = written(_labels(checked.unionAll(more)), "", f"{folder}/labels")
     named = classes.join(labels.withColumnRenamed("label", "component"), "id", "left").select("signature", F.coalesce("component", "id").alias("component"), F.struct("doc_id", "text_key").alias("who"), "doc_id")
@@ -288,7 +331,7 @@ def _across(rest: DataFrame, checked: DataFrame, source: DataFrame, stands: Data
     """Verified pairs of long columns between components that no hub has joined, block by block."""
     parts = F.ceil(F.col("d") / BLOCK).cast("int")
     blocks = rest.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id", "h"), F.col("parts")).cast("int"))
-    entry = F.struct("id", _size("sized").alias("n"), _place("sized").alias("place"), "label")
+    entry = F.struct("id", _size("sized").alias("n"), _place("sized").alias("place"), "label", "sketch")
     blocks = written(blocks.groupBy("h", "part", "parts").agg(F.collect_list(entry).alias("own")), "", f"{folder}/blocks")
     left = blocks.select("h", F.col("part").alias("i"), "own", F.explode(F.sequence("part", F.col("parts") - 1)).alias("j"))
     right = blocks.select("h", F.col("part").alias("j"), F.col("own").alias("other"), F.explode(F.sequence(F.lit(0), "part")).alias("i"))
@@ -354,6 +397,7 @@ def _verified(pairs: DataFrame, source: DataFrame, stands: DataFrame, size: int,
     sets = keyed.mapInArrow(partial(_sets, size, marks), "doc_id long, text_key long, elements binary")
     sets = sets.join(wanted, (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).select("id", "elements")
     sets = written(sets.dropDuplicates(["id"]), "", f"{folder}-sets")
+    marks.destroy()
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("elements").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("elements").alias("x")), "a")
     out = written(both.select("a", "b", "x", "y").mapInArrow(_overlaps, "a long, b long, linked boolean"), "", folder)
     remove(pairs.sparkSession, f"{folder}-sets")

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures import documents, empty, shingle_set
 
@@ -70,3 +72,27 @@ def test_a_copy_without_an_id_leaves_the_component_its_id(spark):
     text = "one two three four five six seven"
     got = jaccard.near_duplicates(documents(spark, [(None, text, "en", "a"), (5, text, "en", "a"), (7, text, "en", "a")])).collect()
     assert {(r.doc_id, r.component_id, r["first"]) for r in got} == {(None, 5, False), (5, 5, True), (7, 5, False)}
+
+
+def test_sketches_never_show_more_than_the_difference():
+    rng = np.random.default_rng(4)
+    for n, m, common in ((5, 9, 3), (200, 230, 190), (3000, 2500, 2400), (40_000, 100, 90), (0, 7, 0)):
+        pool = np.unique(rng.integers(0, 2**63, n + m, dtype=np.uint64))
+        a, b = pool[:n], pool[n - common : n - common + m]
+        x, y = jaccard.sketch(a), jaccard.sketch(b)
+        words = min(len(x), len(y))
+        differ = int(np.bitwise_count(jaccard.folded(x, words) ^ jaccard.folded(y, words)).sum())
+        apart = len(np.setxor1d(a, b))
+        assert differ <= apart and (apart > 2000 or differ > apart * 0.6)
+
+
+def test_copies_of_one_text_that_are_not_linked_with_each_other_write_few_pairs():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 170, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.permutation(170)[:155]], rng.integers(0, 2**63, 15, dtype=np.uint64)])) for _ in range(120)]
+    entries = [{"id": i, "n": len(s), "place": 0, "label": i, "sketch": jaccard.sketch(s).tobytes()} for i, s in enumerate(sets)]
+    kind = pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int64()), ("place", pa.int64()), ("label", pa.int64()), ("sketch", pa.binary())]))
+    batch = pa.RecordBatch.from_arrays([pa.array([entries], kind), pa.array([entries], kind)], names=["own", "other"])
+    found = {(a, b) for out in jaccard._between([batch]) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())}
+    linked = {(i, j) for i in range(120) for j in range(i + 1, 120) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+    assert linked <= found and len(found) < 0.2 * 120 * 119 / 2
