@@ -1,4 +1,6 @@
 from collections import Counter
+from fractions import Fraction
+from math import gcd
 
 import pytest
 from fixtures import documents, empty
@@ -86,8 +88,49 @@ def test_weights_of_the_given_sources(spark):
         assert all(abs(had[s] - (t + 1) * w) < 1 for s, w in share.items())
 
 
-def test_units_are_bounded(spark):
-    assert mixing.divided({"a": 3}, 4, ["b", "c"]) == {"a": 3, "b": 2, "c": 2}
-    rows = [(i, f"t{i}", None, f"s{i}") for i in range(1100)]
-    with pytest.raises(ValueError):
-        mixing.mixed(documents(spark, rows), {"a": 99}, 2, mixing.Divided(1))
+def test_any_number_of_sources(spark):
+    rows = [(i, f"t{i}", None, "a" if i % 3 == 0 else f"s{i % 1100}") for i in range(6600)]
+    got = mixing.mixed(documents(spark, rows), {"a": 3}, 2, mixing.Divided(4)).collect()
+    assert len(got) == 6600 and len({(r.slot, r.place) for r in got}) == 6600
+    kinds = {r.slot: r.source for r in got}
+    assert all(kinds[r.slot] == r.source for r in got)
+    rest = {r.source for r in got} - {"a"}
+    weights = {"a": 3 / 7} | {s: 4 / 7 / len(rest) for s in rest}
+    last = min(max(t for t, k in kinds.items() if k == s) for s in weights)
+    assert last > len(rest) > 1000
+    had = Counter()
+    for t in range(last):
+        had[kinds[t]] += 1
+        if t % 50 == 0:
+            assert all(abs(had[s] - (t + 1) * w) < 1 for s, w in weights.items())
+    many = spark.range(100_000).selectExpr("id AS doc_id", "concat('crawl', id) AS source")
+    got = mixing.mixed(many, {"a": 1}, 16, mixing.Divided(1)).selectExpr("max(slot) AS last", "count(DISTINCT slot) AS n").first()
+    assert (got.last, got.n) == (99_999, 100_000)
+
+
+def slots_by_earliest_deadline(blocks, weights):
+    """A plain schedule: in every slot the released block with the earliest deadline, phase by phase, from fractions."""
+    left, out = dict(blocks), []
+    while any(left.values()):
+        active = {s: weights[s] for s in weights if left.get(s)}
+        done, total, t = dict.fromkeys(active, 0), sum(active.values()), 0
+        short = False
+        while not short or t % period:
+            period = total // gcd(*active.values())
+            released = [s for s in active if Fraction(done[s] * total, active[s]).__floor__() <= t]
+            s = min(released, key=lambda s: (Fraction((done[s] + 1) * total, active[s]).__ceil__(), s))
+            done[s] += 1
+            out.append(s if done[s] <= left[s] else None)  # a slot of a source that has run out stays empty
+            t += 1
+            short = any(done[x] >= left[x] for x in active)
+        for s in active:
+            left[s] = max(left[s] - done[s], 0)
+    return out
+
+
+def test_against_a_plain_schedule(spark):
+    rows = [(i, f"t{i}", None, "aaaaabbbc"[i % 9]) for i in range(360)]
+    got = mixing.mixed(documents(spark, rows), {"a": 2, "b": 3}, 4, 1).collect()
+    want = slots_by_earliest_deadline({"a": 50, "b": 30, mixing.OTHER: 10}, {"a": 2, "b": 3, mixing.OTHER: 1})
+    kinds = {r.slot: r.source if r.source in "ab" else mixing.OTHER for r in got}
+    assert kinds == {t: s for t, s in enumerate(want) if s is not None}
