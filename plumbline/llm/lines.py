@@ -38,7 +38,7 @@ def _place(prefix: str = "") -> Column:
 def line_table(texts: DataFrame) -> DataFrame:
     """doc, line, hash, words of every line of ``texts`` (doc, text)."""
     lines = texts.where("text IS NOT NULL").select("doc", F.posexplode(F.split("text", "\n", -1)).alias("line", "content"))
-    words = F.when(F.trim("content") == "", 0).otherwise(F.size(F.split(F.trim("content"), r"\s+")))
+    words = F.regexp_count("content", F.lit(r"\S+"))
     return lines.select("doc", F.col("line").cast("long").alias("line"), F.md5("content").alias("content"), words.cast("long").alias("words"))
 
 

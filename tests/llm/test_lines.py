@@ -32,7 +32,7 @@ def run(df, least):
 
 def test_random_documents(spark):
     rng = random.Random(3)
-    rows = [(i, "\n".join(rng.choice(["a", "b", "c d", "e f g", ""]) for _ in range(rng.randrange(1, 30)))) for i in range(40)]
+    rows = [(i, "\n".join(rng.choice(["a", "b", "c d", "e f g", "", "\tw x", " \t y\t z "]) for _ in range(rng.randrange(1, 30)))) for i in range(40)]
     rows += [(40, rows[3][1]), (41, rows[3][1] + "\nx\n" + rows[4][1]), (42, "\n".join(["a"] * 33)), (43, None), (44, "")]
     df = documents(spark, [(i, t, None, None) for i, t in rows])
     for least in (1, 4, 12):
