@@ -66,16 +66,16 @@ def grams(text: bytes | None, symbols: np.ndarray) -> np.ndarray | None:
     return out
 
 
-def bundle(codes: np.ndarray, counts: np.ndarray, letters: list[np.ndarray]) -> np.ndarray:
+def bundle(codes: np.ndarray, counts: np.ndarray, letters: list[np.ndarray], kind=np.float32) -> np.ndarray:
     """The sum of n-gram vectors, each times its count."""
-    total = np.zeros(DIMENSIONS, np.float32)
+    total = np.zeros(DIMENSIONS, kind)
     for at in range(0, len(codes), 4096):
         part = codes[at : at + 4096]
         bound = letters[GRAM - 1][part % SYMBOLS]
         for k in range(GRAM - 2, -1, -1):
             part = part // SYMBOLS
             bound = bound * letters[k][part % SYMBOLS]
-        total += counts[at : at + 4096].astype(np.float32) @ bound.astype(np.float32)
+        total += counts[at : at + 4096].astype(kind) @ bound.astype(kind)
     return total
 
 
@@ -96,6 +96,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cells), pa.string()), pa.array(cells, pa.int32()), pa.array(own[cells])], names=["lang", "gram", "n"])
 
 
+def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of the n-gram vectors of each language in a partition. Whole numbers, so their order does not show."""
+    letters, sums = vectors(), {}
+    for batch in batches:
+        langs = batch.column(0).dictionary_encode()
+        codes, n, place = batch.column(1).to_numpy().astype(np.int64), batch.column(2).to_numpy(), langs.indices.to_numpy()
+        for i, lang in enumerate(langs.dictionary.to_pylist()):
+            sums[lang] = sums.get(lang, 0) + bundle(codes[place == i], n[place == i], letters, np.float64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.list_(pa.float64()))], names=["lang", "sums"])
+
+
 @dataclass
 class Prototypes:
     langs: list[str]
@@ -125,11 +136,11 @@ def fit(docs: DataFrame, learn=None) -> Prototypes:
     """Prototypes of the languages of ``docs`` (text, lang) where ``learn`` holds."""
     docs = docs.where("lang IS NOT NULL") if learn is None else docs.where(F.col("lang").isNotNull() & learn)
     counts = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(_count, "lang string, gram int, n long")
-    letters, sums = vectors(), {}
-    # at most SYMBOLS ** GRAM rows per language, read partition by partition
-    for row in counts.groupBy("lang").agg(F.collect_list(F.struct("gram", "n")).alias("own")).select("lang", F.col("own.gram").alias("gram"), F.col("own.n").alias("n")).toLocalIterator():
-        codes, where = np.unique(np.array(row.gram, np.int64), return_inverse=True)
-        sums[row.lang] = bundle(codes, np.bincount(where, np.array(row.n, np.float64)), letters)
+    # at most SYMBOLS ** GRAM rows per language, whatever the number of tasks; of each partition its sums come to the driver
+    summed = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sums: dict[str, np.ndarray] = {}
+    for row in summed.mapInArrow(_bundles, "lang string, sums array<double>").toLocalIterator():
+        sums[row.lang] = sums.get(row.lang, 0) + np.array(row.sums)
     langs = sorted(sums)
     unit = np.array([sums[x] / max(float(np.linalg.norm(sums[x])), 1e-9) for x in langs], np.float32).reshape(len(langs), DIMENSIONS)
     return Prototypes(langs, unit)
