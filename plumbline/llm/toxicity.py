@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Only confirmed toxic documents (P) and unlabelled text (U) teach the classifiers; a label "not toxic" is never read. With
-class prior p, the risk of a scorer g under the sigmoid loss l is ::
+Only confirmed toxic documents (P) and unlabelled text (U) teach the classifiers; a document labelled "not toxic" is unlabelled
+text like any other. The class prior p is the share of positives among all judged documents. With it the risk of a scorer g under the sigmoid loss l is ::
 
     p * E_P[l(g)] + max(0, E_U[l(-g)] - p * E_P[l(-g)])
 
@@ -35,7 +35,10 @@ HELD = 200_000  # features that a task counts before it hands its sums on
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds of the sample that fits the classifiers, and their training. Counts of features cover all documents."""
+    """Bounds of the sample that fits the classifiers, and their training. Counts of features cover all documents.
+
+    Where many rows share an id or have none, the sample is cut at twice the sum of both bounds.
+    """
 
     positives: int = 12_000  # labelled toxic documents, by a hash of their ids
     unlabelled: int = 30_000  # documents, by a hash of their ids
@@ -135,7 +138,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None, settings: Settings = Set
     share = min(1.0, settings.unlabelled / max(n_all, 1))
     some = docs.where(F.pmod(drawn, F.lit(1 << 20)) < int(share * (1 << 20)) + (share < 1))
     pool = positives.select(F.lit(True).alias("positive"), "text").unionAll(some.select(F.lit(False), "text"))
-    sample = pool.mapInArrow(partial(_indices, known), "positive boolean, at array<int>").toPandas()  # bounded by the two settings
+    # the shares are of ids; rows that share an id, or have none, are bounded here
+    sample = pool.mapInArrow(partial(_indices, known), "positive boolean, at array<int>").limit(2 * (settings.positives + settings.unlabelled)).toPandas()
     known.destroy()
     sample = sample.assign(at=[tuple(sorted(x)) for x in sample["at"]]).sort_values(["positive", "at"])
     x = np.zeros((len(sample), len(vocabulary)), np.uint8)
