@@ -292,7 +292,7 @@ def _(spark, sf_dir):
 
 @query(
     "table_fingerprint",
-    """WITH d AS (SELECT CAST('0x' || substr(sha256(concat_ws(chr(31), CAST(n_name AS VARCHAR), CAST(n_nationkey AS VARCHAR), CAST(n_regionkey AS VARCHAR))), 1, 15) AS BIGINT) AS x FROM nation)
+    """WITH d AS (SELECT CAST('0x' || substr(sha256(length(n_name) || ':' || n_name || length(n_nationkey::VARCHAR) || ':' || n_nationkey || length(n_regionkey::VARCHAR) || ':' || n_regionkey), 1, 15) AS BIGINT) AS x FROM nation)
     SELECT count(*) AS n_rows, CAST(sum(x) AS VARCHAR) AS digest FROM d""",
 )
 def _(spark, sf_dir):

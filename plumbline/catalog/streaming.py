@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from plumbline.catalog.base import query, rounded, table
+from plumbline.session import checkpointed, delete_folder, shared_root
 from plumbline.streaming import jobs as J
 
 
@@ -28,10 +31,24 @@ def _(spark, sf_dir):
     return rounded(J.progress_report(counts, ("click", "view", "codigo")))
 
 
-@query("stream_run_index_once", "SELECT DISTINCT user_id || '-' || event_type AS run_id FROM events")
+@query("stream_run_index_once", "SELECT user_id || '-' || event_type AS run_id, min(event_id) AS first_event FROM events GROUP BY 1")
 def _(spark, sf_dir):
-    runs = event_stream(spark, sf_dir).select("ts", F.concat(F.col("user_id").cast("string"), F.lit("-"), "event_type").alias("run_id"))
-    return J.drain(J.stream_run_index(runs)).select("run_id")
+    """Eight files, two per micro-batch, half of the rows delivered again later, and a restart before the last two files."""
+    e = table(spark, sf_dir, "events").select(F.concat(F.col("user_id").cast("string"), F.lit("-"), "event_type").alias("run_id"), "event_id")
+    again = e.filter("event_id % 2 = 0").withColumn("part", (4 + F.col("event_id") % 4).cast("int"))
+    last = e.agg(F.max("event_id")).first()[0] or 0
+    rows = e.withColumn("part", F.floor(F.col("event_id") * 4 / (last + 1)).cast("int")).unionByName(again)
+    root = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
+    try:
+        with J.replayed(rows, 8, F.col("part")) as folder:
+            like = spark.read.parquet(folder)
+            J.index_once(J.file_stream(spark, folder, "*.parquet", like, 2).filter("part < 6").drop("part"), root)
+            # the same checkpoint goes on with what has come since
+            rows.filter("part >= 6").coalesce(2).write.mode("append").parquet(folder)
+            J.index_once(J.file_stream(spark, folder, "*.parquet", like, 2).drop("part"), root)
+        return checkpointed(J.read_index(spark, root, e.schema).select("run_id", F.col("event_id").alias("first_event")))
+    finally:
+        delete_folder(spark, root)
 
 
 @query(
@@ -48,15 +65,27 @@ def _(spark, sf_dir):
     return rounded(J.drain(J.stream_repeats(r)))
 
 
+SAMPLE_HOURS = (0, 2, 30)
+
+
 @query(
     "stream_switch_overlaps",
-    """SELECT s.event_id AS sample_id, s.user_id, count(*) AS n_switches FROM events s JOIN events w ON w.user_id = s.user_id AND w.event_type = 'signup' AND s.event_type = 'purchase'
-    AND w.ts BETWEEN s.ts AND s.ts + INTERVAL 2 HOUR GROUP BY ALL""",
+    """WITH s AS (SELECT event_id AS sample_id, user_id, ts AS a, ts + to_hours(CASE event_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 30 END) AS b FROM events WHERE event_type = 'purchase')
+    SELECT sample_id, s.user_id, count(*) AS n_switches FROM s JOIN events w ON w.user_id = s.user_id AND w.event_type IN ('signup', 'view') AND w.ts BETWEEN a AND b GROUP BY ALL""",
 )
 def _(spark, sf_dir):
-    samples = event_stream(spark, sf_dir).filter("event_type = 'purchase'").select(
-        F.col("event_id").alias("sample_id"), "user_id", F.col("ts").alias("start"), F.expr("ts + INTERVAL 2 HOURS").alias("end")
-    )
-    switches = event_stream(spark, sf_dir).filter("event_type = 'signup'").select("user_id", F.col("ts").alias("at"))
-    pairs = J.drain(J.stream_overlaps(samples, switches, "user_id", "2 HOURS"))
+    """Samples of no, two and thirty hours; files arrive out of order, so either half of a pair may be the late one."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    root = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
+    try:
+        with J.replayed(e, 4, F.pmod("event_id", F.lit(4))) as folder:
+            files = J.file_stream(spark, folder, "*.parquet", spark.read.parquet(folder), 1)
+            hours = F.element_at(F.array(*[F.lit(h) for h in SAMPLE_HOURS]), (F.col("event_id") % 3 + 1).cast("int"))
+            samples = files.filter("event_type = 'purchase'").select(
+                F.col("event_id").alias("sample_id"), "user_id", F.col("ts").alias("start"), (F.col("ts") + F.make_dt_interval(hours=hours)).alias("end")
+            )
+            switches = files.filter("event_type IN ('signup', 'view')").select("user_id", F.col("ts").alias("at"))
+            pairs = checkpointed(J.stream_overlaps(samples, switches, "user_id", root))
+    finally:
+        delete_folder(spark, root)
     return pairs.groupBy("sample_id", "user_id").agg(F.count(F.lit(1)).alias("n_switches"))

@@ -55,8 +55,12 @@ def month_shard(ts_seconds: Column | str) -> Column:
 
 
 def row_digest(columns: Sequence[str]) -> Column:
-    """60 bits of a row's sha-256 as a decimal, so that digests can be summed in any order."""
-    whole = F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in sorted(columns)])
+    """60 bits of a row's sha-256 as a decimal, so that digests can be summed in any order.
+
+    Every value stands behind its length, null has none, so no two rows share the text that is digested.
+    """
+    value = lambda c: F.col(c).cast("string")
+    whole = F.concat(*[F.coalesce(F.concat(F.length(value(c)).cast("string"), F.lit(":"), value(c)), F.lit("-")) for c in sorted(columns)])
     return F.conv(F.substring(F.sha2(whole, 256), 1, 15), 16, 10).cast("decimal(38,0)")
 
 

@@ -29,8 +29,22 @@ def build_session(app: str = "plumbline", master: str | None = None, **conf: str
 
 
 def shared_root(spark: SparkSession) -> str:
-    """A folder that every executor can reach, as named by the session."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
+    """A folder that every executor can reach, as named by the session.
+
+    On a cluster, a warehouse on each machine's own disk cannot stand in for one that is not named.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    root = spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
+    if not spark.sparkContext.master.startswith("local") and root.startswith(("file:", "/")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return root
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -5,13 +5,14 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from plumbline.catalog.inputs import conversation_turns
+from plumbline.functions.hashing import row_digest
 from plumbline.functions.stats import SHORT_BITS, SHORT_DRAWS, poisson_weight, with_draw, with_short_draws
 from plumbline.functions.text import content_key
 from plumbline.operators import labels as L
 from plumbline.operators import matching as M
 from plumbline.operators import memory as Y
 from plumbline.operators import search as Q
-from plumbline.streaming.jobs import split_overlong
+from plumbline.streaming import jobs as J
 
 
 def test_equal_and_null_samples_stay(spark):
@@ -81,10 +82,42 @@ def test_diversification_takes_the_whole_pool(spark):
     assert Q.mmr(pool, 120).count() == 120
 
 
-def test_overlong_samples_are_parted_off(spark):
-    rows = spark.sql("SELECT 1 AS sample_id, timestamp'2020-01-01 00:00:00' AS start, timestamp'2020-01-01 03:00:00' AS end UNION ALL SELECT 2, timestamp'2020-01-01 00:00:00', timestamp'2020-01-01 00:30:00' UNION ALL SELECT 3, NULL, NULL")
-    short, long = split_overlong(rows, "1 HOUR")
-    assert [r.sample_id for r in short.collect()] == [2] and sorted(r.sample_id for r in long.collect()) == [1, 3]
+def test_long_samples_meet_late_switches(spark, tmp_path):
+    stamp = lambda h: f"timestamp'2020-01-01 00:00:00' + INTERVAL {h} HOURS"
+    files = [
+        f"SELECT 1 AS id, 7 AS u, {stamp(0)} AS a, {stamp(90)} AS b, CAST(NULL AS timestamp) AS t",
+        f"SELECT 2 AS id, 7 AS u, CAST(NULL AS timestamp) AS a, CAST(NULL AS timestamp) AS b, {stamp(89)} AS t UNION ALL SELECT 3, 7, {stamp(5)}, {stamp(5)}, NULL",
+        f"SELECT 4 AS id, 7 AS u, CAST(NULL AS timestamp) AS a, CAST(NULL AS timestamp) AS b, {stamp(5)} AS t UNION ALL SELECT 5, 8, NULL, NULL, {stamp(5)} UNION ALL SELECT 6, 7, NULL, NULL, {stamp(91)}",
+    ]
+    for sql in files:
+        spark.sql(sql).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = J.file_stream(spark, f"{tmp_path}/in", "*.parquet", spark.sql(files[0]), 1)
+    samples = stream.filter("a IS NOT NULL").selectExpr("id AS sample_id", "u", "a AS start", "b AS end")
+    pairs = J.stream_overlaps(samples, stream.filter("t IS NOT NULL").selectExpr("u", "t AS at"), "u", f"file://{tmp_path}/root").selectExpr("sample_id", "CAST(unix_seconds(at) - unix_seconds(timestamp'2020-01-01') AS INT) / 3600 AS h")
+    assert sorted((r.sample_id, r.h) for r in pairs.collect()) == [(1, 5.0), (1, 89.0), (3, 5.0)]
+
+
+def test_a_run_is_indexed_once_over_batches_and_restarts(spark, tmp_path):
+    def deliver(*rows):
+        spark.createDataFrame(rows, "run_id string, v long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def index():
+        stream = J.file_stream(spark, f"{tmp_path}/in", "*.parquet", spark.createDataFrame([], "run_id string, v long"), 1)
+        batches = J.index_once(stream, f"file://{tmp_path}/root")
+        return batches, sorted((r.run_id, r.v, r.batch) for r in J.read_index(spark, f"file://{tmp_path}/root", stream.schema).collect())
+
+    deliver(("a", 2), ("a", 1))
+    deliver(("b", 1), ("a", 1))
+    deliver(("a", 0), ("c", 5))
+    assert index() == (3, [("a", 1, 0), ("b", 1, 1), ("c", 5, 2)])
+    deliver(("c", 5), ("d", 1))
+    assert index()[1] == [("a", 1, 0), ("b", 1, 1), ("c", 5, 2), ("d", 1, 3)]
+
+
+def test_digests_tell_where_a_value_ends(spark):
+    df = spark.createDataFrame([("a\x1fb", "c"), ("a", "b\x1fc"), ("a", None), ("a", "-"), ("1:a", ""), ("", "1:a")], "x string, y string")
+    assert len({r.d for r in df.select(row_digest(["x", "y"]).alias("d")).collect()}) == 6
+
 
 
 def test_strip_takes_all_white_space_and_all_marks(spark):
