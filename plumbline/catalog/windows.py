@@ -195,17 +195,37 @@ def _(spark, sf_dir):
     return exported(order_hits(spark, sf_dir))
 
 
+def snapshot_texts(spark, sf_dir):
+    """Each document as a snapshot file with its whole text: lists with a stray number, wrapped lists, and every seventh one faulty."""
+    d = F.col("doc_id")
+    entry = F.concat(
+        F.lit('{"id": "'), d.cast("string"), F.lit('", "text": '), F.expr("substring(json, 7, length(json) - 8)"),
+        F.lit(', "acessos": '), F.col("n_chars").cast("string"), F.lit(', "cognitive_decisions": {"domain": "'), F.col("source"), F.lit('"}'),
+    )
+    whole = F.when(d % 2 == 0, F.concat(F.lit("[7, "), entry, F.lit(', "answer_class": null}]'))).otherwise(F.concat(F.lit('{"entries": ['), entry, F.lit("}]}")))
+    body = F.when(d % 7 == 3, F.expr("substring(body, 1, length(body) - 2)")).when(d % 7 == 5, F.lit('{"items": []}')).otherwise(F.col("body"))
+    # {"t":["…"]} without its first six and last two characters is the text as a JSON string
+    docs = table(spark, sf_dir, "documents").withColumn("json", F.to_json(F.struct(F.array("text").alias("t")))).withColumn("body", whole)
+    return docs.select("doc_id", F.col("lang").alias("scope"), F.when(d % 2 == 0, "episodic").otherwise("semantic").alias("layer"), body.alias("value"))
+
+
 @query(
     "memory_snapshot_parse",
-    """SELECT lang AS scope, CASE WHEN doc_id % 2 = 0 THEN 'episodic' ELSE 'semantic' END AS layer, CAST(doc_id AS VARCHAR) AS id, n_chars AS acessos, source AS domain, doc_id % 2 = 0 AS has_answer_class FROM documents""",
+    """SELECT lang AS scope, CASE WHEN doc_id % 2 = 0 THEN 'episodic' ELSE 'semantic' END AS layer, CAST(doc_id AS VARCHAR) AS id, text, n_chars AS acessos, source AS domain,
+    doc_id % 2 = 0 AS has_answer_class FROM documents WHERE doc_id % 7 NOT IN (3, 5)""",
+)
+def _(spark, sf_dir):
+    parsed = SM.parse_snapshots(snapshot_texts(spark, sf_dir))
+    return parsed.select("scope", "layer", "id", "text", "acessos", F.col("cognitive_decisions.domain").alias("domain"), "has_answer_class")
+
+
+@query(
+    "memory_snapshot_rejects",
+    """SELECT doc_id, NULL::BIGINT AS position, CASE doc_id % 7 WHEN 3 THEN 'invalid_json' ELSE 'no_entries' END AS reason FROM documents WHERE doc_id % 7 IN (3, 5)
+    UNION ALL SELECT doc_id, 0, 'entry_not_object' FROM documents WHERE doc_id % 2 = 0 AND doc_id % 7 NOT IN (3, 5)""",
 )
 def _(spark, sf_dir):
-    """Each document as a snapshot file, half of them lists and half wrapped, with a stray number inside."""
-    even = F.col("doc_id") % 2 == 0
-    entry = F.format_string('{"id": "%d", "acessos": %d, "cognitive_decisions": {"domain": "%s"}', "doc_id", "n_chars", "source")
-    body = F.when(even, F.concat(F.lit("[7, "), entry, F.lit(', "answer_class": null}]'))).otherwise(F.concat(F.lit('{"entries": ['), entry, F.lit("}]}")))
-    files = table(spark, sf_dir, "documents").select(F.col("lang").alias("scope"), F.when(even, "episodic").otherwise("semantic").alias("layer"), body.alias("value"))
-    return SM.parse_snapshots(files).select("scope", "layer", "id", "acessos", F.col("cognitive_decisions.domain").alias("domain"), "has_answer_class")
+    return rounded(SM.snapshot_rejects(snapshot_texts(spark, sf_dir), ["doc_id"]).select("doc_id", "position", "reason"))
 
 
 @query("latest_windows", "SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 3")

@@ -50,6 +50,17 @@ def test_memory_files(spark, tmp_path):
     assert got == {"a": ("cognitive", "episodic", None, True), "b": ("sprint", "semantic", 4, False)}
 
 
+def test_faulty_snapshots_leave_rejects(spark, tmp_path):
+    bodies = {"cut": '[{"id": "a", "text": "t"}, {"id": "b", "te', "none": '{"items": []}', "text": "hello", "mixed": '{"entries": [{"id": "c"}, 5, null, {"id": "d"}]}', "empty": "[]"}
+    for layer, body in bodies.items():
+        (tmp_path / "default_x").mkdir(exist_ok=True)
+        (tmp_path / "default_x" / f"{layer}.json").write_text(body, encoding="utf-8")
+    files = SM.snapshot_files(spark, str(tmp_path))
+    assert sorted(r.id for r in SM.parse_snapshots(files).collect()) == ["c", "d"]
+    got = {(r.layer, r.position): r.reason for r in SM.snapshot_rejects(files).collect()}
+    assert got == {("cut", None): "invalid_json", ("none", None): "no_entries", ("text", None): "invalid_json", ("mixed", 1): "entry_not_object", ("mixed", 2): "entry_not_object"}
+
+
 def test_legacy_index_skips_corrupt_lines(spark, tmp_path):
     (tmp_path / "index.1.jsonl").write_text('{"run_id": "r1", "ts": 1.0}\n{oops\n', encoding="utf-8")
     (tmp_path / "index.jsonl").write_text('{"run_id": "r2", "ts": 2.0}\n', encoding="utf-8")
