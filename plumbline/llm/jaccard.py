@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import SLICE, components, remove, shared_folder, utf8, written
+from plumbline.llm.shared import SLICE, batches_of, components, given_back, remove, shared_folder, utf8, written
 
 SHINGLE = 5
 CELLS = 1 << 22
@@ -46,12 +46,21 @@ HUBS = 8  # classes of a long column that meet all others in one round
 MARKS = 1 << 26  # bits that tell whose sets are made again for an exact comparison
 MARK_BLOCKS = 16
 BLOCK = 128  # classes of a long column that are collected together
+BATCH = 1024  # rows of an Arrow batch; a row may hold two sets
 SKETCH = 1 << 16  # bits of the longest sketch
 PERCENT = 80
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
+def _step(each, *args):
+    return partial(_run, each, args)
+
+
+def _run(each, args, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from given_back(each(*args, batches))
+
+
 class Shingler:
     """Sets of whole texts: the sorted distinct 64-bit hashes of their word shingles."""
 
@@ -206,7 +215,7 @@ def _join_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _marked(keys: DataFrame) -> np.ndarray:
     """A bit for every value that some key has in its low bits: of a fixed size, so it only ever lets too many through."""
     kind = "block int, bits binary"
-    rows = keys.mapInArrow(_mark, kind).repartition(MARK_BLOCKS, "block").mapInArrow(_join_marks, kind)
+    rows = keys.mapInArrow(_step(_mark), kind).repartition(MARK_BLOCKS, "block").mapInArrow(_join_marks, kind)
     bits = np.zeros((MARK_BLOCKS, MARKS // MARK_BLOCKS // 8), np.uint8)
     for row in rows.toLocalIterator():
         bits[row.block] |= np.frombuffer(row.bits, np.uint8)
@@ -271,17 +280,22 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
     ``text_key`` is the 64-bit hash of the text; documents with an empty set are all first, with their own doc_id.
     """
+    with batches_of(docs.sparkSession, BATCH):
+        return _near_duplicates(docs, size)
+
+
+def _near_duplicates(docs: DataFrame, size: int) -> DataFrame:
     spark = docs.sparkSession
     folder = shared_folder(spark, "jaccard")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
-    rows = written(source.mapInArrow(partial(_members, size), MEMBER), "", f"{folder}/members")
+    rows = written(source.mapInArrow(_step(_members, size), MEMBER), "", f"{folder}/members")
     members = rows.where("block IS NULL").select("doc_id", "text_key", "n", "signature")
     levels = spark.sparkContext.broadcast(_levels(rows.where("block IS NOT NULL").select("doc_id", "block", "cells")))
     # one document stands for all with the same set, one with an id where there is one
     classes = members.where("n > 0").groupBy("signature").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("who"), F.first("n").alias("n"))
     classes = written(classes.select("signature", "n", F.col("who.doc_id").alias("doc_id"), F.col("who.text_key").alias("text_key"), F.monotonically_increasing_id().alias("id")), "", f"{folder}/classes")
     stands = classes.select("id", "n", F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"))
-    prefixes = source.mapInArrow(partial(_prefixes, size, levels), "doc_id long, text_key long, light int, columns array<long>, sketch binary")
+    prefixes = source.mapInArrow(_step(_prefixes, size, levels), "doc_id long, text_key long, light int, columns array<long>, sketch binary")
     prefixes = prefixes.join(stands, (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
     prefixes = written(prefixes.select("id", "n", "light", "columns", "sketch"), "", f"{folder}/prefixes")
     levels.destroy()  # nothing reads the texts by it again
@@ -335,7 +349,7 @@ def _across(rest: DataFrame, checked: DataFrame, source: DataFrame, stands: Data
     blocks = written(blocks.groupBy("h", "part", "parts").agg(F.collect_list(entry).alias("own")), "", f"{folder}/blocks")
     left = blocks.select("h", F.col("part").alias("i"), "own", F.explode(F.sequence("part", F.col("parts") - 1)).alias("j"))
     right = blocks.select("h", F.col("part").alias("j"), F.col("own").alias("other"), F.explode(F.sequence(F.lit(0), "part")).alias("i"))
-    pairs = left.join(right, ["h", "i", "j"]).select("own", "other").mapInArrow(_between, "a long, b long").distinct()
+    pairs = left.join(right, ["h", "i", "j"]).select("own", "other").mapInArrow(_step(_between), "a long, b long").distinct()
     pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
     return _verified(pairs, source, stands, size, f"{folder}/last")
 
@@ -394,11 +408,11 @@ def _verified(pairs: DataFrame, source: DataFrame, stands: DataFrame, size: int,
     wanted = written(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct().join(stands, "id"), "", f"{folder}-wanted")
     marks = pairs.sparkSession.sparkContext.broadcast(_marked(wanted.select(_row_key("_doc", "_key"))))
     keyed = source.select("doc_id", "text_key", _row_key("doc_id", "text_key"), "text")
-    sets = keyed.mapInArrow(partial(_sets, size, marks), "doc_id long, text_key long, elements binary")
+    sets = keyed.mapInArrow(_step(_sets, size, marks), "doc_id long, text_key long, elements binary")
     sets = sets.join(wanted, (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).select("id", "elements")
     sets = written(sets.dropDuplicates(["id"]), "", f"{folder}-sets")
     marks.destroy()
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("elements").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("elements").alias("x")), "a")
-    out = written(both.select("a", "b", "x", "y").mapInArrow(_overlaps, "a long, b long, linked boolean"), "", folder)
+    out = written(both.select("a", "b", "x", "y").mapInArrow(_step(_overlaps), "a long, b long, linked boolean"), "", folder)
     remove(pairs.sparkSession, f"{folder}-sets")
     return out

@@ -6,8 +6,10 @@ the warehouse where that is unset), so any executor can be lost: what it held is
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 from functools import partial
 
 import pyarrow as pa
@@ -112,6 +114,28 @@ def held_out(doc_id: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == fold, F.lit(False))
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows for what is executed inside; a batch is held by the JVM and by the worker, for each task."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def given_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``batches``; at their end, memory that the worker has no more use for goes back to the system, as workers are reused."""
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def annotated(docs: DataFrame, text: str, into: str, kind: T.StructType, setup, *args) -> DataFrame:
     """``docs`` with a struct column ``into`` computed from whole texts inside the tasks; nothing is shuffled.
 
@@ -124,6 +148,10 @@ def annotated(docs: DataFrame, text: str, into: str, kind: T.StructType, setup,
 
 
 def _annotate(text, into, kind, setup, args, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from given_back(_annotated(text, into, kind, setup, args, batches))
+
+
+def _annotated(text, into, kind, setup, args, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     arrow = to_arrow_type(kind)
     score = setup(*args)
     for batch in batches:
