@@ -14,6 +14,7 @@ from plumbline.operators import claims as C
 from plumbline.operators.memory import with_predecessor
 from plumbline.plans import studies
 from plumbline.plans.cascade import steps_table
+from plumbline.session import checkpointed
 
 
 def _quoted(words):
@@ -91,13 +92,16 @@ def _(spark, sf_dir):
     m AS (SELECT bool_or(sp) FILTER (verifier = 'cego' AND below = 'trocada') AS b_sw, bool_or(sp) FILTER (verifier = 'cego' AND below = 'negada') AS b_ng,
                  bool_or(sp) FILTER (verifier = 'lexico' AND below = 'trocada') AS h1, NOT bool_or(sp) FILTER (verifier = 'lexico' AND below = 'negada') AS h2,
                  NOT bool_or(sp) FILTER (verifier = 'lexico_negacao' AND below = 'negada') AS h3 FROM f)
-    SELECT h1, h2, h3, CASE WHEN b_sw THEN 'INSTRUMENTO INVALIDO' WHEN b_ng THEN 'ESTRATO negada CONFUNDIDO'
-      WHEN (SELECT count(*) FROM universe) <> 16 THEN 'DATASET INCOMPLETO' WHEN h1 AND h2 AND h3 THEN 'TODAS CONFIRMADAS (H1+H2+H3)'
+    SELECT expected, h1, h2, h3, CASE WHEN b_sw THEN 'INSTRUMENTO INVALIDO' WHEN b_ng THEN 'ESTRATO negada CONFUNDIDO'
+      WHEN expected = 'published' AND (SELECT count(*) FROM universe) <> 16 THEN 'DATASET INCOMPLETO' WHEN h1 AND h2 AND h3 THEN 'TODAS CONFIRMADAS (H1+H2+H3)'
       ELSE 'PARCIAL — confirmadas: ' || coalesce(nullif(concat_ws(', ', CASE WHEN h1 THEN 'H1' END, CASE WHEN h2 THEN 'H2' END, CASE WHEN h3 THEN 'H3' END), ''), 'nenhuma') END AS verdict
-    FROM m""",
+    FROM m CROSS JOIN (VALUES ('published'), ('whole')) e(expected)""",
 )
 def _(spark, sf_dir):
-    return studies.claim_verdict(C.claim_metrics(_scored(spark, sf_dir)), 16).select("h1", "h2", "h3", "verdict")
+    """Against the published number of claims, and against that of the table, which lets the hypotheses decide."""
+    metrics = checkpointed(C.claim_metrics(_scored(spark, sf_dir)))
+    rows = [studies.claim_verdict(metrics, n).select(F.lit(name).alias("expected"), "h1", "h2", "h3", "verdict") for name, n in (("published", 16), ("whole", "n_suportada"))]
+    return rows[0].unionByName(rows[1])
 
 
 @query(

@@ -156,12 +156,14 @@ def _(spark, sf_dir):
 @query(
     "memory_treated_conditions",
     f"""{MEMORY_SQL}, m AS (SELECT *, coalesce(source_type = 'session_summary', false) AS ss FROM mem),
-    c AS (SELECT * FROM (VALUES ('baseline', false), ('trat_gravador', true), ('trat_trivial', false), ('trat_combinado', true)) v(condition, rw))
+    c AS (SELECT * FROM (VALUES ('baseline', false, false), ('trat_gravador', true, false), ('trat_trivial', false, true), ('trat_combinado', true, true)) v(condition, rw, dt))
     SELECT condition, CASE WHEN rw AND ss THEN 'media' ELSE 'alta' END AS prioridade, CASE WHEN rw AND ss THEN 'hypothesis' ELSE 'fact' END AS epistemic_status, count(*) AS n
-    FROM m, c GROUP BY ALL""",
+    FROM m, c WHERE NOT (dt AND ss AND seq % 10 = 0) GROUP BY ALL""",
 )
 def _(spark, sf_dir):
-    t = Y.treated_conditions(memory(spark, sf_dir).withColumn("text", F.concat(F.lit("alpha beta gamma "), "text")))
+    """Every second summary says next to nothing, so conditions that leave empty ones out have fewer entries."""
+    text = F.when(F.col("seq") % 10 == 0, "[session_summary] **ab:**").otherwise(F.concat(F.lit("alpha beta gamma "), "text"))
+    t = Y.treated_conditions(memory(spark, sf_dir).withColumn("text", text))
     return t.groupBy("condition", "prioridade", "epistemic_status").agg(F.count(F.lit(1)).alias("n"))
 
 

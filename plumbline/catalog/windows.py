@@ -254,12 +254,16 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.truncate("text").alias("short"))
 
 
-@query("format_regime_groups", "SELECT count(*) AS n FROM orders GROUP BY o_orderpriority, o_orderstatus")
+@query(
+    "format_regime_groups",
+    """SELECT substr(sha256('[{"key":"cap","value":"' || o_orderstatus || '"},{"key":"mode","value":"' || o_orderpriority || '"}]'), 1, 16) AS regime, count(*) AS n
+    FROM orders GROUP BY o_orderpriority, o_orderstatus""",
+)
 def _(spark, sf_dir):
     """One hash per regime, whatever the order in which its fields were written."""
     k = F.col("o_orderkey") % 2 == 0
     state = F.when(k, F.create_map(F.lit("mode"), "o_orderpriority", F.lit("cap"), "o_orderstatus")).otherwise(F.create_map(F.lit("cap"), "o_orderstatus", F.lit("mode"), "o_orderpriority"))
-    return table(spark, sf_dir, "orders").groupBy(regime_hash(state).alias("h")).agg(F.count(F.lit(1)).alias("n")).select("n")
+    return table(spark, sf_dir, "orders").groupBy(regime_hash(state).alias("regime")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

@@ -281,9 +281,11 @@ def cost_verdict_equivalence(metrics: DataFrame, delta: float = EQUIVALENCE_DELT
     )
 
 
-def claim_verdict(m: DataFrame, expected: int) -> DataFrame:
+def claim_verdict(m: DataFrame, expected: int | str) -> DataFrame:
     """Claim support: the blind verifier may separate nothing; then the three hypotheses.
 
+    ``expected`` is the size of each stratum, a number or an expression over ``m``.
+
     ``m``: booleans ``cego_trocada, cego_negada, lexico_trocada, lexico_negada, lexneg_negada`` and
     the stratum sizes ``n_suportada, n_trocada, n_negada``.
     """
