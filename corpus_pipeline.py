@@ -2,6 +2,17 @@
 
 Every stage takes the session, the documents its predecessor kept and the folder of the given tables. The order that the
 mixing stage decides is the order of its files' rows, and the last stage writes its records in that order.
+
+Defined cases, for every stage: columns beside those of documents are dropped; repeated rows and null ids stay rows of their own
+(near copies keeps one row of equal id and text); an empty table gives an empty one.
+
+* toxicity: a null or empty text scores by the intercept alone; without a toxic label nothing goes; equal texts score alike, so
+  a tie goes one way.
+* near copies: a null text, or one without words, is nobody's copy and stays; of equal ids the least hash of the text is kept.
+* decontamination: a null text has no words and stays; an item without an id marks words but is no item.
+* mixing: a null source is a source; ties in doc_id are broken by a hash of the row.
+* token records: reads the order from the files that the documents were read from, so its input is a written table; a null or
+  empty text is a record of the end id alone.
 """
 
 from __future__ import annotations

@@ -25,7 +25,11 @@ ROW_BITS = 33  # monotonically_increasing_id() keeps the row's place in its part
 
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new folder every executor can reach; removed when the session's JVM ends."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
+        if not spark.sparkContext.master.startswith("local") and root.startswith(("file:", "/")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
