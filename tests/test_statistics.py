@@ -75,3 +75,17 @@ def test_progress_hides_the_ratio(spark):
     out = R.collection_progress(df)
     assert not {"text_chars", "input_tokens", "usage", "payload_bytes"} & set(out.columns)
     assert {r.stratum: r.missing for r in out.collect()} == {"acentuado": 30, "codigo": 30, "ascii": 29, "outro": None}
+
+
+def test_every_replicate_draws_sixty_bits_of_its_own_digest(spark):
+    from hashlib import md5
+
+    from plumbline.functions.stats import poisson_limits
+
+    limits = poisson_limits()
+    weight = lambda k, b: sum(int(md5(f"9:{k}:{b}".encode()).hexdigest()[:15], 16) >= v for v in limits)
+    rows = [(f"k{i}", i + 1.0, 1.0) for i in range(40)]
+    got = R.bootstrap_replicates(spark.createDataFrame(rows, "key string, num double, den double"), b=13, seed=9).collect()
+    assert {r.b: (r.num, r.den, r.n) for r in got} == {
+        b: (sum(weight(k, b) * a for k, a, _ in rows), *2 * (sum(weight(k, b) for k, _, _ in rows),)) for b in range(13)
+    }
