@@ -7,8 +7,11 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from plumbline.session import checkpointed, row_count_within
 
@@ -20,8 +23,12 @@ BM25_K1, BM25_B = 1.5, 0.75
 # Query vectors up to this number travel to every task; 4096 x 384 doubles are 12 MB.
 BROADCAST_QUERIES = 4096
 BLOCK_ROWS = 4096
+# Beyond that, a task holds up to this many numbers of either side; a side has at least so many parts.
+CELL_NUMBERS, CELL_PARTS = 1 << 22, 6
 # Terms of the queries that are sent to a task at one time.
 QUERY_TERMS = 1_000_000
+# Scores of queries and texts that a task holds at one time.
+SCORES = 1 << 20
 DIGITS = 9
 
 
@@ -41,18 +48,19 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
+def _first(rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of each row's best k scores; equal scores go to the smaller id."""
+    order = np.lexsort((ids, -scores, rows))
+    held = rows[order]
+    return order[np.arange(len(held)) - np.searchsorted(held, held) < k]
+
+
 def _local_best(sims: np.ndarray, ids: np.ndarray, k: int, min_score: float) -> tuple[np.ndarray, np.ndarray]:
     """Row and column indices of each row's best k scores; equal scores go to the smaller id."""
-    rows, cols = [], []
     kth = np.partition(sims, sims.shape[1] - k, axis=1)[:, -k] if sims.shape[1] > k else np.full(len(sims), -np.inf)
-    keep = (sims >= kth[:, None]) & (sims >= min_score)
-    for r in range(len(sims)):
-        c = np.flatnonzero(keep[r])
-        if len(c) > k:
-            c = c[np.lexsort((ids[c], -sims[r, c]))][:k]
-        rows.append(np.full(len(c), r))
-        cols.append(c)
-    return np.concatenate(rows), np.concatenate(cols)
+    rows, cols = np.nonzero((sims >= kth[:, None]) & (sims >= min_score))
+    first = _first(rows, sims[rows, cols], ids[cols], k)
+    return rows[first], cols[first]
 
 
 def cosine_topk(
@@ -62,20 +70,21 @@ def cosine_topk(
     """Exact ``(seq, id, score, pos)`` of the ``k`` nearest corpus rows ``(id, vec)`` per query ``(seq, vec)``.
 
     Up to ``broadcast_queries`` query vectors are sent to every task and the corpus is scanned
-    once where it lies. More queries are cut into blocks, as is the corpus, and each pair of
-    blocks is scored in its own task. Both ways keep the best k per query inside a task, so the
+    once where it lies. More queries are cut into parts, as is the corpus, and each pair of parts is one task, which scores
+    ``block_rows`` queries at a time. A side has ``CELL_PARTS`` parts, more only where a part would pass ``CELL_NUMBERS``, so
+    the vectors are shuffled a fixed number of times. Both ways keep the best k per query inside a task, so the results'
     shuffle carries k rows per query and task.
     """
     q, c = queries.select("seq", "vec"), corpus.select("id", "vec")
     id_type = c.schema["id"].dataType.simpleString()
     schema = f"seq bigint, id {id_type}, score double"
 
-    def best(qids: np.ndarray, qm: np.ndarray, cids: np.ndarray, cm: np.ndarray) -> pd.DataFrame:
+    def near(qids: np.ndarray, qm: np.ndarray, cids: np.ndarray, cm: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         sims = np.round(qm @ cm.T, DIGITS)
         if exclude_self:
             sims[qids[:, None] == cids[None, :]] = -2.0
         r, j = _local_best(sims, cids, k, max(min_score, -1.0))
-        return pd.DataFrame({"seq": qids[r], "id": cids[j], "score": sims[r, j]})
+        return r, j, sims[r, j]
 
     if row_count_within(q, broadcast_queries):
         rows = q.toPandas()
@@ -89,7 +98,9 @@ def cosine_topk(
             for batch in batches:
                 if batch.empty:
                     continue
-                new = best(qids, qm, batch["id"].to_numpy(), _unit(batch["vec"]))
+                cids = batch["id"].to_numpy()
+                r, j, x = near(qids, qm, cids, _unit(batch["vec"]))
+                new = pd.DataFrame({"seq": qids[r], "id": cids[j], "score": x})
                 both = new if held is None else pd.concat([held, new])
                 both = both.sort_values(["seq", "score", "id"], ascending=[True, False, True])
                 held = both.groupby("seq", sort=False).head(k)
@@ -98,16 +109,23 @@ def cosine_topk(
 
         local = c.mapInPandas(scan, schema)
     else:
-        nq = max(1, -(-q.count() // block_rows))
-        nc = max(1, -(-c.count() // block_rows))
-        # Hash cells; each holds about ``block_rows`` rows of either side.
+        nq, nc = (_parts(side, block_rows) for side in (q, c))
+        # Hash cells; each holds one part of either side.
         left = q.select("*", F.pmod(F.xxhash64("seq"), F.lit(nq)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).alias("cb"))
         right = c.select("*", F.pmod(F.xxhash64("id"), F.lit(nc)).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
 
         def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             if a.empty or b.empty:
                 return pd.DataFrame({"seq": [], "id": [], "score": []})
-            return best(a["seq"].to_numpy(), _unit(a["vec"]), b["id"].to_numpy(), _unit(b["vec"]))
+            qids, qm, cids, cm = a["seq"].to_numpy(), _unit(a["vec"]), b["id"].to_numpy(), _unit(b["vec"])
+            kept = [pd.DataFrame({"seq": qids[:0], "id": cids[:0], "score": np.zeros(0)})]
+            for i in range(0, len(qm), block_rows):
+                some = slice(i, i + block_rows)
+                found = [(r, j + at, x) for at in range(0, len(cm), BLOCK_ROWS) for r, j, x in [near(qids[some], qm[some], cids[at : at + BLOCK_ROWS], cm[at : at + BLOCK_ROWS])]]
+                r, j, x = (np.concatenate(parts) for parts in zip(*found))
+                first = _first(r, x, cids[j], k)
+                kept.append(pd.DataFrame({"seq": qids[some][r[first]], "id": cids[j[first]], "score": x[first]}))
+            return pd.concat(kept)
 
         keys = [F.col("qb").cast("long"), F.col("cb").cast("long")]
         local = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(cell, schema)
@@ -115,6 +133,12 @@ def cosine_topk(
     return local.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k)
 
 
+def _parts(side: DataFrame, block_rows: int) -> int:
+    """Parts of one side of a search: ``CELL_PARTS``, fewer for fewer blocks, more where they would be too large for a task."""
+    size = side.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("vec")), F.lit(0)).alias("width")).first()
+    return max(1, min(CELL_PARTS, -(-size.n // block_rows)), -(-size.n * size.width // CELL_NUMBERS))
+
+
 def _terms(df: DataFrame, key: str) -> DataFrame:
     words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^0-9\p{L}]+"), lambda t: t != "")
     return df.select(key, words.alias("words"))
@@ -150,42 +174,49 @@ def bm25_topk(
     if parts > 1:
         held = checkpointed(held)
     schema = f"seq {queries.schema['seq'].dataType.simpleString()}, id {corpus.schema['id'].dataType.simpleString()}, bm25 double"
+    arrow = pa.schema([("seq", to_arrow_type(queries.schema["seq"].dataType)), ("id", to_arrow_type(corpus.schema["id"].dataType)), ("bm25", pa.float64())])
     found = None
     for part in range(parts):
         asked = wanted.filter(F.pmod(F.xxhash64("seq"), F.lit(parts)) == part).groupBy("seq").agg(F.sort_array(F.collect_list("term")).alias("terms"))
         index = spark.sparkContext.broadcast([(r.seq, r.terms) for r in asked.collect()])
-        best = held.mapInPandas(partial(_bm25_best, index, k), schema)
+        best = held.mapInArrow(partial(_bm25_best, index, k, arrow), schema)
         found = best if found is None else found.unionByName(best)
     w = Window.partitionBy("seq").orderBy(F.desc("bm25"), "id")
     return found.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k)
 
 
-def _bm25_best(index, k: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The best k texts of each query among the texts of one task."""
+def _bm25_best(index, k: int, schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The best k texts of each query among the texts of one task.
+
+    Terms become places in the queries' vocabulary while they are Arrow columns, so a text's terms are never objects.
+    """
     seqs = np.array([seq for seq, _ in index.value])
     asks: dict[str, list[int]] = {}
     for i, (_, terms) in enumerate(index.value):
         for term in terms:
             asks.setdefault(term, []).append(i)
-    rows_of = {term: np.array(i) for term, i in asks.items()}
+    known, rows_of = pa.array(list(asks), pa.string()), [np.array(i, np.int32) for i in asks.values()]
+    asks.clear()
+    step = max(1, min(256, SCORES // max(1, len(seqs))))
     held: pd.DataFrame | None = None
     for batch in batches:
-        for start in range(0, len(batch), 256):
-            some = batch.iloc[start : start + 256]
-            if some.empty or not len(seqs):
-                continue
-            scores = np.zeros((len(seqs), len(some)))
-            for j, terms in enumerate(some["terms"]):
-                for t in terms:
-                    if t["term"] in rows_of:
-                        scores[rows_of[t["term"]], j] += t["g"]
+        for start in range(0, batch.num_rows if len(seqs) else 0, step):
+            some = batch.slice(start, step)
+            ids, terms = some.column("id").to_pandas().to_numpy(), some.column("terms")
+            flat = terms.flatten()
+            place = pc.fill_null(pc.index_in(pc.struct_field(flat, "term"), value_set=known), -1).to_numpy(zero_copy_only=False)
+            gain = pc.struct_field(flat, "g").to_numpy(zero_copy_only=False)
+            text = np.repeat(np.arange(len(ids)), pc.list_value_length(terms).to_numpy(zero_copy_only=False))
+            scores = np.zeros((len(seqs), len(ids)))
+            for t in np.flatnonzero(place >= 0):
+                scores[rows_of[place[t]], text[t]] += gain[t]
             scores = np.round(scores, DIGITS)
-            r, c = _local_best(np.where(scores > 0, scores, -np.inf), some["id"].to_numpy(), k, 0.0)
-            new = pd.DataFrame({"seq": seqs[r], "id": some["id"].to_numpy()[c], "bm25": scores[r, c]})
+            r, c = _local_best(np.where(scores > 0, scores, -np.inf), ids, k, 0.0)
+            new = pd.DataFrame({"seq": seqs[r], "id": ids[c], "bm25": scores[r, c]})
             both = new if held is None else pd.concat([held, new])
             held = both.sort_values(["seq", "bm25", "id"], ascending=[True, False, True]).groupby("seq", sort=False).head(k)
     if held is not None:
-        yield held
+        yield pa.RecordBatch.from_pandas(held, schema, preserve_index=False)
 
 
 def fuse_rrf(a: DataFrame, b: DataFrame, k: int, weight_a: float = 1.0, weight_b: float = 1.0, rrf_k: int = RRF_K) -> DataFrame:

@@ -190,3 +190,31 @@ def test_window_edge_cases(spark):
     assert empty.retrieval == [] and empty.patch["aplicado"] == "false"
     with pytest.raises(ValueError):
         W.apply_plan(df, [{"rotulo": "x", "formato": "nope"}])
+
+
+def test_parts_of_a_search_do_not_follow_its_blocks(spark):
+    import random
+
+    from plumbline.operators import search as Q
+
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)] if i % 10 else [1.0, 0, 0, 0, 0, 0]) for i in range(220)]
+    q, c = spark.createDataFrame(rows, "seq long, vec array<double>"), spark.createDataFrame(rows, "id long, vec array<double>")
+    # 220 blocks of one row were 220 copies of every vector.
+    assert Q._parts(q, 1) == Q._parts(c, 7) == Q.CELL_PARTS and Q._parts(c, 200) == 2 and Q._parts(c.limit(0), 1) == 1
+    one = Q.cosine_topk(q, c, 5, exclude_self=True)
+    assert sorted(one.collect()) == sorted(Q.cosine_topk(q, c, 5, exclude_self=True, broadcast_queries=0, block_rows=1).collect())
+
+
+def test_terms_of_a_text_stay_columns(spark):
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from plumbline.operators import search as Q
+
+    out = pa.schema([("seq", pa.int64()), ("id", pa.int64()), ("bm25", pa.float64())])
+    terms = pa.array([[{"term": "a", "g": 1.0}, {"term": "b", "g": 0.5}], [], [{"term": "z", "g": 9.0}], [{"term": "b", "g": 2.0}]], pa.list_(pa.struct([("term", pa.string()), ("g", pa.float64())])))
+    batch = pa.RecordBatch.from_arrays([pa.array([4, 3, 2, 1]), terms], ["id", "terms"])
+    found = list(Q._bm25_best(SimpleNamespace(value=[(7, ["a", "b"]), (8, ["b"]), (9, ["no"])]), 1, out, iter([batch.slice(0, 2), batch.slice(2, 2)])))
+    assert [r for b in found for r in b.to_pylist()] == [{"seq": 7, "id": 1, "bm25": 2.0}, {"seq": 8, "id": 1, "bm25": 2.0}]
