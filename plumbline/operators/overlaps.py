@@ -1,7 +1,7 @@
 """How many pairs of sets share how many items: exact, and without a row for every pair that shares a common item.
 
 Equal sets are one group with a multiplicity. An item is light while few groups hold it. Pairs that share light items are
-listed, at most half of ``LIGHT`` per item and group; whatever else such a pair shares is looked up in both groups' other items.
+listed, at most half of ``LIGHT`` per item and group; whatever else such a pair shares depends on both groups' other items.
 All light items are then taken out, groups that became equal are merged, and the rest is the same problem with fewer groups
 and items: one that every set held is soon held by one group. Every level adds what its listed pairs share beyond the next one.
 
@@ -11,14 +11,19 @@ compared in blocks inside tasks by a product of incidence matrices that returns
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import checkpointed, fan_out
+from plumbline.session import checkpointed
 
 LIGHT = 64  # groups that may hold an item whose pairs are listed
+TASK_PAIRS = 1 << 22  # listed pairs that a task counts
 BLOCK = 2048  # groups that are compared at once
 COLUMNS = 8192  # items that are multiplied at once
 
@@ -36,19 +41,18 @@ def pair_overlaps(sets: DataFrame) -> DataFrame:
     groups = _numbered(sets.groupBy("items", F.col("k").cast("long").alias("k")).agg(F.count(F.lit(1)).alias("mult")))
     changes = []
     while True:
-        single = groups.select("id", "k", "mult", F.explode("items").alias("item"))
+        single = groups.select("id", F.explode("items").alias("item"))
         degrees = checkpointed(single.groupBy("item").agg(F.count(F.lit(1)).alias("df")))
         light = degrees.filter(F.col("df") <= LIGHT)
         if light.isEmpty():
             break
         heavy = degrees.filter(F.col("df") > LIGHT).select("item")
-        any_heavy = not heavy.isEmpty()
-        if any_heavy:
+        if not heavy.isEmpty():
             kept = single.join(heavy, "item").groupBy("id").agg(F.sort_array(F.collect_list("item")).alias("rest"))
             groups = checkpointed(groups.join(kept, "id", "left").withColumn("rest", F.coalesce("rest", F.slice("items", 1, 0))))
         else:
             groups = groups.withColumn("rest", F.slice("items", 1, 0))
-        changes.append(checkpointed(_listed(single, light, groups, any_heavy).unionByName(_merged(groups)).groupBy("k", "x").agg(_total("n"))))
+        changes.append(checkpointed(_listed(light, groups).unionByName(_merged(groups)).groupBy("k", "x").agg(_total("n"))))
         groups = _numbered(groups.groupBy(F.col("rest").alias("items"), "k").agg(F.sum("mult").alias("mult")))
     total = _compared(groups)
     for change in changes:
@@ -75,21 +79,65 @@ def _merged(groups: DataFrame) -> DataFrame:
     return _moves(groups.filter("mult > 1").select("k", F.size("rest").alias("was"), F.size("items").alias("is"), _pairs(F.col("mult")).alias("n")))
 
 
-def _listed(single: DataFrame, light: DataFrame, groups: DataFrame, any_heavy: bool) -> DataFrame:
-    """Pairs of groups that share light items."""
-    held = single.join(light.filter("df > 1").select("item"), "item").groupBy("item").agg(F.collect_list(F.struct("id", "k", "mult")).alias("all"))
-    pairs = F.flatten(F.transform("all", lambda x: F.transform(F.filter("all", lambda y: y.id > x.id), lambda y: F.struct(x.alias("x"), y.alias("y")))))
-    listed = fan_out(held, "item").select(F.explode(pairs).alias("p"))
-    met = listed.groupBy(F.col("p.x.id").alias("a"), F.col("p.y.id").alias("b")).agg(
-        F.count(F.lit(1)).alias("more"), F.first(F.least("p.x.k", "p.y.k")).alias("k"),
-        F.first(F.col("p.x.mult").cast("decimal(19,0)") * F.col("p.y.mult").cast("decimal(19,0)")).cast("decimal(38,0)").alias("n"),
+def _listed(light: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs of groups that share light items.
+
+    A group goes once per light item to the groups after it, as a list of their ids, and meets them in one task. All that
+    decides a pair's place, k, mult and rest, is a kind, so pairs leave their task as counts per two kinds.
+    """
+    kinds = checkpointed(groups.groupBy("k", "mult", "rest").agg(F.min("id").alias("kind")))
+    one, two = groups.alias("g"), kinds.alias("h")
+    of = one.join(two, F.col("g.k").eqNullSafe(F.col("h.k")) & (F.col("g.mult") == F.col("h.mult")) & (F.col("g.rest") == F.col("h.rest"))).select("g.items", "id", "kind")
+    shared = checkpointed(light.filter("df > 1"))
+    pairs = shared.agg(F.sum(F.col("df") * (F.col("df") - 1) / 2).alias("n")).first().n or 0
+    member = of.select(F.struct("id", "kind").alias("m"), F.explode("items").alias("item"))
+    held = member.join(shared.select("item"), "item").groupBy("item").agg(F.sort_array(F.collect_list("m")).alias("all"))
+    later = held.select("all", F.explode(F.sequence(F.lit(1), F.size("all") - 1)).alias("i")).select(
+        F.col("all")[F.col("i") - 1].alias("x"), F.slice("all", F.col("i") + 1, F.size("all")).alias("y")
     )
-    if not any_heavy:
-        return _moves(met.select("k", F.lit(0).alias("was"), F.col("more").alias("is"), "n"))
-    rests = groups.filter(F.size("rest") > 0)
-    met = met.join(rests.select(F.col("id").alias("a"), F.col("rest").alias("ra")), "a", "left").join(rests.select(F.col("id").alias("b"), F.col("rest").alias("rb")), "b", "left")
-    was = F.coalesce(F.size(F.array_intersect("ra", "rb")), F.lit(0))
-    return _moves(met.select("k", was.alias("was"), (was + F.col("more")).alias("is"), "n"))
+    lists = later.select(F.col("x.id").alias("a"), F.col("x.kind").alias("ka"), F.col("y.id").alias("b"), F.col("y.kind").alias("kb"))
+    parts = max(int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")), groups.sparkSession.sparkContext.defaultParallelism, int(pairs) // TASK_PAIRS)
+    met = lists.repartition(parts, "a").sortWithinPartitions("a").mapInArrow(_met, "ka long, kb long, more long, n long")
+    counts = met.groupBy("ka", "kb", "more").agg(F.sum("n").alias("n"))
+    for side in "ab":
+        counts = counts.join(kinds.select(F.col("kind").alias(f"k{side}"), F.struct("k", "mult", "rest").alias(side)), f"k{side}")
+    was = F.size(F.array_intersect("a.rest", "b.rest"))
+    times = (F.col("a.mult").cast("decimal(19,0)") * F.col("b.mult").cast("decimal(19,0)")).cast("decimal(38,0)") * F.col("n").cast("decimal(19,0)")
+    return _moves(counts.select(F.least("a.k", "b.k").alias("k"), was.alias("was"), (was + F.col("more")).alias("is"), times.cast("decimal(38,0)").alias("n")))
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many pairs of groups of two kinds share how many items; rows (a, ka, b, kb) come in the order of a."""
+
+    def summed(keys: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        order = np.lexsort(keys[::-1])
+        keys = [k[order] for k in keys]
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+        starts = np.flatnonzero(new)
+        return [k[starts] for k in keys], np.add.reduceat(n[order], starts)
+
+    def told(keys: list[np.ndarray], more: np.ndarray) -> pa.RecordBatch:
+        kinds, n = summed([keys[2], keys[3], more], np.ones(len(more), np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (*kinds, n)], names=["ka", "kb", "more", "n"])
+
+    open_ = [np.zeros(0, np.int64)] * 5
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        a, ka = (batch.column(c).to_numpy() for c in ("a", "ka"))
+        times = pc.list_value_length(batch.column("b")).to_numpy()
+        b, kb = (batch.column(c).flatten().to_numpy() for c in ("b", "kb"))
+        rows = [np.repeat(a, times), b, np.repeat(ka, times), kb, np.ones(len(b), np.int64)]
+        *keys, more = (np.concatenate(x) for x in zip(open_, rows))
+        keys, more = summed(keys, more)
+        # The last group's list may go on in the next batch.
+        end = np.searchsorted(keys[0], a[-1])
+        if end:
+            yield told([k[:end] for k in keys], more[:end])
+        open_ = [*(k[end:] for k in keys), more[end:]]
+    if len(open_[0]):
+        yield told(open_[:4], open_[4])
 
 
 def _compared(groups: DataFrame) -> DataFrame:

@@ -137,3 +137,19 @@ def test_whole_lists_are_not_cut(spark):
     got = QUERIES["export_records"](spark, sf).selectExpr("sum(size(split(results, ','))) AS n").first().n
     assert got == lines
     assert A.result_sets(order_hits(spark, sf)).filter("n_items > 8").count() > 0
+
+
+def test_listed_pairs_meet_once_over_batches():
+    import pyarrow as pa
+
+    from plumbline.operators.overlaps import _met
+
+    rows = [(1, 10, [2, 3], [10, 30]), (1, 10, [2], [10]), (1, 10, [3, 4], [30, 10]), (2, 10, [4], [10])]
+    schema = pa.schema([("a", pa.int64()), ("ka", pa.int64()), ("b", pa.list_(pa.int64())), ("kb", pa.list_(pa.int64()))])
+    for size in (1, 2, 3, 4):
+        parts = [pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows[i : i + size]], schema) for i in range(0, len(rows), size)]
+        found = {}
+        for r in (r for b in _met(iter(parts)) for r in b.to_pylist()):
+            key = r["ka"], r["kb"], r["more"]
+            found[key] = found.get(key, 0) + r["n"]
+        assert found == {(10, 10, 2): 1, (10, 30, 2): 1, (10, 10, 1): 2}

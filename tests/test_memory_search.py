@@ -198,7 +198,7 @@ def test_parts_of_a_search_do_not_follow_its_blocks(spark):
     from plumbline.operators import search as Q
 
     rng = random.Random(5)
-    rows = [(i, [rng.gauss(0, 1) for _ in range(6)] if i % 10 else [1.0, 0, 0, 0, 0, 0]) for i in range(220)]
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)] if i % 10 else [1.0, *[0.0] * 5]) for i in range(220)]
     q, c = spark.createDataFrame(rows, "seq long, vec array<double>"), spark.createDataFrame(rows, "id long, vec array<double>")
     # 220 blocks of one row were 220 copies of every vector.
     assert Q._parts(q, 1) == Q._parts(c, 7) == Q.CELL_PARTS and Q._parts(c, 200) == 2 and Q._parts(c.limit(0), 1) == 1
