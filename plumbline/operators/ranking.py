@@ -99,41 +99,30 @@ def dominance(hits: DataFrame, flag: Column, targets: DataFrame | None = None) -
 
     ``flagged_above`` counts flagged results before the target, or all of them without one.
     """
-    rows = hits.withColumn("_f", F.coalesce(flag, F.lit(False)))
-    if targets is not None:
-        known = targets.select("seq", "id").distinct().withColumn("_t", F.lit(True))
-        rows = rows.join(known, ["seq", "id"], "left")
-    else:
-        rows = rows.withColumn("_t", F.lit(None).cast("boolean"))
-    pos = F.col("pos")
-    per = rows.groupBy("seq").agg(
-        F.count(F.lit(1)).alias("n_results"), F.count_if(F.col("_f") & (pos <= 5)).alias("flag5"), F.count_if(pos <= 5).alias("slots5"),
-        F.count_if(F.col("_f") & (pos <= 10)).alias("flag10"), F.count_if(pos <= 10).alias("slots10"),
-        F.min(F.when(F.col("_t"), pos)).alias("target_rank"), F.count_if("_f").alias("_all"),
-    )
-    per = per.withColumns({"frac5": F.col("flag5") / F.greatest("slots5", F.lit(1)), "frac10": F.col("flag10") / F.greatest("slots10", F.lit(1))})
+    rows = hits.select("seq", "id", "pos", F.coalesce(flag, F.lit(False)).alias("_f"), F.lit(True).alias("_hit"))
+    pos, hit = F.col("pos"), F.coalesce("_hit", F.lit(False))
+    shares = [
+        F.count_if(hit).alias("n_results"), F.count_if(F.col("_f") & (pos <= 5)).alias("flag5"), F.count_if(hit & (pos <= 5)).alias("slots5"),
+        F.count_if(F.col("_f") & (pos <= 10)).alias("flag10"), F.count_if(hit & (pos <= 10)).alias("slots10"),
+    ]
+    fractions = {"frac5": F.col("flag5") / F.greatest("slots5", F.lit(1)), "frac10": F.col("flag10") / F.greatest("slots10", F.lit(1))}
     if targets is None:
-        return per.drop("target_rank", "_all")
-    ranked = per.join(targets.select("seq").distinct().withColumn("resolved", F.lit(True)), "seq", "left").withColumn(
-        "resolved", F.coalesce("resolved", F.lit(False))
-    )
-    above = (
-        rows.join(per.select("seq", "target_rank").filter("target_rank IS NOT NULL"), "seq")
-        .filter(F.col("_f") & (pos < F.col("target_rank")))
-        .groupBy("seq")
-        .agg(F.count(F.lit(1)).alias("_above"))
-    )
+        return rows.groupBy("seq").agg(*shares).withColumns(fractions)
+    # Targets go along as rows of their own, so that one exchange by query serves their match, the rank and the counts.
+    both = rows.unionByName(targets.select("seq", "id", F.lit(True).alias("_target")), allowMissingColumns=True)
+    placed = both.repartition("seq")
+    matched = F.col("seq").isNotNull() & F.col("id").isNotNull() & F.max("_target").over(Window.partitionBy("seq", "id"))
+    found = placed.withColumn("_t", hit & F.coalesce(matched, F.lit(False)))
+    ranked = found.withColumn("target_rank", F.min(F.when(F.col("_t"), pos)).over(Window.partitionBy("seq")))
+    above = F.col("_f") & (F.col("target_rank").isNull() | (pos < F.col("target_rank")))
+    per = ranked.groupBy("seq").agg(
+        *shares, F.min("target_rank").alias("target_rank"), F.count_if(above).alias("flagged_above"),
+        (F.col("seq").isNotNull() & F.coalesce(F.max("_target"), F.lit(False))).alias("resolved"),
+    ).filter("n_results > 0")
     in5 = F.coalesce(F.col("target_rank") <= 5, F.lit(False))
-    return (
-        ranked.join(above, "seq", "left")
-        .withColumns(
-            {
-                "target_in_top5": in5, "target_expelled": F.col("resolved") & ~in5,
-                "reciprocal_rank": F.coalesce(1.0 / F.col("target_rank"), F.lit(0.0)),
-                "flagged_above": F.when(F.col("target_rank").isNotNull(), F.coalesce("_above", F.lit(0))).otherwise(F.col("_all")),
-            }
-        )
-        .drop("_all", "_above")
+    return per.withColumns(fractions).select(
+        "seq", "n_results", "flag5", "slots5", "flag10", "slots10", "target_rank", "frac5", "frac10", "resolved", in5.alias("target_in_top5"),
+        (F.col("resolved") & ~in5).alias("target_expelled"), F.coalesce(1.0 / F.col("target_rank"), F.lit(0.0)).alias("reciprocal_rank"), "flagged_above",
     )
 
 

@@ -88,16 +88,18 @@ def rejects(parsed: DataFrame) -> DataFrame:
 def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(value, seq)``: every line with its dense 0-based place by file path, split and row.
 
-    A row's place in its split comes from a window over that split, splits are linked by one count each.
+    The rows of a split are read in order by one task, so their row ids are consecutive: a row's place is its distance from
+    the split's first id, and splits are linked by one count each. That table has one row per split and is broadcast; lines
+    stay where they are read.
     """
     at = ["_file", "_block"]
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row")
     )
     before = Window.orderBy(*at).rowsBetween(Window.unboundedPreceding, -1)
-    starts = lines.groupBy(*at).agg(F.count(F.lit(1)).alias("_n")).select(*at, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy(*at).orderBy("_row")) - 1
-    return lines.withColumn("_inside", inside).join(starts, at).select("value", (F.col("_start") + F.col("_inside")).alias("seq"))
+    splits = lines.groupBy(*at).agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    starts = splits.select(*at, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return lines.join(F.broadcast(starts), at).select("value", (F.col("_start") + F.col("_row") - F.col("_first")).alias("seq"))
 
 
 def read_retrieval(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -73,3 +73,14 @@ def test_ablation_verdict_needs_a_still_control(spark):
     assert verdict(0.1, 0.3, -0.1, 0.1) == "H1"
     assert verdict(0.1, 0.3, 0.05, 0.1).startswith("INVALIDO")
     assert verdict(-0.1, 0.3, -0.1, 0.1).startswith("H0")
+
+
+def test_lines_of_an_export_stay_where_they_are_read(spark, tmp_path):
+    from plumbline.sources.retrieval import ordered_lines
+
+    for name, rows in (("b.txt", range(30, 50)), ("a.txt", range(0, 30)), ("c.txt", ())):
+        (tmp_path / name).write_text("".join(f"{i}\n" for i in rows))
+    lines = ordered_lines(spark, str(tmp_path))
+    # One window, over the splits; the lines themselves were sorted in a second one.
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+    assert sorted((r.seq, int(r.value)) for r in lines.collect()) == [(i, i) for i in range(50)]
