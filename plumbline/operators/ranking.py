@@ -99,7 +99,7 @@ def dominance(hits: DataFrame, flag: Column, targets: DataFrame | None = None) -
 
     ``flagged_above`` counts flagged results before the target, or all of them without one.
     """
-    rows = hits.select("seq", "id", "pos", F.coalesce(flag, F.lit(False)).alias("_f"), F.lit(True).alias("_hit"))
+    rows = hits.select("seq", *(["id"] if targets is not None else []), "pos", F.coalesce(flag, F.lit(False)).alias("_f"), F.lit(True).alias("_hit"))
     pos, hit = F.col("pos"), F.coalesce("_hit", F.lit(False))
     shares = [
         F.count_if(hit).alias("n_results"), F.count_if(F.col("_f") & (pos <= 5)).alias("flag5"), F.count_if(hit & (pos <= 5)).alias("slots5"),

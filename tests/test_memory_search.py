@@ -218,3 +218,20 @@ def test_terms_of_a_text_stay_columns(spark):
     batch = pa.RecordBatch.from_arrays([pa.array([4, 3, 2, 1]), terms], ["id", "terms"])
     found = list(Q._bm25_best(SimpleNamespace(value=[(7, ["a", "b"]), (8, ["b"]), (9, ["no"])]), 1, out, iter([batch.slice(0, 2), batch.slice(2, 2)])))
     assert [r for b in found for r in b.to_pylist()] == [{"seq": 7, "id": 1, "bm25": 2.0}, {"seq": 8, "id": 1, "bm25": 2.0}]
+
+
+def test_dominance_takes_one_exchange_for_hits_and_targets(spark):
+    from pyspark.sql import functions as F
+
+    from plumbline.operators import ranking as K
+
+    hits = [(1, "a", 1, True), (1, "b", 2, True), (1, None, 3, True), (1, "b", 6, False), (2, "a", 1, True), (2, None, 2, None), (3, None, 1, False), (None, "a", 1, True)]
+    rows = spark.createDataFrame(hits, "seq long, id string, pos int, f boolean").repartition(3)
+    targets = spark.createDataFrame([(1, "b"), (1, "b"), (1, "q"), (3, None), (4, "a"), (None, "a")], "seq long, id string")
+    out = K.dominance(rows, F.col("f"), targets)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.seq: (r.n_results, r.flag5, r.slots5, r.flag10, r.slots10, r.target_rank, r.resolved, r.target_expelled, r.flagged_above) for r in out.collect()}
+    assert got == {
+        1: (4, 3, 3, 3, 4, 2, True, False, 1), 2: (2, 1, 2, 1, 2, None, False, False, 1), 3: (1, 0, 1, 0, 1, None, True, True, 0), None: (1, 1, 1, 1, 1, None, False, False, 1),
+    }
+    assert "target_rank" not in K.dominance(rows.drop("id"), F.col("f")).columns
