@@ -1,7 +1,8 @@
 """How many pairs of sets share how many items: exact, and without a row for every pair that shares a common item.
 
 Equal sets are one group with a multiplicity. An item is light while few groups hold it. Pairs that share light items are
-listed, at most half of ``LIGHT`` per item and group; whatever else such a pair shares depends on both groups' other items.
+listed inside the task that holds an item, at most half of ``LIGHT`` per item and group; whatever else such a pair shares depends
+on both groups' other items.
 All light items are then taken out, groups that became equal are merged, and the rest is the same problem with fewer groups
 and items: one that every set held is soon held by one group. Every level adds what its listed pairs share beyond the next one.
 
@@ -20,10 +21,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import checkpointed
+from plumbline.session import checkpointed, row_count_within
 
 LIGHT = 64  # groups that may hold an item whose pairs are listed
 TASK_PAIRS = 1 << 22  # listed pairs that a task counts
+WIDE = 32  # light items of a group that travel to each other's pairs
+FEW_KINDS = 1 << 14  # kinds of groups that are sent to every task
+MET = "ka long, kb long, more long, n long"
 BLOCK = 2048  # groups that are compared at once
 COLUMNS = 8192  # items that are multiplied at once
 
@@ -82,22 +86,29 @@ def _merged(groups: DataFrame) -> DataFrame:
 def _listed(light: DataFrame, groups: DataFrame) -> DataFrame:
     """Pairs of groups that share light items.
 
-    A group goes once per light item to the groups after it, as a list of their ids, and meets them in one task. All that
-    decides a pair's place, k, mult and rest, is a kind, so pairs leave their task as counts per two kinds.
+    All that decides a pair's place, k, mult and rest, is a kind, so pairs leave their task as counts per two kinds. A group goes
+    once to each of its light items, with those after it. Pairs of an item that share r later ones are as many as pairs that
+    share more than r items in all, so no pair has to leave its item to be counted once. Groups of more than ``WIDE`` light
+    items, whose later ones would be many, are paired by lists of ids instead.
     """
     kinds = checkpointed(groups.groupBy("k", "mult", "rest").agg(F.min("id").alias("kind")))
-    one, two = groups.alias("g"), kinds.alias("h")
-    of = one.join(two, F.col("g.k").eqNullSafe(F.col("h.k")) & (F.col("g.mult") == F.col("h.mult")) & (F.col("g.rest") == F.col("h.rest"))).select("g.items", "id", "kind")
-    shared = checkpointed(light.filter("df > 1"))
-    pairs = shared.agg(F.sum(F.col("df") * (F.col("df") - 1) / 2).alias("n")).first().n or 0
-    member = of.select(F.struct("id", "kind").alias("m"), F.explode("items").alias("item"))
-    held = member.join(shared.select("item"), "item").groupBy("item").agg(F.sort_array(F.collect_list("m")).alias("all"))
-    later = held.select("all", F.explode(F.sequence(F.lit(1), F.size("all") - 1)).alias("i")).select(
-        F.col("all")[F.col("i") - 1].alias("x"), F.slice("all", F.col("i") + 1, F.size("all")).alias("y")
-    )
-    lists = later.select(F.col("x.id").alias("a"), F.col("x.kind").alias("ka"), F.col("y.id").alias("b"), F.col("y.kind").alias("kb"))
+    one, two = groups.alias("g"), (F.broadcast(kinds) if row_count_within(kinds, FEW_KINDS) else kinds).alias("h")
+    of = one.join(two, F.col("g.k").eqNullSafe(F.col("h.k")) & (F.col("g.mult") == F.col("h.mult")) & (F.col("g.rest") == F.col("h.rest")))
+    of = of.select(F.array_except("g.items", "g.rest").alias("items"), "id", "kind").withColumn("narrow", F.size("items") <= WIDE)
+    pairs = light.agg(F.sum(F.col("df") * (F.col("df") - 1) / 2).alias("n")).first().n or 0
     parts = max(int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")), groups.sparkSession.sparkContext.defaultParallelism, int(pairs) // TASK_PAIRS)
-    met = lists.repartition(parts, "a").sortWithinPartitions("a").mapInArrow(_met, "ka long, kb long, more long, n long")
+    each = of.filter("narrow").select("kind", "items", F.posexplode("items").alias("at", "item"))
+    each = each.select("item", "kind", F.slice("items", F.col("at") + 2, F.size("items")).alias("later"))
+    met = each.repartition(parts, "item").sortWithinPartitions("item").mapInArrow(_met_blocks, MET)
+    if groups.agg(F.max(F.size("items") - F.size("rest")).alias("most")).first().most > WIDE:
+        member = of.select(F.struct("narrow", "id", "kind").alias("m"), F.explode("items").alias("item"))
+        held = member.groupBy("item").agg(F.sort_array(F.collect_list("m")).alias("all"), F.count_if(~F.col("m.narrow")).cast("int").alias("wide"))
+        held = held.filter((F.col("wide") > 0) & (F.size("all") > 1))
+        later = held.select("all", F.explode(F.sequence(F.lit(1), F.least(F.col("wide"), F.size("all") - 1))).alias("i")).select(
+            F.col("all")[F.col("i") - 1].alias("x"), F.slice("all", F.col("i") + 1, F.size("all")).alias("y")
+        )
+        lists = later.select(F.col("x.id").alias("a"), F.col("x.kind").alias("ka"), F.col("y.id").alias("b"), F.col("y.kind").alias("kb"))
+        met = met.unionByName(lists.repartition(parts, "a").sortWithinPartitions("a").mapInArrow(_met, MET))
     counts = met.groupBy("ka", "kb", "more").agg(F.sum("n").alias("n"))
     for side in "ab":
         counts = counts.join(kinds.select(F.col("kind").alias(f"k{side}"), F.struct("k", "mult", "rest").alias(side)), f"k{side}")
@@ -106,6 +117,66 @@ def _listed(light: DataFrame, groups: DataFrame) -> DataFrame:
     return _moves(counts.select(F.least("a.k", "b.k").alias("k"), was.alias("was"), (was + F.col("more")).alias("is"), times.cast("decimal(38,0)").alias("n")))
 
 
+def _pairs_within(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of both rows of every pair within runs of so many rows, and where the pairs of each first row begin."""
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    after = ends - np.arange(len(ends)) - 1
+    begin = np.cumsum(after) - after
+    first = np.repeat(np.arange(len(ends)), after)
+    return first, first + 1 + np.arange(len(first)) - begin[first], begin
+
+
+def _runs(keys: np.ndarray) -> np.ndarray:
+    """Lengths of the runs of equal neighbours."""
+    return np.diff(np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])))
+
+
+def _met_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many pairs of groups of two kinds share how many items, as changes; rows (item, kind, later) come in the order of item."""
+
+    def told(rows: pa.Table, codes: np.ndarray) -> pa.RecordBatch:
+        n = rows.num_rows
+        sizes = _runs(codes[:n])
+        first, second, begin = _pairs_within(sizes)
+        shared = np.zeros(len(first), np.int64)
+        # Rows of one block with the same later item are the pairs that share it.
+        times = pc.list_value_length(rows["later"]).to_numpy()
+        row = np.repeat(np.arange(n), times)
+        keys = np.repeat(np.arange(len(sizes)), sizes)[row] * (int(codes.max()) + 1) + codes[n:]
+        order = np.argsort(keys, kind="stable")
+        x, y, _ = _pairs_within(_runs(keys[order]) if len(keys) else np.zeros(0, np.int64))
+        x, y = row[order][x], row[order][y]
+        np.add.at(shared, begin[x] + y - x - 1, 1)
+        kinds, kind = np.unique(rows["kind"].to_numpy(), return_inverse=True)
+        low, high, wide = np.minimum(kind[first], kind[second]), np.maximum(kind[first], kind[second]), int(shared.max(initial=0)) + 1
+        found, times = np.unique((low * len(kinds) + high) * wide + shared, return_counts=True)
+        more, both = found % wide, found // wide
+        ka, kb, again = kinds[both // len(kinds)], kinds[both % len(kinds)], more > 0
+        columns = (ka, ka[again]), (kb, kb[again]), (more + 1, more[again]), (times, -times[again])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in columns], names=["ka", "kb", "more", "n"])
+
+    open_ = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = (rows if open_ is None else pa.concat_tables([open_, rows])).combine_chunks()
+        if not rows.num_rows:
+            continue
+        codes = _codes(rows)
+        # The last item's block may go on in the next batch.
+        end = rows.num_rows - _runs(codes[: rows.num_rows])[-1]
+        if end:
+            yield told(cut := rows.slice(0, end), _codes(cut))
+        open_ = rows.slice(end)
+    if open_ is not None:
+        yield told(open_, _codes(open_))
+
+
+def _codes(rows: pa.Table) -> np.ndarray:
+    """Numbers of the items of ``rows``, then of all their later ones."""
+    item, later = (rows[c].combine_chunks() for c in ("item", "later"))
+    return pa.concat_arrays([item, later.flatten()]).dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many pairs of groups of two kinds share how many items; rows (a, ka, b, kb) come in the order of a."""
 

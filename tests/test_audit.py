@@ -153,3 +153,30 @@ def test_listed_pairs_meet_once_over_batches():
             key = r["ka"], r["kb"], r["more"]
             found[key] = found.get(key, 0) + r["n"]
         assert found == {(10, 10, 2): 1, (10, 30, 2): 1, (10, 10, 1): 2}
+
+
+@pytest.mark.parametrize("wide", [0, 2, 5, 32])
+def test_pairs_are_counted_in_their_items(spark, monkeypatch, wide):
+    """Groups beyond the bound go as lists of ids; all others leave an item's task as counts."""
+    monkeypatch.setattr(O, "WIDE", wide)
+    rng = random.Random(wide)
+    lists = {q: [rng.choice("ABCDEFGHIJ") for _ in range(rng.randint(1, 7))] for q in range(1, 41)}
+    lists |= {q: [f"w{rng.randrange(40)}" for _ in range(rng.randint(9, 50))] + ["HOT"] * (q % 3 > 0) for q in range(41, 71)}
+    got = A.overlap_histogram(A.result_sets(hits_of(spark, lists))).collect()
+    assert {(r.k_pair, r.overlap): int(r.n_pairs) for r in got} == brute_histogram(lists)
+
+
+def test_pairs_of_an_item_go_on_over_batches():
+    import pyarrow as pa
+
+    groups = {10: "ABD", 11: "ABCD", 12: "BD", 13: "E"}
+    kinds = {10: 1, 11: 1, 12: 2, 13: 2}
+    rows = sorted((x, kinds[g], list(items[i + 1 :])) for g, items in groups.items() for i, x in enumerate(items))
+    schema = pa.schema([("item", pa.string()), ("kind", pa.int64()), ("later", pa.list_(pa.string()))])
+    for size in (1, 2, 3, 20):
+        parts = [pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows[i : i + size]], schema) for i in range(0, len(rows), size)]
+        found = {}
+        for r in (r for b in O._met_blocks(iter(parts)) for r in b.to_pylist()):
+            key = r["ka"], r["kb"], r["more"]
+            found[key] = found.get(key, 0) + r["n"]
+        assert {k: n for k, n in found.items() if n} == {(1, 1, 3): 1, (1, 2, 2): 2}
