@@ -12,6 +12,7 @@ from plumbline.operators import ranking as K
 from plumbline.operators import search as Q
 from plumbline.operators.audit import rank_hits
 from plumbline.plans import studies
+from plumbline.session import fan_out
 
 
 def vectors(spark, sf_dir):
@@ -306,7 +307,8 @@ def pools(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("seq"), F.col("l_partkey"), "l_linenumber", "l_suppkey", "l_extendedprice", F.col("l_discount").alias("score"), F.lit("blue ring and red gear").alias("query")
     )
-    ranked = rank_hits(lines, [F.desc("score"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], None)
+    # A pool gets wider after its exchange, which adaptive execution would not see.
+    ranked = rank_hits(fan_out(lines, "seq"), [F.desc("score"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], None)
     return ranked.join(part, ranked.l_partkey == part.p_partkey).select(
         "seq", "pos", F.col("l_partkey").alias("id"), "score", "query", F.array("p_name").alias("concepts"), F.col("p_type").alias("domain")
     )

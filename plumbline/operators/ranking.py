@@ -159,9 +159,11 @@ def rerank(pool: DataFrame, weight: float = RERANK_WEIGHT, wrong_field: bool = F
     fields = F.array_distinct(F.array_union(rerank_tokens("domain"), F.array_distinct(F.flatten(F.transform("concepts", rerank_tokens)))))
     rows = pool.withColumn("_c", F.coalesce(fields, rerank_tokens("domain")))
     if wrong_field:
+        # Tokens hold no space, so they are sorted and moved as one string, which takes a fraction of an array's room.
         w = Window.partitionBy("seq").orderBy("pos")
-        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        rows = rows.withColumn("_c", F.coalesce(F.lead("_c").over(w), F.first("_c").over(whole)))
+        told = rows.withColumn("_c", F.array_join("_c", " "))
+        moved = told.withColumn("_c", F.coalesce(F.lead("_c").over(w), F.first("_c").over(w)))
+        rows = moved.withColumn("_c", F.filter(F.split("_c", " "), lambda t: t != ""))
     overlap = overlap_share(F.col("_c"), rerank_tokens("query"))
     scored = rows.withColumn("overlap", overlap).withColumn("treatment_score", F.col("score") + weight * F.col("overlap"))
     order = Window.partitionBy("seq").orderBy(F.desc("treatment_score"), F.desc("score"), "pos")

@@ -235,3 +235,18 @@ def test_dominance_takes_one_exchange_for_hits_and_targets(spark):
         1: (4, 3, 3, 3, 4, 2, True, False, 1), 2: (2, 1, 2, 1, 2, None, False, False, 1), 3: (1, 0, 1, 0, 1, None, True, True, 0), None: (1, 1, 1, 1, 1, None, False, False, 1),
     }
     assert "target_rank" not in K.dominance(rows.drop("id"), F.col("f")).columns
+
+
+def test_the_control_moves_whole_field_lists(spark):
+    from plumbline.operators import ranking as K
+
+    rows = [(1, 1, 0.5, "red gear", ["red ring"], "tool"), (1, 2, 0.4, "blue pin", [], None), (1, 3, 0.3, "tool ring", ["blue gear", "pin"], "tool"), (2, 1, 0.2, "tool", None, "tool")]
+    pool = spark.createDataFrame(rows, "seq long, pos int, score double, query string, concepts array<string>, domain string")
+    got = {(r.seq, r.base_pos): r.overlap for r in K.rerank(pool, wrong_field=True).collect()}
+    assert got == {(1, 1): 0.0, (1, 2): 0.5, (1, 3): 2 / 3, (2, 1): 1.0}
+
+
+def test_pools_are_spread_over_tasks(spark):
+    from plumbline.catalog.search import pools
+
+    assert pools(spark, "/root/testdata/sf0.001").select(F.spark_partition_id().alias("p")).distinct().count() > 1
