@@ -42,10 +42,13 @@ def remove(spark: SparkSession, folder: str) -> None:
 
 
 def written(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
-    """``df`` as a Parquet table on shared storage: evaluated once, its lineage cut, its size known to the planner."""
+    """``df`` as a Parquet table on shared storage: evaluated once, its lineage cut, its size known to the planner.
+
+    Such tables stay until the session ends, so they are written small.
+    """
     spark = df.sparkSession
     folder = folder or shared_folder(spark, label)
-    df.write.mode("overwrite").parquet(folder)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(folder)
     return spark.read.schema(nullable(df.schema)).parquet(folder)
 
 

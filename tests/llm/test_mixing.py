@@ -134,3 +134,10 @@ def test_against_a_plain_schedule(spark):
     want = slots_by_earliest_deadline({"a": 50, "b": 30, mixing.OTHER: 10}, {"a": 2, "b": 3, mixing.OTHER: 1})
     kinds = {r.slot: r.source if r.source in "ab" else mixing.OTHER for r in got}
     assert kinds == {t: s for t, s in enumerate(want) if s is not None}
+
+
+def test_scratch_tables_are_written_small(spark):
+    from plumbline.llm.shared import written
+
+    (file, *_) = written(spark.range(10).selectExpr("id", "repeat('a text of its own ', 9) AS text"), "small").inputFiles()
+    assert file.endswith(".zstd.parquet")
