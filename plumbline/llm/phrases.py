@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.llm.shared import remove, shared_folder, written
+from plumbline.llm.shared import batches_of, given_back, shared_folder, written
 
 LONGEST = 4
 PREFIX = 3  # words that tell the range
@@ -40,6 +40,7 @@ SHARD = 1 << 20  # words that a task counts at once
 STEP = 1 << 22  # bytes of a text that are split at once
 RANGES = 4  # per shuffle partition
 PENDING = 1 << 23  # bytes of packed automata that wait for their union
+BATCH = 64  # texts or packed automata that go to a worker at once
 UNKNOWN = "und"
 SALTS = 256
 
@@ -323,6 +324,10 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
 
 
 def _shards(ranges: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from given_back(_sharded(ranges, batches))
+
+
+def _sharded(ranges: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shard = Shard(ranges)
 
     def sent(found):
@@ -362,7 +367,10 @@ class _Union:
 
 def _unions(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The counts of each range, which comes in one after the other; and the words counted there."""
+    yield from given_back(_united_ranges(least, batches))
+
 
+def _united_ranges(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def ended():
         total = union.all()
         return pa.RecordBatch.from_arrays(
@@ -444,12 +452,15 @@ def collocations(docs: DataFrame, least: int = 30, top: int | None = 2000, range
     spark = docs.sparkSession
     ranges = ranges or RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
     folder = shared_folder(spark, "phrases")
-    counted_ = written(counts(docs, least, ranges), "", f"{folder}/counts")
-    found = written(counted_.select("lang", "automaton").mapInArrow(partial(_candidates, ranges), CANDIDATES), "", f"{folder}/candidates")
+    # an Arrow batch is held by the JVM, outside of its heap, and by the worker
+    with batches_of(spark, BATCH):
+        counted_ = written(counts(docs, least, ranges), "", f"{folder}/counts")
+        found = written(counted_.select("lang", "automaton").mapInArrow(partial(_candidates, ranges), CANDIDATES), "", f"{folder}/candidates")
     asked = found.select("lang", F.explode(F.arrays_zip(F.concat("lefts", "rights").alias("part"), F.concat("left_ranges", "right_ranges").alias("range"))).alias("p"))
     asked = asked.select("lang", "p.range", "p.part").distinct().groupBy("lang", "range").agg(F.collect_list("part").alias("parts"))
     parts = asked.join(counted_, ["lang", "range"]).select("lang", "automaton", "parts").mapInArrow(_looked_up, "lang string, part string, f long")
-    parts = written(parts, "", f"{folder}/parts")
+    with batches_of(spark, BATCH):
+        parts = written(parts, "", f"{folder}/parts")
     cuts = found.select("lang", "phrase", "a", F.posexplode(F.arrays_zip("lefts", "rights")).alias("k", "cut")).select("lang", "phrase", "a", "k", F.col("cut.lefts").alias("left"), F.col("cut.rights").alias("right"))
     cuts = cuts.join(parts.select("lang", F.col("part").alias("left"), F.col("f").alias("l")), ["lang", "left"])
     cuts = cuts.join(parts.select("lang", F.col("part").alias("right"), F.col("f").alias("r")), ["lang", "right"])

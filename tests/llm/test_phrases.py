@@ -116,3 +116,26 @@ def test_edges(spark):
     assert run(documents(spark, rows, extra=True), 2, 5) == brute(rows, 2, 5) == [("und", 1, "one two", 2, 3, 2, 6, 800000)]
     long = [(1, "w" * 5_000_000 + " end end", "en", None)] * 2
     assert run(documents(spark, long), 2, 5) == brute(long, 2, 5)
+
+
+def test_workers_get_few_rows_at_once(spark, monkeypatch):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for name in ("_shards", "_unions"):
+        def small(how, batches, inner=getattr(phrases, name), most=phrases.BATCH):
+            def checked():
+                for b in batches:
+                    assert b.num_rows <= most
+                    yield b
+
+            return inner(how, checked())
+
+        monkeypatch.setattr(phrases, name, small)
+    rows = made(1, 300, 60)
+    assert run(documents(spark, rows).coalesce(1), 3, 50, ranges=300) == brute(rows, 3, 50)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_workers_give_memory_back(monkeypatch):
+    ended = []
+    monkeypatch.setattr(phrases, "given_back", lambda batches: (*batches, ended.append(1)), raising=False)
+    assert list(phrases._shards(4, iter(()))) + list(phrases._unions(2, iter(()))) == [None, None] and len(ended) == 2
